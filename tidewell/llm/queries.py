@@ -32,6 +32,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language
 
@@ -69,5 +75,5 @@ def _sql() -> dict[str, str]:
     return {"op1_license_scan": license_scan.sql(), "op2_exact_top_k": topk.SQL, "op3_warc": warc.SQL, "op5_url_filter": url_filter.sql()}
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_warc, op5_url_filter, op6_toxicity, op7_byte_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_warc, op5_url_filter, op6_toxicity, op7_byte_bpe, op9_near_duplicates, op10_language_id)}
 ORACLE_SQL = _sql()
