@@ -63,6 +63,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.archive(_table(spark, sf_dir, "pages")), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find
+
+    return find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
@@ -75,5 +81,5 @@ def _sql() -> dict[str, str]:
     return {"op1_license_scan": license_scan.sql(), "op2_exact_top_k": topk.SQL, "op3_warc": warc.SQL, "op5_url_filter": url_filter.sql()}
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_warc, op5_url_filter, op6_toxicity, op7_byte_bpe, op9_near_duplicates, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_warc, op4_decontamination, op5_url_filter, op6_toxicity, op7_byte_bpe, op9_near_duplicates, op10_language_id)}
 ORACLE_SQL = _sql()
