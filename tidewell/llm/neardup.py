@@ -185,7 +185,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough; the members of one `a` are dealt over several tasks."""
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    size = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")))
     lead = size.join(texts, size["a"] == texts["doc"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "z")
     member = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part"), "b").join(texts, F.col("b") == F.col("doc")).select("a", "part", "b", "z")
     dealt = lead.unionByName(member).repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -241,7 +241,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     copies = sig.groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.first("total").alias("total"), F.first("bands").alias("bands"))
     copies = stored(copies, "distinct-texts")
     placed = copies.select(F.explode("bands").alias("key"), "doc", "total")
-    shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # small sides are written first, so that a join against a hot key can be split
+    shared = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     bucket = stored(placed.join(shared, "key").distinct(), "buckets")
     involved = bucket.select("doc").distinct()
     texts = stored(packed_texts(known.select(F.col("doc_id").alias("doc"), "text")).join(involved, "doc"), "texts")
@@ -255,7 +256,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
             held = bucket.withColumn("comp", F.col("doc"))
         else:
             held = bucket.join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        alive = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        alive = cut(held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
         held = cut(held.join(alive, "key"))
         if held.isEmpty():
             break

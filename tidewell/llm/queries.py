@@ -32,6 +32,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -81,5 +94,5 @@ def _sql() -> dict[str, str]:
     return {"op1_license_scan": license_scan.sql(), "op2_exact_top_k": topk.SQL, "op3_warc": warc.SQL, "op5_url_filter": url_filter.sql()}
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_warc, op4_decontamination, op5_url_filter, op6_toxicity, op7_byte_bpe, op9_near_duplicates, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_warc, op4_decontamination, op5_url_filter, op6_toxicity, op7_byte_bpe, op8_suffix_dedup, op9_near_duplicates, op10_language_id)}
 ORACLE_SQL = _sql()
