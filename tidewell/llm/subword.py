@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .textbuf import TextBlock
+from .textbuf import TextBlock, word_hashes
 
 ORDERS = (3, 4, 5)
 BITS = 17
@@ -118,14 +118,33 @@ def train(flat: np.ndarray, offset: np.ndarray, label: np.ndarray, classes: list
     return Model(classes, emb @ out, bias)
 
 
-def range_logits(model: Model, block: TextBlock, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Logits of byte ranges for a two-class model: class 1 against class 0, scored by prefix sums."""
+def echoes(block: TextBlock, reach: int) -> np.ndarray:
+    """Marks the bytes where n-grams of words begin that stand among the `reach` words before, too."""
+    words = word_hashes(block)
+    again = np.zeros(len(words), bool)
+    for k in range(1, min(reach, len(words) - 1) + 1):
+        again[k:] |= words[k:] == words[:-k]
+    edge = np.zeros(len(block.buf) + 1, np.int8)
+    edge[block.word_start[again] - 1] += 1
+    edge[block.word_end[again]] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
+def range_logits(model: Model, block: TextBlock, start: np.ndarray, stop: np.ndarray, reach: int = 0) -> np.ndarray:
+    """Logits of byte ranges for a two-class model: class 1 against class 0, scored by prefix sums.
+
+    With `reach`, a word that was said within that many words before adds its
+    length to the mean but no evidence, so a run of one word is not many proofs.
+    """
+    silent = echoes(block, reach) if reach else None
     weight = (model.table[:, 1] - model.table[:, 0]).astype(np.float32)
     n = len(block.buf)
     total, count = np.zeros(len(start)), np.zeros(len(start))
     for order, bucket, ok in buckets(block):
         value = weight[bucket]
         value[~ok] = 0
+        if silent is not None:
+            value[silent[: len(value)]] = 0
         sums = np.zeros(n + 1)
         np.cumsum(value, dtype=np.float64, out=sums[1 : len(value) + 1])
         many = np.zeros(n + 1, np.int64)

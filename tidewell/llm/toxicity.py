@@ -103,7 +103,7 @@ def _highest(model: subword.Model, block: TextBlock, spans) -> np.ndarray:
     row, start, stop = spans
     out = np.full(len(block.start), -np.inf)
     if len(row):
-        logit = subword.range_logits(model, block, start, stop)
+        logit = subword.range_logits(model, block, start, stop, WINDOW - 1)
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         out[row[first]] = np.maximum.reduceat(logit, first)
     return out
@@ -145,3 +145,18 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score below the threshold."""
+    shared = documents.sparkSession.sparkContext.broadcast(train_model(documents, labels))
+    at = documents.columns.index("text")
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for a, z in text_slices(batch.column(at)):
+                keep = score_texts(m, raw_texts(batch.column(at)[a:z])) < threshold
+                yield batch.slice(a, z - a).filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)
