@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "map_solve_tqu"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import queries_ranges, queries_reduce, queries_tod  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "block_mean"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
