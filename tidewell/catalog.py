@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import queries_ranges, queries_reduce, queries_tod  # noqa: F401
+from .plans import queries_ranges, queries_reduce, queries_sky, queries_tod  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "block_mean"
+FLAGSHIP = "map_solve_tqu"
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
