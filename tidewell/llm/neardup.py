@@ -11,9 +11,10 @@ more.  Classes are the connected components of links and exact copies.
 
 Exact copies are folded first.  Inside a bucket candidates are not paired each
 with each: in rounds a few members lead, every member of another class is held
-against them, and classes are merged, until a bucket has one class or no member
-that has not led.  So every pair of a bucket is either verified or already in
-one class, and no link between classes is lost.
+against them, until a bucket has one class or no member that has not led; after
+the first round the classes found so far are formed, which empties the buckets
+of large groups.  So every pair of a bucket is either verified or already in one
+class, and no link between classes is lost.
 
 Null texts count as empty; texts without a word only match exact copies.  Rows
 that repeat a doc_id are one document.  Rows without a doc_id are in no class
@@ -251,32 +252,34 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     repeated = sig.groupBy("doc_id").agg(F.count_distinct("text_key").alias("n")).where("n > 1")
     links = links.join(repeated, F.col("b") == F.col("doc_id"), "left_semi")
     tested, label, lead = None, None, 1
-    while True:
-        if label is None:
-            held = bucket.withColumn("comp", F.col("doc"))
-        else:
-            held = bucket.join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        alive = cut(held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-        held = cut(held.join(alive, "key"))
-        if held.isEmpty():
-            break
+    held = bucket.withColumn("comp", F.col("doc"))
+    while not held.isEmpty():
         first = held.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(lead)).alias("slot")).agg(F.min(F.struct("doc", "comp", "total")).alias("l"))
         first = cut(first.groupBy("key").agg(F.collect_list("l").alias("leaders")))  # at most `lead` of them
         pair = held.join(first, "key").select("doc", "comp", "total", F.explode("leaders").alias("l")).where("comp <> l.comp and doc <> l.doc")
         pair = pair.where(F.least("total", "l.total") >= threshold * F.greatest("total", "l.total") * (1 - 1e-9))
-        pair = pair.select(F.col("l.doc").alias("a"), F.col("doc").alias("b")).distinct()
+        pair = pair.select(F.col("l.doc").alias("a"), F.col("doc").alias("b"))
         if lead > 1:
-            turned = pair.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a < b")
-            pair = pair.join(turned, ["a", "b"], "left_anti").unionByName(pair.where("a < b").join(turned, ["a", "b"], "left_semi")).distinct()
+            pair = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pair = pair.distinct()
         if tested is not None:
-            pair = pair.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+            pair = pair.join(tested, ["a", "b"], "left_anti")
         pair = cut(pair)
-        tested = pair if tested is None else tested.unionByName(pair)
         links = cut(links.unionByName(verify(pair, texts, weights, threshold)))
-        label = components(links)
         led = first.select("key", F.explode("leaders.doc").alias("doc"))
-        bucket = held.drop("comp").join(led, ["key", "doc"], "left_anti")
-        lead = min(lead * 4, 256)
+        held = held.join(led, ["key", "doc"], "left_anti")
+        if lead == 1:
+            # the first round joins large groups; what they have in one class needs no more tests
+            label = components(links)
+            held = held.drop("comp").join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+            tested = pair
+        else:
+            tested = tested.unionByName(pair)
+        alive = cut(held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+        held = cut(held.join(alive, "key"))
+        lead = min(lead * 16, 256)
+    if lead > 16:
+        label = components(links)
     if label is None and not links.isEmpty():
         label = components(links)
     folded = sig.select("doc_id", "text_key").distinct().join(copies.select("text_key", "doc"), "text_key").select("doc_id", "doc")
