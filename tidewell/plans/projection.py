@@ -124,6 +124,15 @@ def to_weights(pointed: DataFrame, components: str, weights: DataFrame | None =
     return rows.groupBy(*(key or KEY)).agg(*[value(a, b).alias(f"w{a}{b}") for i, a in enumerate(names) for b in names[i:]])
 
 
+def to_map_and_weights(pointed: DataFrame, components: str, weights: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
+    """Map and weight matrix in one pass over pointed samples that carry their value in a column `signal`."""
+    names = sky.COMPONENTS[components]
+    rows = _weighted(pointed, weights)
+    sums = [F.sum(F.col("signal") * F.col(f"f{c}") * F.col("w") * F.col("wt")).alias(c) for c in names]
+    value = lambda a, b: F.sum(F.col(f"f{a}") * F.col(f"f{b}") * F.col("w") * F.col("w") * F.col("wt"))
+    return rows.groupBy(*(key or KEY)).agg(*sums, *[value(a, b).alias(f"w{a}{b}") for i, a in enumerate(names) for b in names[i:]])
+
+
 def from_map(pointed: DataFrame, sky_map: DataFrame, components: str, signal: DataFrame, key: list[str] | None = None) -> DataFrame:
     """signal(det, samp, y) plus what each sample sees of the map; off-map samples see nothing."""
     names = sky.COMPONENTS[components]
@@ -133,9 +142,12 @@ def from_map(pointed: DataFrame, sky_map: DataFrame, components: str, signal: Da
     return signal.join(seen, ["det", "samp"], "left").withColumn("y", F.col("y") + F.coalesce("seen", F.lit(0.0))).drop("seen")
 
 
-def solve_tqu(sky_map: DataFrame, weights: DataFrame, key: list[str] | None = None, least: float = 1e-6) -> DataFrame:
-    """Map divided by its 3x3 weights through the adjugate; pixels with a determinant below `least` are left out."""
-    s = Steps(sky_map.join(weights, key or KEY))
+def solve_tqu(sky_map: DataFrame, weights: DataFrame | None = None, key: list[str] | None = None, least: float = 1e-6) -> DataFrame:
+    """Map divided by its 3x3 weights through the adjugate; pixels with a determinant below `least` are left out.
+
+    Without `weights` the map carries its weights itself.
+    """
+    s = Steps(sky_map if weights is None else sky_map.join(weights, key or KEY))
     a, b, c, d, e, f = (F.col(f"w{n}") for n in ("TT", "TQ", "TU", "QQ", "QU", "UU"))
     k0, k1, k2 = s.keep(d * f - e * e, c * e - b * f, b * e - c * d)
     k3, k4, k5 = s.keep(a * f - c * c, b * c - a * e, a * d - b * b)

@@ -258,9 +258,9 @@ select iy, ix, round((k0*t + k1*q + k2*u) / det, 4) + 0.0 t, round((k1*t + k3*q
 )
 def map_solve_tqu(spark, sf):
     """Flagship: samples to a TQU map and its weights, solved pixel by pixel."""
-    asm = assembly(spark, sf)
+    asm = assembly(spark, sf).withColumn("signal", F.col("sig") + F.col("det"))
     p = projection.pointing(asm, CAR, "TQU")
-    m = projection.solve_tqu(projection.to_map(p, signal(asm), "TQU"), projection.to_weights(p, "TQU"), least=0.01)
+    m = projection.solve_tqu(projection.to_map_and_weights(p, "TQU"), least=0.01)
     return out(m.select("iy", "ix", rounded("T", 4).alias("t"), rounded("Q", 4).alias("q"), rounded("U", 4).alias("u")))
 
 
