@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import subword
 from .textbuf import TextBlock, raw_texts, text_slices
+from .toxicity import _rank, blocks_of
 
 TRAIN_DOCS = 4096
 TRAIN_WINDOWS = 30_000
@@ -45,21 +46,16 @@ def fit(rows: list[tuple[bytes, str]], seed: int = 11) -> subword.Model:
         return subword.Model(classes, np.zeros((1 << subword.BITS, 1), np.float32), np.zeros(1, np.float32))
     code = {c: i for i, c in enumerate(classes)}
     rng = np.random.default_rng(seed)
-    per = max(4, 2 * TRAIN_WINDOWS // max(1, len(rows)))
+    per = max(4, -(-5 * TRAIN_WINDOWS // (4 * max(1, len(rows)))))
     flat, size, label = [], [], []
-    for at in range(0, len(rows), 512):
-        part = rows[at : at + 512]
-        block = TextBlock([r[0] for r in part])
+    codes = np.array([code[r[1]] for r in rows])
+    for first, block in blocks_of([r[0] for r in rows]):
         row, start, stop = subword.windows(block, WINDOW, WINDOW)
-        order = rng.permutation(len(row))
-        by = order[np.argsort(row[order], kind="stable")]
-        rank = np.empty(len(row), np.int64)
-        rank[by] = np.arange(len(row)) - np.searchsorted(row[by], row[by])
-        keep = rank < per
+        keep = _rank(row, rng.random(len(row))) < per
         f, o = subword.bags(block, start[keep], stop[keep])
         flat.append(f)
         size.append(np.diff(o))
-        label.append(np.array([code[r[1]] for r in part])[row[keep]])
+        label.append(codes[first + row[keep]])
     label = np.concatenate(label)
     flat = np.concatenate(flat)
     offset = np.concatenate(([0], np.cumsum(np.concatenate(size))))
@@ -69,7 +65,7 @@ def fit(rows: list[tuple[bytes, str]], seed: int = 11) -> subword.Model:
         use = np.arange(len(label))
     n = np.diff(offset)[use]
     own = np.repeat(np.arange(len(use)), n)
-    some = flat[np.arange(int(n.sum())) - np.concatenate(([0], np.cumsum(n)))[own] + offset[use][own]]
+    some = flat[np.arange(int(n.sum()), dtype=np.int32) - np.concatenate(([0], np.cumsum(n)))[own] + offset[use][own]]
     model = subword.train(some, np.concatenate(([0], np.cumsum(n))), label[use], classes, dim=10, epochs=3)
     test = np.flatnonzero(held)[:8192]
     if len(test):

@@ -49,6 +49,7 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
     floor: float = 0.0
+    known: np.ndarray | None = None  # buckets that were seen often enough to say something
 
 
 def windows(block: TextBlock, size: int, step: int):
@@ -70,8 +71,8 @@ def bags(block: TextBlock, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
         own = np.repeat(np.arange(len(start)), length)
         at = np.arange(len(own)) - np.concatenate(([0], np.cumsum(length)))[own] + start[own]
         keep = ok[at]
-        parts.append(bucket[at[keep]])
-        owner.append(own[keep])
+        parts.append(bucket[at[keep]].astype(np.int32))
+        owner.append(own[keep].astype(np.int32))
     flat, own = np.concatenate(parts), np.concatenate(owner)
     order = np.argsort(own, kind="stable")
     return flat[order], np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(start)))))
@@ -121,9 +122,10 @@ def train(flat: np.ndarray, offset: np.ndarray, label: np.ndarray, classes: list
 def echoes(block: TextBlock, reach: int) -> np.ndarray:
     """Marks the bytes where n-grams of words begin that stand among the `reach` words before, too."""
     words = word_hashes(block)
+    row = np.repeat(np.arange(len(block.start)), np.diff(block.first_word))
     again = np.zeros(len(words), bool)
     for k in range(1, min(reach, len(words) - 1) + 1):
-        again[k:] |= words[k:] == words[:-k]
+        again[k:] |= (words[k:] == words[:-k]) & (row[k:] == row[:-k])
     edge = np.zeros(len(block.buf) + 1, np.int8)
     edge[block.word_start[again] - 1] += 1
     edge[block.word_end[again]] -= 1
@@ -137,11 +139,13 @@ def range_logits(model: Model, block: TextBlock, start: np.ndarray, stop: np.nda
     length to the mean but no evidence, so a run of one word is not many proofs.
     """
     silent = echoes(block, reach) if reach else None
+    known = model.known if model.known is not None else np.ones(len(model.table), bool)
     weight = (model.table[:, 1] - model.table[:, 0]).astype(np.float32)
     n = len(block.buf)
     total, count = np.zeros(len(start)), np.zeros(len(start))
     for order, bucket, ok in buckets(block):
         value = weight[bucket]
+        ok = ok & known[bucket]
         value[~ok] = 0
         if silent is not None:
             value[silent[: len(value)]] = 0

@@ -27,6 +27,7 @@ from .textbuf import TextBlock, raw_texts, text_slices
 TRAIN_PER_LABEL = 2048
 TRAIN_WINDOWS = 40_000
 WINDOW, STEP = 16, 8
+MIN_DOCS = 4
 THRESHOLD = 0.3
 
 
@@ -51,49 +52,68 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> subword.Model:
         return subword.Model([0, 1], np.zeros((1 << subword.BITS, 2), np.float32), np.zeros(2, np.float32), 0.0, _logit(prior))
     texts = [r[0] for r in rows]
     fold = np.random.default_rng(seed).random(len(rows)) < 0.8
-    flat, size, label = [], [], []
     rng = np.random.default_rng(seed)
-    blocks = []
-    at, room = 0, 4 << 20
-    while at < len(texts):
-        stop, used = at, 0
-        while stop < len(texts) and (stop == at or used + len(texts[stop]) < room):
-            used += len(texts[stop])
-            stop += 1
-        blocks.append((at, TextBlock(texts[at:stop])))
-        at = stop
-    spans = [subword.windows(b, WINDOW, STEP) for _, b in blocks]
     # documents of either label get the same room; long ones don't crowd out others
     quota = {v: TRAIN_WINDOWS // 2 // max(1, int((y == v).sum())) + 4 for v in (0, 1)}
-    for (first, block), (row, start, stop) in zip(blocks, spans):
-        order = rng.permutation(len(row))
-        rank = np.empty(len(row), np.int64)
-        by = order[np.argsort(row[order], kind="stable")]
-        rank[by] = np.arange(len(row)) - np.searchsorted(row[by], row[by])
+    flat, size, label = [], [], []
+    spread = np.zeros(1 << subword.BITS, np.int64)
+    for first, block in blocks_of(texts):
+        row, start, stop = subword.windows(block, WINDOW, STEP)
         doc = first + row
-        limit = np.where(y[doc] == 1, quota[1] * 4, quota[0])
-        keep = (rank < limit) & fold[doc]
+        keep = (_rank(row, rng.random(len(row))) < np.where(y[doc] == 1, quota[1] * 3, quota[0])) & fold[doc]
         f, o = subword.bags(block, start[keep], stop[keep])
+        owner = np.repeat(doc[keep], np.diff(o))
+        spread += np.bincount(np.unique(owner * len(spread) + f) % len(spread), minlength=len(spread))
         flat.append(f)
         size.append(np.diff(o))
         label.append(y[doc][keep])
+    # n-grams of very few documents would be known by heart
+    known = spread >= MIN_DOCS
+    for k, (f, n) in enumerate(zip(flat, size)):
+        ok = known[f]
+        size[k] = np.diff(np.concatenate(([0], np.cumsum(ok)))[np.concatenate(([0], np.cumsum(n)))])
+        flat[k] = f[ok]
     label = np.concatenate(label)
     offset = np.concatenate(([0], np.cumsum(np.concatenate(size))))
     ones = max(1, int(label.sum()))
-    model = subword.train(np.concatenate(flat), offset, label, [0, 1], weight=np.where(label == 1, min(4.0, (len(label) - ones) / ones), 1.0), dim=8, epochs=3)
-    best = np.concatenate([_highest(model, b, s) for (_, b), s in zip(blocks, spans)])
+    whole = np.concatenate(flat)
+    del flat
+    model = subword.train(whole, offset, label, [0, 1], weight=np.where(label == 1, min(4.0, (len(label) - ones) / ones), 1.0), dim=8, epochs=3)
+    del whole
+    model.known = known
+    best = np.concatenate([_highest(model, b, subword.windows(b, WINDOW, STEP)) for _, b in blocks_of(texts)])
     have = np.isfinite(best)
     share = have & ~fold
-    if len(np.unique(y[share])) < 2:
-        share = have
-    if len(np.unique(y[share])) < 2:
-        return model
-    model.scale, model.shift = subword.fit_line(best[share], y[share], np.ones(int(share.sum())))
-    if model.scale <= 0:
-        model.scale, model.shift = 1.0, 0.0
+    if len(np.unique(y[share])) == 2:
+        model.scale, model.shift = subword.fit_line(best[share], y[share], np.ones(int(share.sum())))
+        if model.scale > 0:
+            return model
+    # too few texts to calibrate on: as many pass the threshold as are labelled 1
+    cut = float(np.quantile(best[have], 1 - y[have].mean())) if have.any() else 0.0
+    model.scale, model.shift = 1.0, float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut
     return model
 
 
+def blocks_of(texts: list[bytes], room: int = 1 << 19):
+    """Texts in small runs, so that little is held at a time: (first text, block)."""
+    at = 0
+    while at < len(texts):
+        stop, used = at, 0
+        while stop < len(texts) and (stop == at or used + len(texts[stop]) < room):
+            used += len(texts[stop])
+            stop += 1
+        yield at, TextBlock(texts[at:stop])
+        at = stop
+
+
+def _rank(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Place of each entry among those of its row, by value; rows come in order."""
+    order = np.lexsort((value, row))
+    rank = np.empty(len(row), np.int64)
+    rank[order] = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    return rank
+
+
 def _logit(p: float) -> float:
     p = min(max(p, 1e-3), THRESHOLD - 0.05)
     return float(np.log(p / (1 - p)))
