@@ -9,7 +9,9 @@ that agree on all samples of a band are candidates, and candidates are linked if
 the weighted Jaccard similarity of their whole shingle sets is ``THRESHOLD`` or
 more.  Classes are the connected components of links and exact copies.
 
-Exact copies are folded first.  Inside a bucket candidates are not paired each
+Exact copies are folded first.  A text can share no more than the weight of
+shingles that it has in common with any other candidate; this bounds every
+pair's similarity, and pairs that cannot reach the threshold are not looked at.  Inside a bucket candidates are not paired each
 with each: in rounds a few members lead, every member of another class is held
 against them, until a bucket has one class or no member that has not led; after
 the first round the classes found so far are formed, which empties the buckets
@@ -31,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut, stored
+from .lineage import cut, stored, sweep
 from .textbuf import TextBlock, mix, raw_texts, shingles, text_slices
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -39,6 +41,7 @@ BANDS, ROWS = 10, 4
 CELLS = 1 << 20
 RARE, STRENGTH = 256, 0.25
 GROUP = 128
+_SEVERAL = -(1 << 62)
 _ID_BITS = 44
 
 
@@ -176,6 +179,82 @@ def packed_texts(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, "doc long, z binary")
 
 
+def shared_weight(texts: DataFrame, weights) -> DataFrame:
+    """doc, common: the weight of those of its shingles that another of these texts has, too.
+
+    A shingle that several texts of a slice have is sent once, without a text.
+    """
+    shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches):
+        w = weights.value
+        unpacker, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                docs = np.asarray(batch.column(0)[at : at + 512], dtype=np.int64)
+                ids, times, bound = shingle_sets(TextBlock([unpacker.decompress(z) for z in batch.column(1)[at : at + 512].to_pylist()]))
+                weight = w(ids, times)
+                owner = np.repeat(np.arange(len(docs)), np.diff(bound))
+                order = np.argsort(ids, kind="stable")
+                ids, weight, owner = ids[order], weight[order], owner[order]
+                first = np.concatenate(([True], ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
+                many = np.diff(np.append(np.flatnonzero(first), len(ids))) > 1
+                several = np.repeat(many, np.diff(np.append(np.flatnonzero(first), len(ids))))
+                own = np.bincount(owner[several], weight[several].astype(np.float64), len(docs))
+                rows = {"shard": [-1], "blob": [packer.compress(np.zeros(1, np.int64).tobytes() + docs.tobytes() + own.tobytes())]}
+                doc = np.where(several[first], np.int64(_SEVERAL), docs[owner[first]])
+                ids, weight = ids[first], weight[first]
+                shard = (ids % np.uint64(shards)).astype(np.int64)
+                place = np.argsort(shard, kind="stable")
+                cut_at = np.searchsorted(shard[place], np.arange(shards + 1))
+                for k, (a, z) in enumerate(zip(cut_at[:-1].tolist(), cut_at[1:].tolist())):
+                    if z > a:
+                        at_ = place[a:z]
+                        rows["shard"].append(k)
+                        rows["blob"].append(packer.compress(np.ones(1, np.int64).tobytes() + ids[at_].tobytes() + doc[at_].tobytes() + weight[at_].astype(np.float32).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([k if k >= 0 else -1 - int(docs[0]) % shards for k in rows["shard"]], pa.int64()), pa.array(rows["blob"], pa.binary())], ["shard", "blob"])
+
+    def gather(key, table):
+        docs, sums, ids, owner, weight = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for blob in table.column("blob").to_pylist():
+            data = zstandard.ZstdDecompressor().decompress(blob)
+            if int(np.frombuffer(data, np.int64, 1)[0]) == 0:
+                n = (len(data) - 8) // 16
+                docs.append(np.frombuffer(data, np.int64, n, 8))
+                sums.append(np.frombuffer(data, np.float64, n, 8 + 8 * n))
+            else:
+                n = (len(data) - 8) // 20
+                ids.append(np.frombuffer(data, np.uint64, n, 8))
+                owner.append(np.frombuffer(data, np.int64, n, 8 + 8 * n))
+                weight.append(np.frombuffer(data, np.float32, n, 8 + 16 * n))
+        ids, owner, weight = map(np.concatenate, (ids, owner, weight))
+        _, place, times = np.unique(ids, return_inverse=True, return_counts=True)
+        told = owner != _SEVERAL
+        use = told & (times[place] > 1)
+        value, at = np.unique(owner[use], return_inverse=True)
+        docs.append(value)
+        sums.append(np.bincount(at, weight[use].astype(np.float64), len(value)))
+        docs, sums = np.concatenate(docs), np.concatenate(sums)
+        # sums go on by document, packed, so that a document is not a row of every shard
+        part = docs % shards
+        order = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[order], np.arange(shards + 1))
+        rows = [(k, zstandard.ZstdCompressor(level=1).compress(docs[order[a:z]].tobytes() + sums[order[a:z]].tobytes())) for k, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if z > a]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+    def total(key, table):
+        docs, sums = [], []
+        for blob in table.column("blob").to_pylist():
+            data = zstandard.ZstdDecompressor().decompress(blob)
+            docs.append(np.frombuffer(data, np.int64, len(data) // 16))
+            sums.append(np.frombuffer(data, np.float64, len(data) // 16, len(data) // 2))
+        value, at = np.unique(np.concatenate(docs), return_inverse=True)
+        return pa.table({"doc": pa.array(value, pa.int64()), "common": pa.array(np.bincount(at, np.concatenate(sums), len(value)))})
+
+    dealt = texts.mapInArrow(deal, "shard long, blob binary").groupBy("shard").applyInArrow(gather, "part long, blob binary")
+    return dealt.groupBy("part").applyInArrow(total, "doc long, common double")
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of two (sorted ids, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -187,6 +266,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough; the members of one `a` are dealt over several tasks."""
     size = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")))
+    # texts are never sent to all executors, however few pairs there are
+    texts = texts.hint("merge")
     lead = size.join(texts, size["a"] == texts["doc"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "z")
     member = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part"), "b").join(texts, F.col("b") == F.col("doc")).select("a", "part", "b", "z")
     dealt = lead.unionByName(member).repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -228,6 +309,7 @@ def components(links: DataFrame) -> DataFrame:
         total = label.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
         if total == last:
             return label
+        sweep(links.sparkSession)
         last = total
 
 
@@ -244,21 +326,30 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     placed = copies.select(F.explode("bands").alias("key"), "doc", "total")
     # small sides are written first, so that a join against a hot key can be split
     shared = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    bucket = stored(placed.join(shared, "key").distinct(), "buckets")
+    bucket = stored(placed.join(shared.hint("merge"), "key").distinct(), "buckets")
     involved = bucket.select("doc").distinct()
-    texts = stored(packed_texts(known.select(F.col("doc_id").alias("doc"), "text")).join(involved, "doc"), "texts")
+    texts = stored(packed_texts(known.select(F.col("doc_id").alias("doc"), "text")).join(involved.hint("merge"), "doc"), "texts")
     # rows that repeat a doc_id with other texts are linked as they are
-    links = sig.join(copies.select("text_key", "doc"), "text_key").where("doc <> doc_id").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
+    links = sig.select("doc_id", "text_key").join(copies.select("text_key", "doc").hint("merge"), "text_key").where("doc <> doc_id").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
     repeated = sig.groupBy("doc_id").agg(F.count_distinct("text_key").alias("n")).where("n > 1")
     links = links.join(repeated, F.col("b") == F.col("doc_id"), "left_semi")
+    # two texts can share no more than what either has in common with any other
+    common = cut(shared_weight(texts, weights))
+    sweep(spark)
+    bucket = bucket.join(common, "doc").where(F.col("common") >= threshold * F.col("total") * (1 - 1e-6))
     tested, label, lead = None, None, 1
     held = bucket.withColumn("comp", F.col("doc"))
+    alive = cut(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    held = cut(held.join(alive, "key"))
     while not held.isEmpty():
-        first = held.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(lead)).alias("slot")).agg(F.min(F.struct("doc", "comp", "total")).alias("l"))
-        first = cut(first.groupBy("key").agg(F.collect_list("l").alias("leaders")))  # at most `lead` of them
-        pair = held.join(first, "key").select("doc", "comp", "total", F.explode("leaders").alias("l")).where("comp <> l.comp and doc <> l.doc")
-        pair = pair.where(F.least("total", "l.total") >= threshold * F.greatest("total", "l.total") * (1 - 1e-9))
-        pair = pair.select(F.col("l.doc").alias("a"), F.col("doc").alias("b"))
+        # those lead that have least of their own: in a group of near copies, the text they come from
+        best = F.struct((F.col("common") / F.col("total")).alias("share"), (-F.col("doc")).alias("low"), "doc", "comp", "total", "common")
+        first = held.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(lead)).alias("slot")).agg(F.max(best).alias("l"))
+        first = cut(first.select("key", F.col("l.doc").alias("ldoc"), F.col("l.comp").alias("lcomp"), F.col("l.total").alias("ltotal"), F.col("l.common").alias("lcommon")))
+        most = F.least("common", "lcommon")
+        possible = (F.col("comp") != F.col("lcomp")) & (most >= threshold * (1 - 1e-6) * (F.col("total") + F.col("ltotal") - most))
+        own = held.withColumnRenamed("key", "own_key")
+        pair = own.join(first, (F.col("own_key") == F.col("key")) & possible).select(F.col("ldoc").alias("a"), F.col("doc").alias("b"))
         if lead > 1:
             pair = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pair = pair.distinct()
@@ -266,29 +357,30 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
             pair = pair.join(tested, ["a", "b"], "left_anti")
         pair = cut(pair)
         links = cut(links.unionByName(verify(pair, texts, weights, threshold)))
-        led = first.select("key", F.explode("leaders.doc").alias("doc"))
+        led = first.select("key", F.col("ldoc").alias("doc"))
         held = held.join(led, ["key", "doc"], "left_anti")
         if lead == 1:
             # the first round joins large groups; what they have in one class needs no more tests
             label = components(links)
             held = held.drop("comp").join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-            tested = pair
+            tested = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
             tested = tested.unionByName(pair)
         alive = cut(held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
         held = cut(held.join(alive, "key"))
+        sweep(spark)
         lead = min(lead * 16, 256)
     if lead > 16:
         label = components(links)
     if label is None and not links.isEmpty():
         label = components(links)
-    folded = sig.select("doc_id", "text_key").distinct().join(copies.select("text_key", "doc"), "text_key").select("doc_id", "doc")
+    folded = sig.select("doc_id", "text_key").distinct().join(copies.select("text_key", "doc").hint("merge"), "text_key").select("doc_id", "doc")
     if label is not None:
         folded = folded.join(label, "doc", "left").select("doc_id", F.coalesce("comp", "doc").alias("class_id"))
     else:
         folded = folded.select("doc_id", F.col("doc").alias("class_id"))
     folded = folded.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return base.select("doc_id").join(folded, "doc_id", "left")
+    return base.select("doc_id").join(folded.hint("merge"), "doc_id", "left")
 
 
 def keep_one(documents: DataFrame, classes: DataFrame) -> DataFrame:
