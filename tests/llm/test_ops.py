@@ -157,6 +157,25 @@ def test_decontamination(spark):
     assert decontam.find(docs.limit(0), bench).isEmpty() and decontam.find(docs, bench.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("size", [100, 400, 1000])
+@pytest.mark.parametrize("kinds", ["s", "i", "d", "sid"])
+def test_decontamination_keeps_every_match_up_to_the_full_rate(size, kinds):
+    rng = random.Random(size)
+    items = [prose(rng, size)[:size].strip() for _ in range(30)]
+    texts = []
+    for t in items:
+        chars, n = list(t), int(decontam.RATE * len(t))
+        for _ in range(n):
+            kind, at = rng.choice(kinds), rng.randrange(len(chars))
+            chars[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice("abcdefgh")]
+        texts.append(f"{prose(rng, 30)} {''.join(chars)} {prose(rng, 30)}".encode())
+    got = decontam.search(decontam.Items(list(range(30)), [t.encode() for t in items]), texts)
+    # by brute force: an edit that empties a word costs a space too, so a few places are over the rate
+    plain = [" ".join(t.decode().split()).encode() for t in texts]
+    want = [(r, k, d) for r, t in enumerate(plain) for k, i in enumerate(items) if (d := decontam.edit_end(i.encode(), t)[0]) <= decontam.RATE * len(i)]
+    assert [g[:3] for g in got] == want and len(want) > 20
+
+
 def test_url_parts_and_rules(spark):
     rows = ["http://Org/x", "https://a.ORG/", "https://a.org", "x://www.example.org/es/1", "x://example.org/en/12?q", "http://example.com/fr/", "http://m.com/de/?", "nothing", None, "", "://h#f", "http://example.net/en/1", "a://b://c/"]
     pages = with_clashes(spark.createDataFrame([(k, u, None) for k, u in enumerate(rows)], "page_id long, url string, html string"))

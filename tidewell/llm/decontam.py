@@ -4,14 +4,11 @@ Texts and items are compared as their words (ASCII and Latin capitals folded)
 joined by single spaces, in UTF-8 bytes.  A text matches an item if some part of
 it is within ``RATE`` of the item's length in edits.
 
-Every whole text is looked at.  Windows of an item's size are placed where the
-text shares enough q-grams with the item on neighbouring diagonals; by the
-q-gram lemma no match is without such a place, so this loses nothing.  The
-windows and the items go through CGK random-walk embeddings, which turn edit
-distance into Hamming distance; ``WALKS`` walks with ``TABLES`` samples of
-``BITS`` positions each are the hash tables of a bit-sampling LSH, and windows
-that meet their item in one table at least are verified by exact edit distance.
-An identical window always meets its item.
+Every whole text is looked at.  Places are where the text shares enough q-grams
+with an item on neighbouring diagonals; by the q-gram lemma no match is without
+such a place, so this loses nothing.  Every place is verified by exact edit
+distance, so the recall is 1 at every item length and kind of edit.  (CGK walks
+with bit sampling lose matches of long items: walks drift apart with length.)
 
 Null and empty texts and items match nothing.  Repeated rows are searched row by
 row.  Extra columns are ignored by ``find`` and kept by ``clean``.  Items are
@@ -28,7 +25,6 @@ from pyspark.sql import functions as F
 from .textbuf import TextBlock, raw_texts, text_slices
 
 RATE = 0.1
-WALKS, TABLES, BITS = 4, 16, 4
 ITEM_BYTES = 8 << 20
 _FILTER_BITS = 21
 
@@ -81,9 +77,9 @@ def edit_end(item: bytes, text: bytes) -> tuple[int, int]:
 
 
 class Items:
-    """Benchmark items with their q-gram postings and LSH keys."""
+    """Benchmark items with their q-gram postings."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], rate: float = RATE, walks: int = WALKS, tables: int = TABLES, bits: int = BITS, seed: int = 5):
+    def __init__(self, ids: list[int], texts: list[bytes], rate: float = RATE):
         norm = []
         for t in texts:
             flat, _, _ = normalised(TextBlock([t]))
@@ -110,50 +106,14 @@ class Items:
         self.first = np.append(self.first, len(gram))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self._slot(self.gram)] = True
-        rng = np.random.default_rng(seed)
-        self.longest = int(self.size.max(initial=1) + self.edits.max(initial=0))
-        self.step = rng.integers(0, 2, (walks, 3 * self.longest, 256)).astype(np.int16)
-        self.pick = (rng.random((walks, tables, bits))[None] * (2 * self.size)[:, None, None, None]).astype(np.int64)
-        if len(self.text):
-            own = np.arange(len(self.text))
-            self.key = self.embed_keys([np.frombuffer(t, np.uint8) for t in self.text], own)
 
     @staticmethod
     def _slot(gram: np.ndarray) -> np.ndarray:
         return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
-    def embed(self, windows: np.ndarray, size: np.ndarray, walk: int) -> np.ndarray:
-        """CGK embedding of padded windows: at each step emit the current byte, then advance by a shared random bit."""
-        steps = 3 * int(size.max())
-        row = np.arange(len(windows))
-        at = np.zeros(len(windows), np.int64)
-        out = np.zeros((steps, len(windows)), np.uint8)
-        for j in range(steps):
-            c = windows[row, at]
-            out[j] = c
-            at = np.minimum(at + self.step[walk, j][c], size)
-        return out
-
-    def embed_keys(self, windows: list[np.ndarray], item: np.ndarray) -> np.ndarray:
-        """LSH keys (window, walk * table) of windows, with the sample positions of the item each stands for."""
-        size = np.array([len(w) for w in windows], np.int64)
-        padded = np.zeros((len(windows), int(size.max()) + 1), np.uint8)
-        for i, w in enumerate(windows):
-            padded[i, : len(w)] = w
-        keys = []
-        for walk in range(self.step.shape[0]):
-            out = self.embed(padded, size, walk)
-            pick = np.minimum(self.pick[item, walk], len(out) - 1)
-            got = out[pick, np.arange(len(windows))[:, None, None]].astype(np.uint64)
-            key = np.zeros(got.shape[:2], np.uint64)
-            for b in range(got.shape[2]):
-                key = (key << np.uint64(8)) | got[:, :, b]
-            keys.append(key)
-        return np.concatenate(keys, axis=1)
-
-    def places(self, flat: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, window start) wherever enough q-grams of an item stand on neighbouring diagonals."""
-        none = (np.zeros(0, np.int64),) * 3
+    def places(self, flat: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, first and last diagonal) wherever enough q-grams of an item stand on neighbouring diagonals."""
+        none = (np.zeros(0, np.int64),) * 4
         gram = packed_grams(flat, self.q)
         at = np.flatnonzero(self.filter[self._slot(gram)])
         k = np.searchsorted(self.gram, gram[at])
@@ -198,10 +158,7 @@ class Items:
         stop = np.where(nxt_ok, tail[j], tail)
         good = stop - head >= self.need[item[head]]
         head, stop = head[good], stop[good]
-        middle = (head + stop) // 2
-        starts = np.concatenate((diagonal[middle], diagonal[head], diagonal[stop - 1]))
-        got = np.unique(np.stack((np.tile(row[head], 3), np.tile(item[head], 3), starts)), axis=1)
-        return got[0], got[1], got[2]
+        return row[head], item[head], diagonal[head], diagonal[stop - 1]
 
 
 def search(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
@@ -209,7 +166,6 @@ def search(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, i
     if not len(items.ids):
         return []
     cand: list[tuple[int, int, bytes, int]] = []
-    windows: list[np.ndarray] = []
     maps: list[np.ndarray] = []
     at = 0
     while at < len(texts):
@@ -220,27 +176,16 @@ def search(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, i
         block = TextBlock(texts[at:stop])
         flat, place, begin = normalised(block)
         row_of = np.repeat(np.arange(stop - at), np.diff(begin))
-        for r, i, s in zip(*(x.tolist() for x in items.places(flat, row_of))):
+        for r, i, s, t in zip(*(x.tolist() for x in items.places(flat, row_of))):
             lo, hi, n, e = int(begin[r]), int(begin[r + 1]), int(items.size[i]), int(items.edits[i])
-            s0 = min(max(s, lo), hi)
-            windows.append(flat[s0 : min(hi, s0 + n)])
-            a, z = max(lo, s - e), min(hi, s + n + 2 * e)
+            # a match starts within e of the diagonals of its grams
+            a, z = max(lo, s - e), min(hi, t + n + 2 * e)
             cand.append((at + r, i, flat[a:z].tobytes(), len(maps)))
             maps.append(place[a:z] - int(block.start[r]))
         at = stop
-    if not cand:
-        return []
-    item = np.array([c[1] for c in cand])
-    met = np.zeros(len(cand), bool)
-    size = np.array([len(w) for w in windows])
-    for part in np.array_split(np.arange(len(cand)), max(1, len(cand) // 4096)):
-        full = part[size[part] > 0]
-        if len(full):
-            met[full] = (items.embed_keys([windows[i] for i in full], item[full]) == items.key[item[full]]).any(1)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     seen: set[tuple[int, int, bytes]] = set()
-    for k in np.flatnonzero(met).tolist():
-        row, i, text, m = cand[k]
+    for row, i, text, m in cand:
         if (row, i, text) in seen:
             continue
         seen.add((row, i, text))
