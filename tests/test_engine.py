@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell import catalog
 from tidewell.functions import healpix, quat, sky
 from tidewell.operators import cuts, gapfill, iir, interp, noise, ranges, reduce, storage
 from tidewell.plans import pointing, projection
@@ -196,6 +197,15 @@ def test_noise_fit_recovers_parameters(spark):
         noise.fit_one(f, f, 10.0, 5.0, 8.0)
 
 
+def test_noise_query_fits_every_detector(spark, tmp_path):
+    rows = spark.range(50 * 80).selectExpr("id as event_id", "timestamp_micros(1704067200000000 + id * 1000000) as ts", "id % 50 as user_id", "'view' as event_type", "cast(id * 7 % 101 as double) as value", "'{}' as props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["det"]: r for r in catalog.QUERIES["fit_noise"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(50))
+    for d, r in got.items():
+        assert abs(r["white"] / (10 + d) - 1) < 0.1 and abs(r["knee"] - 2) < 0.4 and abs(r["alpha"] - 2) < 0.2
+
+
 def test_storage_rules(spark):
     t = tod(spark, [1.26, -1.25, 0.1]).withColumn("quantum", F.lit(0.5))
     assert [r["q"] for r in storage.quantise(t).orderBy("samp").collect()] == [3, -3, 0]
