@@ -229,6 +229,17 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), lab).isEmpty()
 
 
+def test_toxicity_is_calibrated_to_the_share_of_all_labels(spark, monkeypatch):
+    rng = random.Random(8)
+    # one text in ten is toxic; only a word that is in three of four of those and in one of ten others tells
+    toxic = [int(i % 10 == 0) for i in range(4000)]
+    rows = [(i, prose(rng, 15) + (" zqxbada" if rng.random() < (0.75 if t else 0.1) else "")) for i, t in enumerate(toxic)]
+    docs, lab = documents(spark, rows), spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity.training_rows, "__defaults__", (250,))
+    got = toxicity.toxicity(docs, lab).where("held_out").agg(F.avg("score")).first()[0]
+    assert 0.05 < got < 0.2
+
+
 def test_language(spark):
     rng = random.Random(6)
     tongues = {"aa": "abcde", "bb": "defgh", "cc": "xyzéü"}

@@ -2,7 +2,9 @@
 
 The model is fitted on the driver in numpy from a bounded sample of labelled
 documents: at most ``TRAIN_PER_LABEL`` of each label, chosen by a hash of
-doc_id, and at most ``TRAIN_WINDOWS`` word windows of them.  A window of words
+doc_id, and at most ``TRAIN_WINDOWS`` word windows of them.  Calibration weighs
+each label by its share of all training labels, so scores do not depend on what
+the bound cuts off.  A window of words
 takes its document's label, embeddings and softmax are trained jointly, and a
 document's score is the calibrated score of its highest window, so a few insults
 in a very long text count as much as in a short one.  Scoring covers every word
@@ -32,21 +34,24 @@ THRESHOLD = 0.3
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) -> DataFrame:
-    """At most per_label labelled texts of each label, outside the held-out part (doc_id, text, toxic)."""
+    """At most per_label labelled texts of each label, outside the held-out part (doc_id, text, toxic, weight: labels that a row stands for)."""
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    picks = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
+    count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
+    stands_for = [F.lit(max(1.0, count.get(y, 0) / per_label)).alias("weight") for y in (0, 1)]
+    picks = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).select("*", stands_for[y]) for y in (0, 1)]
     picked = picks[0].unionByName(picks[1])
     # per_label bounds this side, so it can be broadcast
     return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> subword.Model:
-    """A model from (text, 0 or 1) pairs."""
+def fit(rows: list[tuple[bytes, int]], seed: int = 7, weight: np.ndarray | None = None) -> subword.Model:
+    """A model from (text, 0 or 1) pairs; weight says how many labels each stands for."""
     y = np.array([r[1] for r in rows], np.int64)
+    w = np.ones(len(y)) if weight is None else weight / weight.mean()
     if not (y == 0).any() or not (y == 1).any():
         prior = 0.1 if not len(y) else float(y.mean())
         return subword.Model([0, 1], np.zeros((1 << subword.BITS, 2), np.float32), np.zeros(2, np.float32), 0.0, _logit(prior))
@@ -85,11 +90,11 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> subword.Model:
     have = np.isfinite(best)
     share = have & ~fold
     if len(np.unique(y[share])) == 2:
-        model.scale, model.shift = subword.fit_line(best[share], y[share], np.ones(int(share.sum())))
+        model.scale, model.shift = subword.fit_line(best[share], y[share], w[share])
         if model.scale > 0:
             return model
     # too few texts to calibrate on: as many pass the threshold as are labelled 1
-    cut = float(np.quantile(best[have], 1 - y[have].mean())) if have.any() else 0.0
+    cut = _quantile(best[have], 1 - np.average(y[have], weights=w[have]), w[have]) if have.any() else 0.0
     model.scale, model.shift = 1.0, float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut
     return model
 
@@ -114,6 +119,13 @@ def _rank(row: np.ndarray, value: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _quantile(x: np.ndarray, q: float, w: np.ndarray) -> float:
+    """np.quantile with weights."""
+    order = np.argsort(x, kind="stable")
+    x, w = x[order], w[order]
+    return float(np.interp(q, (np.cumsum(w) - w) / max(w.sum() - w[-1], 1e-9), x))
+
+
 def _logit(p: float) -> float:
     p = min(max(p, 1e-3), THRESHOLD - 0.05)
     return float(np.log(p / (1 - p)))
@@ -140,7 +152,7 @@ def score_texts(model: subword.Model, texts: list[bytes]) -> np.ndarray:
 def train_model(documents: DataFrame, labels: DataFrame) -> subword.Model:
     got = training_rows(documents, labels).orderBy("doc_id").toArrow().combine_chunks()
     texts = raw_texts(pa.chunked_array(got["text"]).combine_chunks()) if got.num_rows else []
-    return fit(list(zip(texts, got["toxic"].to_pylist())))
+    return fit(list(zip(texts, got["toxic"].to_pylist())), weight=got["weight"].to_numpy() if got.num_rows else None)
 
 
 def score(documents: DataFrame, model: subword.Model) -> DataFrame:
