@@ -9,14 +9,13 @@ that agree on all samples of a band are candidates, and candidates are linked if
 the weighted Jaccard similarity of their whole shingle sets is ``THRESHOLD`` or
 more.  Classes are the connected components of links and exact copies.
 
-Exact copies are folded first.  A text can share no more than the weight of
-shingles that it has in common with any other candidate; this bounds every
-pair's similarity, and pairs that cannot reach the threshold are not looked at.  Inside a bucket candidates are not paired each
-with each: in rounds a few members lead, every member of another class is held
-against them, until a bucket has one class or no member that has not led; after
-the first round the classes found so far are formed, which empties the buckets
-of large groups.  So every pair of a bucket is either verified or already in one
-class, and no link between classes is lost.
+Exact copies are folded first.  Inside a bucket candidates are not paired each
+with each.  First every bucket has one leader, the text with the fullest buckets
+(in a group of near copies, the text they come from); every other member is held
+against it, and classes are formed.  Members of a bucket that are still in
+different classes are then joined by an exact prefix filter over their shingles,
+and only pairs that it leaves are verified.  So every pair of a bucket is either
+verified, or in one class, or proven to be below the threshold.
 
 Null texts count as empty; texts without a word only match exact copies.  Rows
 that repeat a doc_id are one document.  Rows without a doc_id are in no class
@@ -33,15 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut, stored, sweep
-from .textbuf import TextBlock, mix, raw_texts, shingles, text_slices
+from .lineage import cut, stored
+from .textbuf import SLICE_BYTES, TextBlock, mix, raw_texts, shingles, text_slices
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 CELLS = 1 << 20
 RARE, STRENGTH = 256, 0.25
 GROUP = 128
-_SEVERAL = -(1 << 62)
+PART_BYTES = 4 << 20
 _ID_BITS = 44
 
 
@@ -179,88 +178,32 @@ def packed_texts(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, "doc long, z binary")
 
 
-def shared_weight(texts: DataFrame, weights) -> DataFrame:
-    """doc, common: the weight of those of its shingles that another of these texts has, too.
-
-    A shingle that several texts of a slice have is sent once, without a text.
-    """
-    shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def deal(batches):
-        w = weights.value
-        unpacker, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                docs = np.asarray(batch.column(0)[at : at + 512], dtype=np.int64)
-                ids, times, bound = shingle_sets(TextBlock([unpacker.decompress(z) for z in batch.column(1)[at : at + 512].to_pylist()]))
-                weight = w(ids, times)
-                owner = np.repeat(np.arange(len(docs)), np.diff(bound))
-                order = np.argsort(ids, kind="stable")
-                ids, weight, owner = ids[order], weight[order], owner[order]
-                first = np.concatenate(([True], ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
-                many = np.diff(np.append(np.flatnonzero(first), len(ids))) > 1
-                several = np.repeat(many, np.diff(np.append(np.flatnonzero(first), len(ids))))
-                own = np.bincount(owner[several], weight[several].astype(np.float64), len(docs))
-                rows = {"shard": [-1], "blob": [packer.compress(np.zeros(1, np.int64).tobytes() + docs.tobytes() + own.tobytes())]}
-                doc = np.where(several[first], np.int64(_SEVERAL), docs[owner[first]])
-                ids, weight = ids[first], weight[first]
-                shard = (ids % np.uint64(shards)).astype(np.int64)
-                place = np.argsort(shard, kind="stable")
-                cut_at = np.searchsorted(shard[place], np.arange(shards + 1))
-                for k, (a, z) in enumerate(zip(cut_at[:-1].tolist(), cut_at[1:].tolist())):
-                    if z > a:
-                        at_ = place[a:z]
-                        rows["shard"].append(k)
-                        rows["blob"].append(packer.compress(np.ones(1, np.int64).tobytes() + ids[at_].tobytes() + doc[at_].tobytes() + weight[at_].astype(np.float32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([k if k >= 0 else -1 - int(docs[0]) % shards for k in rows["shard"]], pa.int64()), pa.array(rows["blob"], pa.binary())], ["shard", "blob"])
-
-    def gather(key, table):
-        docs, sums, ids, owner, weight = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-        for blob in table.column("blob").to_pylist():
-            data = zstandard.ZstdDecompressor().decompress(blob)
-            if int(np.frombuffer(data, np.int64, 1)[0]) == 0:
-                n = (len(data) - 8) // 16
-                docs.append(np.frombuffer(data, np.int64, n, 8))
-                sums.append(np.frombuffer(data, np.float64, n, 8 + 8 * n))
-            else:
-                n = (len(data) - 8) // 20
-                ids.append(np.frombuffer(data, np.uint64, n, 8))
-                owner.append(np.frombuffer(data, np.int64, n, 8 + 8 * n))
-                weight.append(np.frombuffer(data, np.float32, n, 8 + 16 * n))
-        ids, owner, weight = map(np.concatenate, (ids, owner, weight))
-        _, place, times = np.unique(ids, return_inverse=True, return_counts=True)
-        told = owner != _SEVERAL
-        use = told & (times[place] > 1)
-        value, at = np.unique(owner[use], return_inverse=True)
-        docs.append(value)
-        sums.append(np.bincount(at, weight[use].astype(np.float64), len(value)))
-        docs, sums = np.concatenate(docs), np.concatenate(sums)
-        # sums go on by document, packed, so that a document is not a row of every shard
-        part = docs % shards
-        order = np.argsort(part, kind="stable")
-        edge = np.searchsorted(part[order], np.arange(shards + 1))
-        rows = [(k, zstandard.ZstdCompressor(level=1).compress(docs[order[a:z]].tobytes() + sums[order[a:z]].tobytes())) for k, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if z > a]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
-
-    def total(key, table):
-        docs, sums = [], []
-        for blob in table.column("blob").to_pylist():
-            data = zstandard.ZstdDecompressor().decompress(blob)
-            docs.append(np.frombuffer(data, np.int64, len(data) // 16))
-            sums.append(np.frombuffer(data, np.float64, len(data) // 16, len(data) // 2))
-        value, at = np.unique(np.concatenate(docs), return_inverse=True)
-        return pa.table({"doc": pa.array(value, pa.int64()), "common": pa.array(np.bincount(at, np.concatenate(sums), len(value)))})
-
-    dealt = texts.mapInArrow(deal, "shard long, blob binary").groupBy("shard").applyInArrow(gather, "part long, blob binary")
-    return dealt.groupBy("part").applyInArrow(total, "doc long, common double")
+def _opened(packed: pa.Array, limit: int = SLICE_BYTES):
+    """Packed texts unpacked in runs of about `limit` bytes: (first row, texts)."""
+    unpacker = zstandard.ZstdDecompressor()
+    start, texts, used = 0, [], 0
+    for k in range(len(packed)):
+        text = unpacker.decompress(packed[k].as_py())
+        if texts and used + len(text) > limit:
+            yield start, texts
+            start, texts, used = k, [], 0
+        texts.append(text)
+        used += len(text)
+    if texts:
+        yield start, texts
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of two (sorted ids, weights)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low, high = np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64), np.maximum(a[1][i], b[1][j]).sum(dtype=np.float64)
-    rest = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - a[1][i].sum(dtype=np.float64) - b[1][j].sum(dtype=np.float64)
-    return float(low / (high + rest)) if high + rest > 0 else 0.0
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    spot = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    both = b[0][spot] == a[0]
+    low = np.minimum(a[1][both], b[1][spot[both]]).sum(dtype=np.float64)
+    whole = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - low
+    return float(low / whole) if whole > 0 else 0.0
 
 
 def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame:
@@ -274,23 +217,23 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float = THRES
 
     def run(batches):
         w = weights.value
-        unpacker = zstandard.ZstdDecompressor()
-
-        def one(z):
-            ids, times, _ = shingle_sets(TextBlock([unpacker.decompress(z)]))
-            return ids, w(ids, times)
-
         at, leaders = None, []
         for batch in batches:
+            a, part, b = (batch.column(i).to_pylist() for i in range(3))
             out_a, out_b = [], []
-            for a, part, b, z in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if (a, part) != at:
-                    at, leaders = (a, part), []
-                if b is None:
-                    leaders.append(one(z))
-                elif any(similarity(x, own) >= threshold for own in [one(z)] for x in leaders):
-                    out_a.append(a)
-                    out_b.append(b)
+            for first, texts in _opened(batch.column(3)):
+                ids, times, bound = shingle_sets(TextBlock(texts))
+                weight = w(ids, times)
+                for k in range(len(texts)):
+                    i = first + k
+                    one = ids[bound[k] : bound[k + 1]], weight[bound[k] : bound[k + 1]]
+                    if (a[i], part[i]) != at:
+                        at, leaders = (a[i], part[i]), []
+                    if b[i] is None:
+                        leaders.append((one[0].copy(), one[1].copy()))
+                    elif any(similarity(one, x) >= threshold for x in leaders):
+                        out_a.append(a[i])
+                        out_b.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -302,17 +245,145 @@ def components(links: DataFrame) -> DataFrame:
     label = cut(edges.groupBy(F.col("a").alias("doc")).agg(F.min(F.least("a", "b")).alias("comp")))
     last = None
     while True:
-        near = edges.join(label, edges["b"] == label["doc"]).groupBy("a").agg(F.min("comp").alias("low"))
-        step = label.join(near, label["doc"] == near["a"]).select("doc", F.least("comp", "low").alias("comp"))
-        up = step.select(F.col("doc").alias("up_doc"), F.col("comp").alias("up_comp"))
-        label = cut(step.join(up, step["comp"] == up["up_doc"], "left").select("doc", F.least("comp", "up_comp").alias("comp")))
+        old = label.select(F.col("doc").alias("up_doc"), F.col("comp").alias("up_comp"))
+        near = edges.join(old.hint("merge"), F.col("b") == F.col("up_doc")).groupBy("a").agg(F.min("up_comp").alias("low"))
+        step = label.join(near.hint("merge"), F.col("doc") == F.col("a")).select("doc", F.least("comp", "low").alias("comp"))
+        # each label goes on to the label that its own document had
+        label = cut(step.join(old.hint("merge"), F.col("comp") == F.col("up_doc"), "left").select("doc", F.least("comp", "up_comp").alias("comp")))
         total = label.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
         if total == last:
             return label
-        sweep(links.sparkSession)
         last = total
 
 
+# ---- pairs inside a bucket that no leader has joined ----
+
+
+def _blob(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(arrays[0])], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays))
+
+
+def _unblob(blob: bytes, *kinds) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _summed(ids: np.ndarray, comp: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry for each shingle and class, in order."""
+    order = np.lexsort((comp, ids))
+    ids, comp, times = ids[order], comp[order], times[order]
+    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (comp[1:] != comp[:-1])))) if len(ids) else np.zeros(0, np.int64)
+    return ids[first], comp[first], np.add.reduceat(times, first) if len(first) else times
+
+
+_COUNTS = "shard long, part long, blob binary"
+_TOKENS = "token long, doc long, comp long, total double, most double, main boolean, bands array<long>"
+
+
+def rival_pairs(held: DataFrame, texts: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket and may reach the threshold.
+
+    held: doc, comp, total and bands (its keys).  An exact prefix filter: shingles
+    are ordered by the number of these texts that have them; of two texts that are
+    similar enough, the first shingle that both have must leave enough weight
+    after it in either.  A text offers only shingles of two classes or more for
+    which that can be, by size class; members of a shingle's largest class are
+    held against those of other classes only.
+    """
+    spark = held.sparkSession
+    held = held.join(texts.hint("merge"), "doc")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = held.agg(F.sum(F.octet_length("z"))).first()[0] or 0
+    parts = max(width, -(-int(packed) // PART_BYTES))
+    held = cut(held.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts))))
+
+    def count(key, table):
+        got = []
+        docs = table.column("comp").to_numpy()
+        for first, some in _opened(table.column("z").combine_chunks()):
+            ids, _, bound = shingle_sets(TextBlock(some))
+            got.append(_summed(ids, np.repeat(docs[first : first + len(some)], np.diff(bound)), np.ones(len(ids), np.int64)))
+        ids, comp, times = _summed(*(np.concatenate(x) for x in zip(*got)))
+        shard = (ids % np.uint64(width)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        edge = np.searchsorted(shard[order], np.arange(width + 1))
+        rows = [(k, order[a:z]) for k, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if z > a]
+        return pa.table({"shard": pa.array([k for k, _ in rows], pa.int64()), "part": pa.array([key[0].as_py()] * len(rows), pa.int64()), "blob": pa.array([_blob(ids[o], comp[o], times[o]) for _, o in rows], pa.binary())})
+
+    def tell(key, table):
+        got = [_unblob(b, np.uint64, np.int64, np.int64) for b in table.column("blob").to_pylist()]
+        ids, comp, times = _summed(*(np.concatenate(x) for x in zip(*got)))
+        value, start = np.unique(ids, return_index=True)
+        total = np.add.reduceat(times, start)
+        # the class with most of a shingle's texts, the smallest of them on a tie
+        rank = np.lexsort((comp, -times, ids))
+        main = comp[rank[start]]
+        classes = np.diff(np.append(start, len(ids)))
+        rows = []
+        for (mine, _, _), part in zip(got, table.column("part").to_pylist()):
+            mine = np.unique(mine)
+            at = np.searchsorted(value, mine)
+            at = at[total[at] > 1]
+            rows.append((part, _blob(value[at], total[at], main[at], (classes[at] > 1).astype(np.uint8))))
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "part": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+    def offer(key, left, right):
+        w = weights.value
+        got = [_unblob(b, np.uint64, np.int64, np.int64, np.uint8) for b in right.column("blob").to_pylist()] if "blob" in right.column_names else []
+        ids_, many_, main_, open_ = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        order = np.argsort(ids_)
+        ids_, many_, main_, open_ = ids_[order], many_[order], main_[order], open_[order]
+        out = []
+        if "z" in left.column_names and len(ids_):
+            comps = left.column("comp").to_numpy()
+            for first, some in _opened(left.column("z").combine_chunks()):
+                ids, times, bound = shingle_sets(TextBlock(some))
+                weight = w(ids, times).astype(np.float64)
+                owner = np.repeat(np.arange(len(some)), np.diff(bound))
+                spot = np.minimum(np.searchsorted(ids_, ids), len(ids_) - 1)
+                there = ids_[spot] == ids
+                many = np.where(there, many_[spot], 1)
+                order = np.lexsort((ids, many, owner))
+                ids, weight, there, spot = ids[order], weight[order], there[order], spot[order]
+                whole = np.concatenate(([0.0], np.cumsum(weight)))
+                total = whole[bound[1:]] - whole[bound[:-1]]
+                left_over = whole[bound[1:]][owner] - whole[:-1]
+                most = left_over * (1 + threshold) / threshold - total[owner]  # the other text's weight at most
+                at = np.flatnonzero(there & (open_[spot] > 0) & (most >= threshold * total[owner] * (1 - 1e-6)))
+                doc = first + owner[at]
+                out.append((ids[at].astype(np.int64), doc, comps[doc], total[owner[at]], most[at], main_[spot[at]] == comps[doc]))
+        token, doc, comp, total, most, main = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 6
+        mine = left.select(["doc", "bands"]).take(pa.array(doc)) if out else None
+        return pa.table({
+            "token": pa.array(token, pa.int64()),
+            "doc": mine.column("doc") if out else pa.array([], pa.int64()),
+            "comp": pa.array(comp, pa.int64()),
+            "total": pa.array(total, pa.float64()),
+            "most": pa.array(most, pa.float64()),
+            "main": pa.array(main, pa.bool_()),
+            "bands": mine.column("bands").cast(pa.list_(pa.int64())) if out else pa.array([], pa.list_(pa.int64())),
+        })
+
+    counts = held.select("part", "comp", "z").groupBy("part").applyInArrow(count, _COUNTS)
+    told = counts.groupBy("shard").applyInArrow(tell, _COUNTS)
+    rows = stored(held.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(offer, _TOKENS), "prefixes")
+    size = lambda x: F.floor(F.log(x) / F.log(F.lit(1.1)))
+    # the text of more weight asks, the other one answers
+    asks = rows.withColumn("size", F.explode(F.sequence(size(F.col("total") * threshold * (1 - 1e-6)), size(F.least("total", "most") * (1 + 1e-6)))))
+    asks = asks.select("token", "size", *[F.col(c).alias(f"ask_{c}") for c in ("doc", "comp", "total", "most", "main", "bands")])
+    answers = rows.where(F.col("most") >= F.col("total") * (1 - 1e-6)).withColumn("size", size("total"))
+    possible = (F.col("comp") != F.col("ask_comp")) & (F.col("total") <= F.col("ask_most") * (1 + 1e-6)) & (F.col("ask_total") <= F.col("most") * (1 + 1e-6)) & (F.col("total") <= F.col("ask_total") * (1 + 1e-6)) & F.arrays_overlap("bands", "ask_bands")
+
+    def met(asking: DataFrame, answering: DataFrame) -> DataFrame:
+        return asking.join(answering.hint("merge"), ["token", "size"]).where(possible).select(F.least("doc", "ask_doc").alias("a"), F.greatest("doc", "ask_doc").alias("b"))
+
+    return met(asks.where("not ask_main"), answers).unionByName(met(asks.where("ask_main"), answers.where("not main"))).where("a < b").distinct()
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id (smallest doc_id of the class) of every row."""
     spark = documents.sparkSession
@@ -325,60 +396,41 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     copies = stored(copies, "distinct-texts")
     placed = copies.select(F.explode("bands").alias("key"), "doc", "total")
     # small sides are written first, so that a join against a hot key can be split
-    shared = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    bucket = stored(placed.join(shared.hint("merge"), "key").distinct(), "buckets")
+    shared = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    bucket = stored(placed.join(shared.hint("merge"), "key"), "buckets")
     involved = bucket.select("doc").distinct()
     texts = stored(packed_texts(known.select(F.col("doc_id").alias("doc"), "text")).join(involved.hint("merge"), "doc"), "texts")
     # rows that repeat a doc_id with other texts are linked as they are
     links = sig.select("doc_id", "text_key").join(copies.select("text_key", "doc").hint("merge"), "text_key").where("doc <> doc_id").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
     repeated = sig.groupBy("doc_id").agg(F.count_distinct("text_key").alias("n")).where("n > 1")
-    links = links.join(repeated, F.col("b") == F.col("doc_id"), "left_semi")
-    # two texts can share no more than what either has in common with any other
-    common = cut(shared_weight(texts, weights))
-    sweep(spark)
-    bucket = bucket.join(common, "doc").where(F.col("common") >= threshold * F.col("total") * (1 - 1e-6))
-    tested, label, lead = None, None, 1
-    held = bucket.withColumn("comp", F.col("doc"))
-    alive = cut(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    held = cut(held.join(alive, "key"))
-    while not held.isEmpty():
-        # those lead that have least of their own: in a group of near copies, the text they come from
-        best = F.struct((F.col("common") / F.col("total")).alias("share"), (-F.col("doc")).alias("low"), "doc", "comp", "total", "common")
-        first = held.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(lead)).alias("slot")).agg(F.max(best).alias("l"))
-        first = cut(first.select("key", F.col("l.doc").alias("ldoc"), F.col("l.comp").alias("lcomp"), F.col("l.total").alias("ltotal"), F.col("l.common").alias("lcommon")))
-        most = F.least("common", "lcommon")
-        possible = (F.col("comp") != F.col("lcomp")) & (most >= threshold * (1 - 1e-6) * (F.col("total") + F.col("ltotal") - most))
-        own = held.withColumnRenamed("key", "own_key")
-        pair = own.join(first, (F.col("own_key") == F.col("key")) & possible).select(F.col("ldoc").alias("a"), F.col("doc").alias("b"))
-        if lead > 1:
-            pair = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pair = pair.distinct()
-        if tested is not None:
-            pair = pair.join(tested, ["a", "b"], "left_anti")
-        pair = cut(pair)
-        links = cut(links.unionByName(verify(pair, texts, weights, threshold)))
-        led = first.select("key", F.col("ldoc").alias("doc"))
-        held = held.join(led, ["key", "doc"], "left_anti")
-        if lead == 1:
-            # the first round joins large groups; what they have in one class needs no more tests
-            label = components(links)
-            held = held.drop("comp").join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-            tested = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            tested = tested.unionByName(pair)
-        alive = cut(held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-        held = cut(held.join(alive, "key"))
-        sweep(spark)
-        lead = min(lead * 16, 256)
-    if lead > 16:
-        label = components(links)
-    if label is None and not links.isEmpty():
-        label = components(links)
+    links = links.join(repeated.hint("merge"), F.col("b") == F.col("doc_id"), "left_semi")
+    # a text whose buckets are full stands in the middle of a group: it leads
+    central = bucket.groupBy("doc").agg(F.sum(F.log("n")).alias("central"))
+    lead = bucket.join(central.hint("merge"), "doc").groupBy("key").agg(F.max(F.struct(F.round("central", 6).alias("c"), (-F.col("doc")).alias("low"), "doc", "total")).alias("l"))
+    lead = cut(lead.select(F.col("key").alias("lead_key"), F.col("l.doc").alias("a"), F.col("l.total").alias("lead_total")))
+    alike = F.least("total", "lead_total") >= threshold * (1 - 1e-6) * F.greatest("total", "lead_total")
+    star = cut(bucket.join(lead.hint("merge"), F.col("key") == F.col("lead_key")).where((F.col("doc") != F.col("a")) & alike).select("a", F.col("doc").alias("b")).distinct())
+    links = cut(links.unionByName(verify(star, texts, weights, threshold)))
+    label = components(links)
+    # buckets that hold several classes still
+    named = bucket.join(label.hint("merge"), "doc", "left").select("key", "doc", "total", F.coalesce("comp", "doc").alias("comp"))
+    named = stored(named, "classes")
+    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    held = named.join(several.hint("merge"), "key").groupBy("doc").agg(F.first("comp").alias("comp"), F.max("total").alias("total"), F.collect_set("key").alias("bands"))
+    held = cut(held)
+    if not held.isEmpty():
+        pairs = cut(rival_pairs(held, texts, weights, threshold))
+        more = verify(pairs, texts, weights, threshold)
+        own = held.select("doc", "comp")
+        more = more.join(own.select(F.col("doc").alias("a"), F.col("comp").alias("x")).hint("merge"), "a").join(own.select(F.col("doc").alias("b"), F.col("comp").alias("y")).hint("merge"), "b")
+        more = cut(more.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
+        if not more.isEmpty():
+            joined = components(more).select(F.col("doc").alias("old"), F.col("comp").alias("new"))
+            alone = more.select(F.explode(F.array("a", "b")).alias("doc")).distinct().withColumn("comp", F.col("doc"))
+            label = label.unionByName(alone.join(label.hint("merge"), "doc", "left_anti"))
+            label = label.join(joined.hint("merge"), F.col("comp") == F.col("old"), "left").select("doc", F.coalesce("new", "comp").alias("comp"))
     folded = sig.select("doc_id", "text_key").distinct().join(copies.select("text_key", "doc").hint("merge"), "text_key").select("doc_id", "doc")
-    if label is not None:
-        folded = folded.join(label, "doc", "left").select("doc_id", F.coalesce("comp", "doc").alias("class_id"))
-    else:
-        folded = folded.select("doc_id", F.col("doc").alias("class_id"))
+    folded = folded.join(label.hint("merge"), "doc", "left").select("doc_id", F.coalesce("comp", "doc").alias("class_id"))
     folded = folded.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return base.select("doc_id").join(folded.hint("merge"), "doc_id", "left")
 
