@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with padded numpy matrices.
 
 Each match of the pre-tokenizer's pattern is encoded by itself.  Pieces are put
-in length buckets and each bucket becomes a padded matrix of token ids; in every
-round each row merges its leftmost pair of minimum rank, pair ranks come from an
-open-addressing hash table, and rows that are done leave the matrix.  Pieces
-longer than ``LONG`` bytes are merged one row at a time and take all
-occurrences of the round's pair at once where that provably gives the same
-result.  Every worker keeps a bounded cache of pieces already encoded.
+in length buckets and each bucket becomes a padded matrix of token ids.  In every
+round each row merges its leftmost pair of minimum rank; pair ranks come from an
+open-addressing hash table.  A row's ranks are kept with the least of every
+``BLOCK`` of them, so a round looks at one block and the blocks' minima, however
+long the piece; merged cells are skipped by links, and columns are compacted when
+half of them are empty.  Rows that are done leave the matrix.  Every worker
+keeps a cache of pieces already encoded, bounded in number and bytes.
 
 Null texts count as empty and give no ids; texts are encoded whole, however
 long; ids that are null or unknown decode to nothing.  Repeated rows are handled
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .textbuf import text_slices
 
-LONG = 128
-CACHE = 400_000
+BLOCK = 32
+CACHE, CACHE_BYTES = 400_000, 16 << 20
 _NONE = np.int32(0x7FFFFFFF)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -38,11 +39,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
 
 
+def _closed_up(cells: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The cells of each row that are in use (`size` of them), without gaps, padded with -1."""
+    out = np.full((len(cells), int(size.max())), -1, np.int32)
+    out[np.arange(out.shape[1])[None, :] < size[:, None]] = cells[cells >= 0]
+    return out
+
+
 class PieceCache:
     """Ids of pieces already encoded, in flat arrays."""
 
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
+        self.bytes = 0
         self.ids, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def add(self, pieces: list[str], ids: np.ndarray, count: np.ndarray) -> None:
@@ -51,6 +60,7 @@ class PieceCache:
             self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
             self.count = np.concatenate((self.count, count.astype(np.int32)))
             self.ids = np.concatenate((self.ids, ids))
+            self.bytes += sum(map(len, pieces))
 
 
 class Vocabulary:
@@ -117,12 +127,6 @@ class Vocabulary:
         for b in np.unique(bucket[size > 0]).tolist():
             rows = np.flatnonzero((bucket == b) & (size > 0))
             width = int(size[rows].max())
-            if width > LONG:
-                for r in rows.tolist():
-                    got = self._merge_long(raw[start[r] : start[r + 1]])
-                    wide[start[r] : start[r] + len(got)] = got
-                    count[r] = len(got)
-                continue
             step = max(1, (1 << 18) // width)
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
@@ -135,65 +139,51 @@ class Vocabulary:
 
     def _merge(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         done, total = np.full(ids.shape, -1, np.int32), np.zeros(len(ids), np.int64)
-        row = np.arange(len(ids))
-        size = size.copy()
-        rank = self.pair_ranks(ids[:, :-1], ids[:, 1:]) if ids.shape[1] > 1 else np.full((len(ids), 0), _NONE, np.int32)
+        row, size = np.arange(len(ids)), size.copy()
         while len(row):
-            low = rank.min(1) if rank.shape[1] else np.full(len(row), _NONE, np.int32)
+            row, ids, size = self._rounds(row, ids, size, done, total)
+        return done, total
+
+    def _rounds(self, row: np.ndarray, ids: np.ndarray, size: np.ndarray, done: np.ndarray, total: np.ndarray):
+        """Merges until half of the columns are empty; rows that are done go to `done`.  Returns the others, compacted."""
+        n, width = ids.shape
+        block = min(BLOCK, 1 << width.bit_length())
+        across = width // block + 1
+        # the column behind the last one is always empty; links point there at the ends
+        cells = np.full((n, across * block), -1, np.int32)
+        cells[:, :width] = ids
+        after = np.minimum(np.arange(across * block, dtype=np.int32) + 1, width)[None, :].repeat(n, 0)
+        before = np.where(np.arange(across * block, dtype=np.int32) > 0, np.arange(across * block, dtype=np.int32) - 1, width)[None, :].repeat(n, 0)
+        rank = np.full((n, across * block), _NONE, np.int32)
+        rank[:, : width - 1] = self.pair_ranks(ids[:, :-1], ids[:, 1:])
+        least = rank.reshape(n, across, block).min(2)
+        while True:
+            low = least.min(1)
             ended = low == _NONE
             if ended.any():
-                done[row[ended], : ids.shape[1]] = ids[ended]
-                total[row[ended]] = size[ended]
-                keep = ~ended
-                width = int(size[keep].max()) if keep.any() else 0
-                row, ids, rank, size, low = row[keep], ids[keep][:, :width], rank[keep][:, : max(width - 1, 0)], size[keep], low[keep]
-                if not len(row):
-                    break
-            at = rank.argmin(1)
+                over = size[ended]
+                done[row[ended], : int(over.max())] = _closed_up(cells[ended], over)
+                total[row[ended]] = over
+                go = ~ended
+                row, cells, after, before, rank, least, low, size = (x[go] for x in (row, cells, after, before, rank, least, low, size))
+            if not len(row):
+                return row, cells, size
+            if width > 8 and size.max() <= width // 2:
+                return row, _closed_up(cells, size), size
             every = np.arange(len(row))
-            width = ids.shape[1]
-            ids[every, at] = low
-            # compaction: everything behind the pair moves one to the left
-            cols = np.arange(width)[None, :]
-            source = np.minimum(cols + (cols > at[:, None]), width - 1)
-            ids = np.take_along_axis(ids, source, 1)
+            first = least.argmin(1)
+            at = first * block + rank.reshape(len(row), across, block)[every, first].argmin(1)
+            gone = after[every, at]
+            nxt, prv = after[every, gone], before[every, at]
+            cells[every, at], cells[every, gone] = low, -1
+            after[every, at], before[every, nxt] = nxt, at
+            rank[every, gone] = _NONE
+            made = self.pair_ranks(np.stack((low, cells[every, prv])), np.stack((cells[every, nxt], low)))
+            rank[every, at], rank[every, prv] = made
             size = size - 1
-            ids[every, size] = -1
-            cols = np.arange(width - 1)[None, :]
-            rank = np.take_along_axis(rank, np.minimum(cols + (cols > at[:, None]), width - 2), 1)
-            rank[every, width - 2] = _NONE
-            right = np.minimum(at + 1, width - 1)
-            rank[every, np.minimum(at, width - 2)] = np.where(at < size - 1, self.pair_ranks(ids[every, at], ids[every, right]), _NONE)
-            back = np.flatnonzero(at > 0)
-            rank[back, at[back] - 1] = self.pair_ranks(ids[back, at[back] - 1], ids[back, at[back]])
-        return done, total
-
-    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        ids = ids.copy()
-        while len(ids) > 1:
-            rank = self.pair_ranks(ids[:-1], ids[1:])
-            low = rank.min()
-            if low == _NONE:
-                break
-            at = np.flatnonzero(rank == low)
-            run = np.concatenate(([True], np.diff(at) > 1))
-            begin = at[run][np.cumsum(run) - 1]
-            at = at[(at - begin) % 2 == 0]  # left to right, without overlap
-            new = ids.copy()
-            new[at] = low
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            new = new[keep]
-            where = at - np.arange(len(at))
-            # on the way there the merged token also stands before unmerged ones
-            nxt = at + 2 < len(ids)
-            between = self.pair_ranks(np.full(int(nxt.sum()), low, np.int32), ids[at[nxt] + 2])
-            left, right = where[where > 0], where[where < len(new) - 1]
-            made = np.concatenate((between, self.pair_ranks(new[left - 1], new[left]), self.pair_ranks(new[right], new[right + 1])))
-            if len(at) > 1 and len(made) and made.min() < low:
-                new = np.concatenate((ids[: at[0]], np.array([low], np.int32), ids[at[0] + 2 :]))
-            ids = new
-        return ids
+            view = rank.reshape(len(row), across, block)
+            for x in (at // block, gone // block, prv // block):
+                least[every, x] = view[every, x].min(1)
 
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text], PieceCache())[0].tolist()
@@ -203,7 +193,7 @@ class Vocabulary:
         find = regex.compile(self.pattern).findall
         split = [find(t) for t in texts]
         new = list(set(chain.from_iterable(split)).difference(cache.place))
-        if len(cache.place) + len(new) > CACHE:
+        if len(cache.place) + len(new) > CACHE or cache.bytes > CACHE_BYTES:
             cache.__init__()
             new = list(set(chain.from_iterable(split)))
         cache.add(new, *self.encode_pieces([p.encode() for p in new]))
