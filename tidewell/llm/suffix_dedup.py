@@ -10,9 +10,10 @@ out.  The others go, with the bytes of the windows they stand for, to shards by
 anchor.  A shard takes its anchors in text order in batches: a batch gets the
 suffix array of its windows, which is merge-scanned against the existing levels
 for matches of full length, and is then added as a level; levels of equal size
-merge geometrically.  An anchor that occurs more than ``HOT`` times is dealt out
-by its windows' contents instead, as 128-bit fingerprints, each sent once by
-every part, so no shard gathers a frequent passage.
+merge geometrically.  Windows of an anchor that occurs more than ``HOT`` times
+are dealt to shards one by one, by a hash of all their bytes, and each different
+one is sent once by every part; they go through the same families, so the answer
+is exact and no shard gathers a frequent passage.
 
 Order: doc_id, nulls last, then the text's digest.  Of identical texts only the
 first is searched; a later copy of MATCH bytes or more goes whole.  Rows that
@@ -44,7 +45,8 @@ BATCH = 1 << 16
 _POS_BITS = 28
 _LAST = (1 << 63) - 1
 _RAND = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_B1, _B2 = 0x5851F42D4C957F2D, 0xD1342543DE82EF95
+_B1 = 0x5851F42D4C957F2D
+PART_BYTES = 64 << 20
 
 
 def rolling(data: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -124,13 +126,37 @@ class Family:
     def _push(self, text: np.ndarray, array: np.ndarray) -> None:
         while self.levels and len(self.levels[-1][1]) <= len(array):
             old_text, old = self.levels.pop()
-            keys = np.concatenate((self._keys(old_text, old), self._keys(text, array)))
-            both = np.concatenate((old, array + len(old_text)))
-            text = np.concatenate((old_text, text))
-            array = both[np.argsort(keys, kind="stable")]
+            # where each entry of the new array comes to stand between those of the old one
+            spot = np.searchsorted(self._keys(old_text, old), self._keys(text, array)) + np.arange(len(array))
+            both = np.empty(len(old) + len(array), np.int64)
+            from_old = np.ones(len(both), bool)
+            from_old[spot] = False
+            both[spot], both[from_old] = array + len(old_text), old
+            text, array = np.concatenate((old_text, text)), both
         self.levels.append((text, array))
 
 
+def _leaders(data: np.ndarray, at: np.ndarray, hashed: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of `data` at some places: which are the first of their content, and for each the first one with its content.
+
+    Hashes only sort; bytes decide.  Windows with one hash and other bytes lead for themselves.
+    """
+    order = np.argsort(hashed, kind="stable")
+    view = sliding_window_view(data, match)
+    new = np.ones(len(at), bool)
+    for k in range(1, len(order), 1 << 16):
+        a, b = order[k - 1 : k - 1 + (1 << 16)], order[k : k + (1 << 16)]
+        a = a[: len(b)]
+        equal = hashed[a] == hashed[b]
+        equal[equal] = (view[at[a[equal]]] == view[at[b[equal]]]).all(1)
+        new[k : k + len(b)] = ~equal
+    group = np.cumsum(new) - 1
+    lead = order[new]
+    same = np.empty(len(at), np.int64)
+    same[order] = lead[group]
+    return np.sort(lead), same
+
+
 # ---- parts: groups of texts that stay together through all steps ----
 
 
@@ -140,14 +166,14 @@ def _open(table: pa.Table, firsts: pa.Table | None):
         return []
     ids = [_LAST if i is None else i for i in table.column("doc_id").to_pylist()]
     keys = table.column("digest").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], keys[i]))
-    wanted = None if firsts is None else set(zip(firsts.column("owner").to_pylist(), firsts.column("mark").to_pylist()))
     packed = table.column("z")
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], keys[i], not packed[i].is_valid))
+    wanted = None if firsts is None else set(zip(firsts.column("owner").to_pylist(), firsts.column("mark").to_pylist()))
     unpacker = zstandard.ZstdDecompressor()
     texts, seen = [], set()
     for rank, i in enumerate(order):
         mark = (ids[i], keys[i])
-        if mark in seen or (wanted is not None and mark not in wanted):
+        if mark in seen or not packed[i].is_valid or (wanted is not None and mark not in wanted):
             continue
         seen.add(mark)
         texts.append((rank, ids[i], unpacker.decompress(packed[i].as_py()), i))
@@ -251,6 +277,7 @@ def _window_step(shards: int):
         known, hot = known[order], np.concatenate([s[1] for s in side])[order]
         out: dict[str, list] = {c: [] for c in ("shard", "hash", "doc", "row", "first", "last", "size", "bytes")}
         marks: list[tuple] = []
+        later: list[tuple] = []
         for texts, data, begin, end in _runs(_open(left, _of_kind(right, 0))):
             hashed, at, first, last = anchors(data, begin, end)
             spot = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
@@ -274,8 +301,12 @@ def _window_step(shards: int):
                 many = last[often] - first[often] + 1
                 own = np.repeat(np.flatnonzero(often), many)
                 place = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + first[own]
-                low, high = mix(rolling(data, MATCH, _B1)[place]), mix(rolling(data, MATCH, _B2)[place])
-                marks.append((low, high, doc[row[own]], rank[row[own]], place - begin[row[own]]))
+                # texts come in order, so the first of equal windows stands first
+                lead, same = _leaders(data, place, mix(rolling(data, MATCH, _B1)[place]))
+                follow = np.flatnonzero(same != np.arange(len(place)))
+                later.append((rank[row[own[follow]]], place[follow] - begin[row[own[follow]]]))
+                at = place[lead]
+                marks.append((doc[row[own[lead]]], rank[row[own[lead]]], at - begin[row[own[lead]]], np.ascontiguousarray(sliding_window_view(data, MATCH)[at])))
         rows = []
         me = key[0].as_py()
         flat = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
@@ -296,21 +327,21 @@ def _window_step(shards: int):
                     body = b"".join(data[ends[i] - flat["size"][i] : ends[i]] for i in lead.tolist())
                     rows.append({"shard": s, "part": me, "blob": _blob(flat["doc"][at], flat["row"][at].astype(np.int32), flat["first"][at].astype(np.int32), flat["last"][at].astype(np.int32), place.astype(np.int32), flat["size"][lead].astype(np.int32), flat["hash"][lead].astype(np.uint64), np.frombuffer(body, np.uint8))})
         if marks:
-            low, high, doc, rank, place = (np.concatenate(x) for x in zip(*marks))
-            # the first of each fingerprint speaks for this part; the others follow it
-            order = np.lexsort((place, rank, doc, high, low))
-            low, high, doc, rank, place = low[order], high[order], doc[order], rank[order], place[order]
-            lead = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
-            if (~lead).any():
-                rows.append({"shard": -1 - me % shards, "part": me, "blob": _blob(rank[~lead].astype(np.int32), place[~lead].astype(np.int32), place[~lead].astype(np.int32))})
-            shard = (low % np.uint64(shards)).astype(np.int64) + shards
-            pick = np.flatnonzero(lead)
-            pick = pick[np.argsort(shard[pick], kind="stable")]
-            bound = np.searchsorted(shard[pick], np.arange(shards, 2 * shards + 1))
+            doc, rank, place, window = (np.concatenate(x) for x in zip(*marks))
+            key_of = mix(rolling(window.reshape(-1), MATCH, _B1)[::MATCH])
+            lead, same = _leaders(window.reshape(-1), np.arange(len(window)) * MATCH, key_of)
+            follow = np.flatnonzero(same != np.arange(len(window)))
+            later.append((rank[follow], place[follow]))
+            row, at = (np.concatenate(x).astype(np.int32) for x in zip(*later))
+            if len(row):
+                rows.append({"shard": -1 - me % shards, "part": me, "blob": _blob(row, at, at)})
+            shard = (key_of[lead] % np.uint64(shards)).astype(np.int64)
+            order = lead[np.argsort(shard, kind="stable")]
+            bound = np.searchsorted(np.sort(shard), np.arange(shards + 1))
             for s, (a, z) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist())):
                 if z > a:
-                    at = pick[a:z]
-                    rows.append({"shard": shards + s, "part": me, "blob": _blob(low[at], high[at], doc[at], rank[at].astype(np.int32), place[at].astype(np.int32))})
+                    pick = order[a:z]
+                    rows.append({"shard": shards + s, "part": me, "blob": _blob(doc[pick], rank[pick].astype(np.int32), place[pick].astype(np.int32), window[pick])})
         return pa.Table.from_pylist(rows, schema=_SHARD_PA)
 
     return run
@@ -325,7 +356,7 @@ def _shard_step(shards: int):
         if shard < 0:
             rows = [{"part": p, "kind": 2, "blob": b} for p, b in zip(parts, blobs)]
         elif shard >= shards:
-            rows = _fingerprints(parts, blobs)
+            rows = _windows(parts, blobs)
         else:
             rows = _family(parts, blobs)
         return pa.Table.from_pylist(rows, schema=_SIDE_PA)
@@ -340,13 +371,18 @@ def _ranges(part: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarr
     return [{"part": int(p), "kind": 2, "blob": _blob(row[order[a:z]].astype(np.int32), first[order[a:z]].astype(np.int32), last[order[a:z]].astype(np.int32))} for p, a, z in zip(names.tolist(), bound[:-1].tolist(), bound[1:].tolist())]
 
 
-def _fingerprints(parts: list[int], blobs: list[bytes]) -> list[dict]:
-    got = [_unblob(b, np.uint64, np.uint64, np.int64, np.int32, np.int32) for b in blobs]
-    low, high, doc, row, place = (np.concatenate(x) for x in zip(*got))
+def _windows(parts: list[int], blobs: list[bytes]) -> list[dict]:
+    """Single windows of hot anchors through a family, in text order."""
+    got = [_unblob(b, np.int64, np.int32, np.int32, np.uint8) for b in blobs]
+    doc, row, place, text = (np.concatenate(x) for x in zip(*got))
     part = np.repeat(parts, [len(g[0]) for g in got])
-    order = np.lexsort((place, row, doc, high, low))
-    later = order[1:][(low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])]
-    return _ranges(part[later], row[later], place[later], place[later])
+    window = text.reshape(-1, MATCH)
+    order = np.lexsort((place, row, doc))
+    family, again = Family(), np.zeros(len(order), bool)
+    for at in range(0, len(order), BATCH):
+        batch = order[at : at + BATCH]
+        again[batch] = family.add(np.ascontiguousarray(window[batch]).reshape(-1), np.arange(len(batch)) * MATCH)
+    return _ranges(part[again], row[again], place[again], place[again])
 
 
 def _family(parts: list[int], blobs: list[bytes]) -> list[dict]:
@@ -427,20 +463,48 @@ def _span_step(key, left, right):
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 
 
-def _packed(documents: DataFrame, parts: int, carry: list[T.StructField]) -> DataFrame:
+def _part(parts: int):
+    """A text's part: rows without an id or with one id are spread by what they hold."""
+    return F.pmod(F.xxhash64("doc_id", "digest"), F.lit(parts)).alias("part")
+
+
+def _packed(documents: DataFrame, carry: list[T.StructField]) -> DataFrame:
+    """doc_id, digest, n, z (packed text), times and the carried columns.
+
+    Of rows of one task that repeat doc_id and text only the first is packed; a
+    row without z counts the others.
+    """
+    names = ["doc_id", "digest", "n", "z", "times", *[f.name for f in carry]]
+
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1)
+        seen: dict[tuple, list] = {}
+        kinds = None
         for batch in batches:
-            for a, z in text_slices(batch.column(2)):
-                texts = raw_texts(batch.column(2)[a:z])
+            kinds = batch.schema
+            for a, z in text_slices(batch.column(1)):
+                texts = raw_texts(batch.column(1)[a:z])
                 digest = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-                made = [pa.array(digest, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([packer.compress(t) for t in texts], pa.binary())]
-                rest = [batch.column(k)[a:z] for k in range(3, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], batch.column(1)[a:z], *made, *rest], ["part", "doc_id", "digest", "n", "z", *batch.schema.names[3:]])
-
-    fields = [T.StructField("part", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("z", T.BinaryType())]
+                new = []
+                for k, mark in enumerate(zip(batch.column(0)[a:z].to_pylist(), digest)):
+                    if mark in seen:
+                        seen[mark][0] += 1
+                    else:
+                        seen[mark] = [0, len(texts[k])]
+                        new.append(k)
+                part, at = batch.slice(a, z - a), pa.array(new, pa.int64())
+                made = [pa.array([digest[k] for k in new], pa.binary()), pa.array([len(texts[k]) for k in new], pa.int64()), pa.array([packer.compress(texts[k]) for k in new], pa.binary()), pa.array([1] * len(new), pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), *made, *[part.column(k).take(at) for k in range(2, part.num_columns)]], names)
+        more = [(*mark, n, times) for mark, (times, n) in seen.items() if times]
+        if more:
+            ids, digest, size, times = zip(*more)
+            made = [pa.array(ids, pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.nulls(len(more), pa.binary()), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*made, *[pa.nulls(len(more), kinds.field(k).type) for k in range(2, len(kinds))]], names)
+
+    kinds = [T.LongType(), T.BinaryType(), T.LongType(), T.BinaryType(), T.LongType()]
+    fields = [T.StructField(c, k) for c, k in zip(names, kinds)]
     long = documents.where(F.octet_length("text") >= MATCH)
-    return long.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), "doc_id", "text", *[f.name for f in carry]).mapInArrow(run, T.StructType([*fields, *carry]))
+    return long.select("doc_id", "text", *[f.name for f in carry]).mapInArrow(run, T.StructType([*fields, *[T.StructField(f.name, f.dataType) for f in carry]]))
 
 
 def repeats(documents: DataFrame, carry: list[str] | None = None, copies: bool = True, hot: int = HOT) -> DataFrame:
@@ -450,14 +514,17 @@ def repeats(documents: DataFrame, carry: list[str] | None = None, copies: bool =
     whole as later copies are left out.
     """
     spark = documents.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fields = [T.StructField(f"c{k}", documents.schema[c].dataType) for k, c in enumerate(carry or [])]
     named = [F.col(f"`{c}`").alias(f.name) for c, f in zip(carry or [], fields)]
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *named)
+    # parts and shards follow the amount of text, so neither outgrows a task
+    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART_BYTES))
     # every later step needs the texts by part, so they are dealt out once, packed
-    held = _packed(base, width, fields).repartition(width, "part").persist(StorageLevel.DISK_ONLY)
+    held = _packed(base, fields).withColumn("part", _part(width)).repartition(width, "part").persist(StorageLevel.DISK_ONLY)
     same = held.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("doc_id"))
-    firsts = same.select(F.pmod(F.xxhash64(F.when(F.col("doc_id") < _LAST, F.col("doc_id"))), F.lit(width)).alias("part"), F.lit(0).alias("kind"), F.col("doc_id").alias("owner"), F.col("digest").alias("mark"), F.lit(None).cast("binary").alias("blob"))
+    firsts = same.select(F.when(F.col("doc_id") < _LAST, F.col("doc_id")).alias("doc_id"), F.col("doc_id").alias("owner"), "digest")
+    firsts = firsts.select(_part(width), F.lit(0).alias("kind"), "owner", F.col("digest").alias("mark"), F.lit(None).cast("binary").alias("blob"))
     firsts = cut(firsts)
     with_side = lambda side: held.groupBy("part").cogroup(side.groupBy("part"))
     found = with_side(firsts).applyInArrow(_anchor_step(width), _SHARD)
@@ -472,7 +539,7 @@ def repeats(documents: DataFrame, carry: list[str] | None = None, copies: bool =
     out = out.unionByName(short.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("spans"), F.col("text").cast("binary").alias("text"), F.col("text").cast("binary").alias("kept"), *carried))
     if copies:
         # all rows of a text but one row of its first id
-        rows = cut(held.groupBy("doc_id", "digest", "n").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in carried]))
+        rows = cut(held.groupBy("doc_id", "digest", "n").agg(F.sum("times").alias("times"), *[F.first(c, True).alias(c) for c in carried]))
         first = firsts.select("mark", F.col("owner").alias("first"))
         rows = rows.join(first, F.col("digest") == F.col("mark")).withColumn("times", F.col("times") - (F.coalesce("doc_id", F.lit(_LAST)) == F.col("first")).cast("int")).where("times > 0")
         rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
