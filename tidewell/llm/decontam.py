@@ -4,11 +4,19 @@ Texts and items are compared as their words (ASCII and Latin capitals folded)
 joined by single spaces, in UTF-8 bytes.  A text matches an item if some part of
 it is within ``RATE`` of the item's length in edits.
 
-Every whole text is looked at.  Places are where the text shares enough q-grams
-with an item on neighbouring diagonals; by the q-gram lemma no match is without
-such a place, so this loses nothing.  Every place is verified by exact edit
-distance, so the recall is 1 at every item length and kind of edit.  (CGK walks
-with bit sampling lose matches of long items: walks drift apart with length.)
+Every whole text is looked at.  Windows begin at every word of a text (and at
+marks that follow from the letters inside very long words; at every byte for
+items under ``SHORT`` bytes) and are as long as an item.  A CGK walk reads a
+window: at each step it notes the byte under it and stays or goes on by a random
+bit of step and byte, so strings at a small edit distance come to be at a small
+Hamming distance.  Bit-sampling tables hash a few noted bytes; the tables of ``WALKS``
+walks meet the items' own windows, taken at up to ``STARTS`` of their words.  All samples lie in the first steps of a walk, so no
+walk goes further.  Windows that meet an item in a table and agree with it in
+enough steps (Hamming distance) are candidates, and the place is verified by
+exact edit distance (bit-parallel).  ``CLASSES`` says how many tables, samples
+and steps items of a size take.  As an item is met from each of its words, the recall
+stays near 1 up to the full rate, at any item length and kind of edit; tests
+measure it against brute force.
 
 Null and empty texts and items match nothing.  Repeated rows are searched row by
 row.  Extra columns are ignored by ``find`` and kept by ``clean``.  Items are
@@ -22,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import TextBlock, raw_texts, text_slices
+from .textbuf import TextBlock, mix, raw_texts, text_slices
 
 RATE = 0.1
 ITEM_BYTES = 8 << 20
-_FILTER_BITS = 21
+WALKS, STARTS = 2, 64
+SHORT = 24
+#: Item sizes that share tables: from how many bytes on, steps of a walk, tables a walk, samples a table, share of steps that must agree.
+CLASSES = ((1, 1, 1, 1, 1.0), (2, 2, 1, 2, 1.0), (4, 4, 1, 3, 1.0), (8, 8, 4, 4, 0.6), (16, 16, 8, 4, 0.55), (24, 24, 8, 4, 0.55), (40, 40, 8, 4, 0.55), (80, 64, 4, 7, 0.7))
+_FILTER_BITS = 22
 
 
 def normalised(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,14 +51,41 @@ def normalised(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, at, np.searchsorted(at, np.append(block.start, len(block.buf)))
 
 
-def packed_grams(flat: np.ndarray, q: int) -> np.ndarray:
-    """All q-grams (q up to 8) as integers."""
-    n = len(flat) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    wide = np.concatenate((flat, np.zeros(8, np.uint8)))
-    out = np.ndarray((n,), "<u8", wide, strides=(1,))  # overlapping loads
-    return out & np.uint64((1 << 8 * q) - 1) if q < 8 else out.copy()
+def window_starts(flat: np.ndarray) -> np.ndarray:
+    """Where words begin; inside words of more than 24 bytes also where a hash of the next four bytes says so."""
+    mark = np.ones(len(flat), bool)
+    np.equal(flat[:-1], 32, out=mark[1:])
+    at = np.flatnonzero(mark)
+    length = np.diff(np.append(at, len(flat)))
+    long = np.flatnonzero(length > 24)
+    if not len(long):
+        return at
+    own = np.repeat(long, length[long] - 4)
+    more = at[own] + np.arange(len(own)) - np.repeat(np.cumsum(length[long] - 4) - (length[long] - 4), length[long] - 4)
+    gram = sum(flat[more + k].astype(np.uint64) << np.uint64(8 * k) for k in range(4))
+    mark[more[mix(gram) % np.uint64(4) == 0]] = True
+    return np.flatnonzero(mark)
+
+
+def walk_bits(steps: int = CLASSES[-1][1]) -> np.ndarray:
+    """Whether each walk goes on after each step, by the byte it is on: bits of a hash."""
+    key = np.arange(WALKS * steps * 256, dtype=np.uint64) + np.uint64(0x51ED27)
+    return (mix(key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.int64).reshape(WALKS, steps, 256)
+
+
+def walk(flat: np.ndarray, start: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """CGK embeddings of the windows at `start`: the byte noted at each step (steps x windows); flat is padded behind."""
+    out = np.empty((len(bits), len(start)), np.uint8)
+    # in runs that stay in the cache
+    for a in range(0, len(start), 1 << 13):
+        at = start[a : a + (1 << 13)].astype(np.int64)
+        step = np.empty(len(at), np.int64)
+        for j, go in enumerate(bits):
+            noted = out[j, a : a + (1 << 13)]
+            np.take(flat, at, out=noted, mode="clip")
+            np.take(go, noted, out=step, mode="clip")
+            at += step
+    return out
 
 
 def edit_end(item: bytes, text: bytes) -> tuple[int, int]:
@@ -77,7 +116,7 @@ def edit_end(item: bytes, text: bytes) -> tuple[int, int]:
 
 
 class Items:
-    """Benchmark items with their q-gram postings."""
+    """Benchmark items in the bit-sampling tables of their size's class."""
 
     def __init__(self, ids: list[int], texts: list[bytes], rate: float = RATE):
         norm = []
@@ -89,76 +128,105 @@ class Items:
         self.text = [norm[i] for i in keep]
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.floor(rate * self.size + 1e-9).astype(np.int64)
-        self.q = 8
-        while self.q > 1 and len(self.size) and (self.size - self.q + 1 - self.edits * self.q).min() < 1:
-            self.q -= 1
-        self.need = np.maximum(self.size - self.q + 1 - self.edits * self.q, 1)
-        gram, owner, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, t in enumerate(self.text):
-            g = packed_grams(np.frombuffer(t, np.uint8), self.q)
-            gram.append(g)
-            owner.append(np.full(len(g), i))
-            offset.append(np.arange(len(g)))
-        gram, owner, offset = map(np.concatenate, (gram, owner, offset))
-        order = np.argsort(gram, kind="stable")
-        gram, self.owner, self.offset = gram[order], owner[order], offset[order]
-        self.gram, self.first = np.unique(gram, return_index=True)
-        self.first = np.append(self.first, len(gram))
+        self.bits = walk_bits()
+        self.classes = []
+        edges = [c[0] for c in CLASSES] + [1 << 62]
+        for (low, *rule), high in zip(CLASSES, edges[1:]):
+            mine = np.flatnonzero((self.size >= low) & (self.size < high))
+            if len(mine):
+                self.classes.append(Tables(self, mine, low < SHORT, *rule))
+
+
+class Tables:
+    """The windows of some items by the bytes that each table samples."""
+
+    def __init__(self, items: Items, mine: np.ndarray, every: bool, steps: int, tables: int, samples: int, agree: float):
+        self.every, self.steps, self.need = every, steps, int(np.ceil(agree * steps))
+        room = items.bits.shape[1]
+        item, offset, start = [], [], []
+        flat, at = [], 0
+        for i in mine.tolist():
+            text = np.frombuffer(items.text[i], np.uint8)
+            own = np.arange(len(text)) if every else window_starts(text)
+            own = own[own <= max(0, len(text) - steps // 3)]
+            own = own[np.unique(np.linspace(0, len(own) - 1, min(len(own), STARTS)).astype(np.int64))]
+            item.append(np.full(len(own), i))
+            offset.append(own)
+            start.append(own + at)
+            flat += [text, np.zeros(room, np.uint8)]
+            at += len(text) + room
+        self.item, self.offset = np.concatenate(item), np.concatenate(offset)
+        start, flat = np.concatenate(start), np.concatenate(flat)
+        self.walks = [walk(flat, start, b[:steps]) for b in items.bits]
+        rng = np.random.default_rng(17)
+        self.samples = [[np.sort(rng.choice(steps, samples, replace=False)) for _ in range(tables)] for _ in range(WALKS)]
+        key = [self.keys(w, t, self.walks[w]) for w in range(WALKS) for t in range(len(self.samples[w]))]
+        entry = np.tile(np.arange(len(self.item)), len(key))
+        key = np.concatenate(key)
+        order = np.argsort(key, kind="stable")
+        self.entry = entry[order]
+        self.key, self.first = np.unique(key[order], return_index=True)
+        self.first = np.append(self.first, len(key))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self._slot(self.gram)] = True
-
-    @staticmethod
-    def _slot(gram: np.ndarray) -> np.ndarray:
-        return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-
-    def places(self, flat: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, first and last diagonal) wherever enough q-grams of an item stand on neighbouring diagonals."""
-        none = (np.zeros(0, np.int64),) * 4
-        gram = packed_grams(flat, self.q)
-        at = np.flatnonzero(self.filter[self._slot(gram)])
-        k = np.searchsorted(self.gram, gram[at])
-        ok = self.gram[np.minimum(k, len(self.gram) - 1)] == gram[at]
-        at, k = at[ok], k[ok]
-        at_row = row_of[at]
-        same = at_row == row_of[at + self.q - 1]
-        at, k, at_row = at[same], k[same], at_row[same]
-        if not len(at):
-            return none
-        many = self.first[k + 1] - self.first[k]
-        own = np.repeat(np.arange(len(at)), many)
-        post = np.arange(len(own)) - np.concatenate(([0], np.cumsum(many)))[own] + self.first[k][own]
-        item = self.owner[post]
-        diagonal = at[own] - self.offset[post]
-        row = at_row[own]
-        width = self.edits[item] + 1
-        # an alignment with e edits strays over at most e diagonals, so over two neighbouring bins
-        bin_ = diagonal // width
-        # bins with enough grams, counted on one packed key
-        key = ((row * len(self.size) + item) << 25) + bin_ + (1 << 12)
-        bins, times = np.unique(key, return_counts=True)
-        beside = np.append((bins[1:] == bins[:-1] + 1) * times[1:], 0)
-        full = times + beside >= self.need[(bins >> 25) % len(self.size)]
-        wanted = np.zeros(len(bins), bool)
-        wanted[full] = True
-        wanted[1:] |= full[:-1] & (bins[1:] == bins[:-1] + 1)
-        bins = bins[wanted]
-        if not len(bins):
-            return none
-        spot = np.minimum(np.searchsorted(bins, key), len(bins) - 1)
-        take = np.flatnonzero(bins[spot] == key)
-        row, item, diagonal, bin_ = row[take], item[take], diagonal[take], bin_[take]
-        order = np.lexsort((diagonal, bin_, item, row))
-        row, item, diagonal, bin_ = row[order], item[order], diagonal[order], bin_[order]
-        head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (bin_[1:] != bin_[:-1]))))
-        tail = np.append(head[1:], len(row))
-        nxt = np.arange(len(head)) + 1
-        nxt_ok = nxt < len(head)
-        j = np.minimum(nxt, len(head) - 1)
-        nxt_ok &= (row[head[j]] == row[head]) & (item[head[j]] == item[head]) & (bin_[head[j]] == bin_[head] + 1)
-        stop = np.where(nxt_ok, tail[j], tail)
-        good = stop - head >= self.need[item[head]]
-        head, stop = head[good], stop[good]
-        return row[head], item[head], diagonal[head], diagonal[stop - 1]
+        self.filter[(self.key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+
+    def keys(self, w: int, t: int, noted: np.ndarray) -> np.ndarray:
+        key = np.full(noted.shape[1], w * 64 + t + 1, np.uint64)
+        for j in self.samples[w][t].tolist():
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            np.add(key, noted[j], out=key, casting="unsafe")
+        return mix(key)
+
+    def meet(self, walks: list[np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, window start, place where the item would begin) of windows that meet an item's window in a table and agree with it."""
+        items, starts, places = ([np.zeros(0, np.int64)] for _ in range(3))
+        for w, noted in enumerate(walks):
+            for t in range(len(self.samples[w])):
+                key = self.keys(w, t, noted)
+                at = np.flatnonzero(self.filter[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+                k = np.minimum(np.searchsorted(self.key, key[at]), len(self.key) - 1)
+                ok = self.key[k] == key[at]
+                at, k = at[ok], k[ok]
+                many = self.first[k + 1] - self.first[k]
+                # windows of common words meet many items: taken in runs of bounded size
+                edge = np.cumsum(many)
+                a = 0
+                while a < len(at):
+                    z = max(a + 1, int(np.searchsorted(edge, (edge[a - 1] if a else 0) + (1 << 18), side="right")))
+                    n = many[a:z]
+                    own = np.repeat(np.arange(a, z), n)
+                    entry = self.entry[np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + self.first[k[own]]]
+                    window = at[own]
+                    # most fail in the first half already
+                    for steps in (slice(0, self.steps // 2), slice(0, self.steps)):
+                        apart = (noted[steps, window] != self.walks[w][steps, entry]).sum(0)
+                        near = apart <= self.steps - self.need
+                        window, entry = window[near], entry[near]
+                    items.append(self.item[entry])
+                    starts.append(start[window])
+                    places.append(starts[-1] - self.offset[entry])
+                    a = z
+        return np.concatenate(items), np.concatenate(starts), np.concatenate(places)
+
+
+def places(items: Items, flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, item, first and last place where the item may begin) of all candidates, places near each other as one."""
+    padded = np.concatenate((flat, np.zeros(items.bits.shape[1] + 1, np.uint8)))
+    got = []
+    for every in {c.every for c in items.classes}:
+        classes = [c for c in items.classes if c.every == every]
+        start = np.arange(len(flat)) if every else window_starts(flat)
+        for at in range(0, len(start), 1 << 18):
+            part = start[at : at + (1 << 18)]
+            walks = [walk(padded, part, b[: max(c.steps for c in classes)]) for b in items.bits]
+            for c in classes:
+                item, where, place = c.meet(walks, part)
+                row = np.searchsorted(begin, where, side="right") - 1
+                got.append(np.unique(np.stack((row, item, place)), axis=1))
+    row, item, place = np.unique(np.concatenate(got, axis=1), axis=1) if got else np.zeros((3, 0), np.int64)
+    head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > 2 * items.edits[item[1:]] + 1)))) if len(row) else np.zeros(0, np.int64)
+    tail = np.append(head[1:], len(row)) - 1 if len(row) else head
+    return row[head], item[head], place[head], place[tail]
 
 
 def search(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
@@ -175,10 +243,9 @@ def search(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, i
             stop += 1
         block = TextBlock(texts[at:stop])
         flat, place, begin = normalised(block)
-        row_of = np.repeat(np.arange(stop - at), np.diff(begin))
-        for r, i, s, t in zip(*(x.tolist() for x in items.places(flat, row_of))):
+        for r, i, s, t in zip(*(x.tolist() for x in places(items, flat, begin))):
             lo, hi, n, e = int(begin[r]), int(begin[r + 1]), int(items.size[i]), int(items.edits[i])
-            # a match starts within e of the diagonals of its grams
+            # a match begins within e of where its windows say
             a, z = max(lo, s - e), min(hi, t + n + 2 * e)
             cand.append((at + r, i, flat[a:z].tobytes(), len(maps)))
             maps.append(place[a:z] - int(block.start[r]))
