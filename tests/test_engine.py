@@ -254,15 +254,19 @@ def test_map_and_back_are_adjoint(spark):
     geom = projection.Geometry("CAR", 0.0, 0.0, pix, (25, 40))
     asm = small_assembly(spark).persist()
     rng = np.random.default_rng(2)
-    signal = table(spark, [(d, i, float(rng.normal())) for d in range(2) for i in range(200)], "det long, samp int, y double")
+    signal = table(spark, [(d, i, float(rng.normal())) for d in range(2) for i in range(200)], "det long, samp int, signal double")
+    asm = asm.join(signal, ["det", "samp"]).persist()
     for interpolation in ("nearest", "bilinear"):
         p = projection.pointing(asm, geom, "TQU", interpolation).persist()
-        m = projection.to_map(p, signal, "TQU")
+        m = projection.to_map(p, "TQU")
         some = projection.blank(spark, geom).select("iy", "ix", *[F.sin(F.col("iy") * k + F.col("ix")).alias(c) for k, c in ((1, "T"), (2, "Q"), (3, "U"))])
         left = m.join(some.toDF("iy", "ix", "T2", "Q2", "U2"), ["iy", "ix"]).agg(F.sum(F.expr("T*T2+Q*Q2+U*U2"))).first()[0]
-        zero = signal.withColumn("y", F.lit(0.0))
-        right = projection.from_map(p, some, "TQU", zero).join(signal.withColumnRenamed("y", "y0"), ["det", "samp"]).agg(F.sum(F.expr("y*y0"))).first()[0]
-        assert np.isclose(left, right)
+        every = projection.pointing(asm.withColumn("signal", F.lit(0.0)), geom, "TQU", interpolation, off_map=True)
+        for small in (geom, None):
+            back = projection.from_map(every, some, "TQU", small, interpolation)
+            assert back.count() == 400
+            right = back.join(signal, ["det", "samp"]).agg(F.sum(F.expr("y*signal"))).first()[0]
+            assert np.isclose(left, right)
         p.unpersist()
     p = projection.pointing(asm, geom, "TQU")
     assert projection.tile_hits(p).agg(F.sum("hits")).first()[0] == p.count()

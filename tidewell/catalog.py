@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queries_archive, queries_live, queries_ranges, queries_reduce, queries_sky, queries_tod  # noqa: F401
+from .plans import queries_archive, queries_live, queries_ranges, queries_reduce, queries_sky, queries_tod, queries_wider  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "map_solve_tqu"

@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .ordered import walked
+
 
 @dataclass(frozen=True)
 class Biquad:
@@ -45,8 +46,9 @@ class Bank:
 def filtered(tod: DataFrame, stages: list[Biquad]) -> DataFrame:
     """det, samp, z: every detector's samples through a fresh bank."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("samp")
-        return pd.DataFrame({"det": g["det"], "samp": g["samp"], "z": Bank(stages).apply(g["y"].tolist())})
+    def start():
+        bank = Bank(stages)
+        return lambda y: bank.apply([y])
 
-    return tod.select("det", "samp", "y").groupBy("det").applyInPandas(run, "det long, samp int, z long")
+    kind = dict(tod.dtypes)["samp"]
+    return walked(tod, "y", start, f"det long, samp {kind}, z long")

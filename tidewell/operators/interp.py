@@ -11,12 +11,14 @@ def interp1d_linear(knots: DataFrame, targets: DataFrame) -> DataFrame:
     after = Window.partitionBy("det").orderBy("x")
     seg = knots.select("det", "x", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(after).alias("x1"), F.lead("y").over(after).alias("y1"), F.lag("x").over(after).alias("xp"), F.lag("y").over(after).alias("yp"))
     # the last knot stands for the last segment, so that targets behind it follow that
-    seg = seg.select("det", "x", F.struct(F.coalesce("xp", "x0").alias("xp"), F.coalesce("yp", "y0").alias("yp"), "x0", "y0", "x1", "y1").alias("seg"), F.lit(None).cast("long").alias("k"), F.lit(0).alias("q"))
-    ask = targets.select("det", "x", F.lit(None).cast(seg.schema["seg"].dataType).alias("seg"), "k", F.lit(1).alias("q"))
-    order = Window.partitionBy("det").orderBy("x", "q")
+    seg = seg.select("det", "x", F.struct("xp", "yp", "x0", "y0", "x1", "y1").alias("seg"), F.lit(None).cast("long").alias("k"), F.lit(0).alias("q"))
+    # the first knot comes before everything, so that targets in front of it follow the first segment
+    seg = seg.withColumn("at", F.when(F.col("seg.xp").isNull(), F.lit(float("-inf"))).otherwise(F.col("x")))
+    ask = targets.select("det", "x", F.lit(None).cast(seg.schema["seg"].dataType).alias("seg"), "k", F.lit(1).alias("q"), F.col("x").alias("at"))
+    order = Window.partitionBy("det").orderBy("at", "q")
     got = seg.unionByName(ask)
-    got = got.withColumn("here", F.coalesce(F.last("seg", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first("seg", True).over(order.rowsBetween(0, Window.unboundedFollowing)))).where("q = 1")
+    got = got.withColumn("here", F.last("seg", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("q = 1")
     inside = F.col("here.x1").isNotNull()
-    xa, ya = F.when(inside, F.col("here.x0")).otherwise(F.col("here.xp")), F.when(inside, F.col("here.y0")).otherwise(F.col("here.yp"))
+    xa, ya = F.when(inside, F.col("here.x0")).otherwise(F.coalesce("here.xp", "here.x0")), F.when(inside, F.col("here.y0")).otherwise(F.coalesce("here.yp", "here.y0"))
     xb, yb = F.when(inside, F.col("here.x1")).otherwise(F.col("here.x0")), F.when(inside, F.col("here.y1")).otherwise(F.col("here.y0"))
     return got.select("det", "k", "x", F.when(xa == xb, ya).otherwise(ya + (yb - ya) * (F.col("x") - xa) / F.when(xa == xb, 1.0).otherwise(xb - xa)).alias("y"))

@@ -1,0 +1,32 @@
+"""Sequential passes over each detector's samples, in Arrow batches with carried state."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+
+def walked(stream: DataFrame, value: str, start: Callable[[], Callable], schema: str) -> DataFrame:
+    """det, samp and what `start()`'s function says of each value, in order of samp.
+
+    Detectors are sorted by Spark (spilling if need be) and pass by batch after
+    batch, so none is ever held as a whole; a function starts anew with each
+    detector.  It returns a tuple of whole numbers, one for each column of
+    `schema` after det and samp.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        at, step = None, None
+        for batch in batches:
+            got = []
+            for det, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if step is None or det != at:
+                    at, step = det, start()
+                got.append(step(v))
+            more = [pa.array([g[k] for g in got], pa.int64()) for k in range(len(names) - 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names)
+
+    return stream.select("det", "samp", value).repartition("det").sortWithinPartitions("det", "samp").mapInArrow(run, schema)

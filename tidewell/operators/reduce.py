@@ -62,15 +62,21 @@ def matched_filter(tod: DataFrame, size: int, shift: int = 0) -> DataFrame:
 
 
 def _over_threshold(tod: DataFrame, size: int, shift: int, factor: float, uncertain: bool) -> Column:
-    at = F.col("samp") - shift
-    left = (F.pmod(at, F.lit(size)) + 1).cast("double")
-    right = (F.least(F.col("n") - shift, size * (1 + F.floor(at / size))) - at - 1).cast("double")
-    limit = factor * F.col("min_size") * left * right / (left + right)
+    """Whether the filter exceeds `factor` of its response to the detector's smallest jump.
+
+    For a unit step the running sum peaks at the step, by an amount that falls off
+    with the square of the step's distance from the middle of its block.
+    """
+    begin = size * F.floor((F.col("samp") - shift) / size) + shift
+    length = F.least(F.lit(size), F.col("n") - begin).cast("double")
+    off = F.abs(F.col("samp") + 1 - begin - length / 2)
+    height = length / 4 - off * off / length
     if uncertain:
-        limit = limit * (1 - (F.abs(left - right) - 0.5) / (2 * left * right))
-    # right is 0 at a block's end, where the edge rule applies first
-    edge = (at < 0) | (left + 0.5 < size / 4.0) | (right + 0.5 < size / 4.0)
-    return ~edge & (F.abs("m") > F.when(~edge, limit))
+        # the step may lie up to half a sample nearer to the end
+        height = height - (2 * off - 0.5) / (2 * length)
+    # too close to an end of the block (or before the first one) nothing can be told
+    told = (F.col("samp") >= shift) & (length / 2 - off + 0.5 >= size / 4.0)
+    return told & (F.abs("m") > factor * F.col("min_size") * height)
 
 
 def matched_jumps(tod: DataFrame, sizes: DataFrame, size: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import walked
+
 #: Steps of the coarse branch that a sample is split into.
 BRANCH = 1 << 24
 
@@ -53,18 +54,31 @@ def split_branches(stream: DataFrame) -> DataFrame:
     The base depends on all samples before, so each detector is walked in order.
     """
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("samp")
-        base, out = 0, []
-        for q in g["q"].tolist():
+    def start():
+        base = 0
+
+        def step(q):
+            nonlocal base
             if abs(q - base) >= BRANCH // 2:
                 base = BRANCH * ((q + BRANCH // 2) // BRANCH)
-            out.append(base)
-        return pd.DataFrame({"det": g["det"], "samp": g["samp"], "base": out, "rest": g["q"] - out})
+            return base, q - base
+
+        return step
 
-    return stream.select("det", "samp", "q").groupBy("det").applyInPandas(walk, "det long, samp int, base long, rest long")
+    kind = dict(stream.dtypes)["samp"]
+    return walked(stream, "q", start, f"det long, samp {kind}, base long, rest long")
 
 
 def save(stream: DataFrame, path: str, codec: str = "zstd") -> None:
     """Writes by detector and sample, so that row groups can be skipped and deltas are small."""
     stream.repartitionByRange("det", "samp").sortWithinPartitions("det", "samp").write.option("compression", codec).option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").parquet(path)
+
+
+def load(spark: SparkSession, path: str, dets: list[int] | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
+    """A saved stream; channels and sample bounds reach the scan, so only row groups that hold them are read."""
+    stream = spark.read.parquet(path)
+    if dets is not None:
+        stream = stream.where(F.col("det").isin(dets))
+    if start is not None:
+        stream = stream.where(F.col("samp") >= start)
+    return stream.where(F.col("samp") < stop) if stop is not None else stream

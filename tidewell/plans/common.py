@@ -23,7 +23,7 @@ def runs_sql(name: str, condition: str, source: str = "tod", keys: str = "det")
 def merge_sql(name: str, source: str, keys: str = "det", gap: str = "0") -> str:
     """Sorted, disjoint ranges of a table (keys, s, e), as a common table expression."""
     return f"""{name} as (select {keys}, min(s) s, max(e) e from (
-  select *, sum(case when pe is null or s > pe + {gap} then 1 else 0 end) over (partition by {keys} order by s, e rows unbounded preceding) isl from (
+  select *, sum(case when pe is null or s > pe + {gap} then 1 else 0 end) over (partition by {keys} order by s, e range unbounded preceding) isl from (
     select *, max(e) over (partition by {keys} order by s, e rows between unbounded preceding and 1 preceding) pe from {source} where s < e)) group by {keys}, isl)"""
 
 

@@ -50,6 +50,8 @@ class Geometry:
 
 
 KEY = ["iy", "ix"]
+#: A flat map up to this size may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def with_coords(asm: DataFrame, system: str) -> DataFrame:
@@ -68,8 +70,8 @@ def with_spin(df: DataFrame, components: str) -> DataFrame:
     return df.select("*", *[c.alias(n) for c, n in zip(got, factors(components))])
 
 
-def pointing(asm: DataFrame, geom: Geometry, components: str, interpolation: str = "nearest") -> DataFrame:
-    """The pointing matrix: det, samp, iy, ix, w and the factors; off-map samples are left out.
+def pointing(asm: DataFrame, geom: Geometry, components: str, interpolation: str = "nearest", off_map: bool = False) -> DataFrame:
+    """The pointing matrix: det, samp, iy, ix, w and the factors; off-map samples are left out, or kept without a pixel of the map.
 
     Persist it to use it more than once.
     """
@@ -77,9 +79,10 @@ def pointing(asm: DataFrame, geom: Geometry, components: str, interpolation: str
     if interpolation in ("nn", "nearest"):
         s = Steps(at)
         iy, ix = s.keep(*geom.pixels.pixel(F.col("x"), F.col("y")))
-        at = s.done(iy=iy, ix=ix, w=F.lit(1.0)).where("iy >= 0")
+        at = s.done(iy=iy, ix=ix, w=F.lit(1.0))
+        at = at if off_map else at.where("iy >= 0")
     elif interpolation in ("lin", "bilinear"):
-        at = at.select("*", F.explode(geom.pixels.bilinear(F.col("x"), F.col("y"))).alias("p")).select("*", "p.iy", "p.ix", "p.w").drop("p")
+        at = at.select("*", (F.explode_outer if off_map else F.explode)(geom.pixels.bilinear(F.col("x"), F.col("y"))).alias("p")).select("*", "p.iy", "p.ix", "p.w").drop("p")
     else:
         raise ValueError(f"no such interpolation: {interpolation}")
     if geom.tile:
@@ -105,12 +108,14 @@ def _weighted(pointed: DataFrame, weights: DataFrame | None) -> DataFrame:
     return pointed.join(weights.select("det", "wt").where("wt <> 0"), "det")
 
 
-def to_map(pointed: DataFrame, signal: DataFrame, components: str, weights: DataFrame | None = None, onto: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
-    """Adds signal(det, samp, y) into a map; onto is a map to add to."""
+def to_map(pointed: DataFrame, components: str, weights: DataFrame | None = None, onto: DataFrame | None = None, key: list[str] | None = None, signal: DataFrame | None = None) -> DataFrame:
+    """Adds the samples' values into a map: a column `signal` of the pointed samples, or signal(det, samp, y); onto is a map to add to."""
     key = key or KEY
-    rows = _weighted(pointed, weights).join(signal.select("det", "samp", "y"), ["det", "samp"])
+    rows = _weighted(pointed, weights)
+    if signal is not None:
+        rows = rows.join(signal.select("det", "samp", F.col("y").alias("signal")), ["det", "samp"])
     names = sky.COMPONENTS[components]
-    part = rows.groupBy(*key).agg(*[F.sum(F.col("y") * F.col(f"f{c}") * F.col("w") * F.col("wt")).alias(c) for c in names])
+    part = rows.groupBy(*key).agg(*[F.sum(F.col("signal") * F.col(f"f{c}") * F.col("w") * F.col("wt")).alias(c) for c in names])
     if onto is None:
         return part
     return part.unionByName(onto.select(*part.columns)).groupBy(*key).agg(*[F.sum(c).alias(c) for c in names])
@@ -133,13 +138,25 @@ def to_map_and_weights(pointed: DataFrame, components: str, weights: DataFrame |
     return rows.groupBy(*(key or KEY)).agg(*sums, *[value(a, b).alias(f"w{a}{b}") for i, a in enumerate(names) for b in names[i:]])
 
 
-def from_map(pointed: DataFrame, sky_map: DataFrame, components: str, signal: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """signal(det, samp, y) plus what each sample sees of the map; off-map samples see nothing."""
+def small_map(geom: Geometry, components: str) -> bool:
+    """Whether a whole map of this geometry is small enough to be sent to all executors."""
+    return geom.pixels.ny * geom.pixels.nx * 8 * (2 + len(components)) <= BROADCAST_BYTES
+
+
+def from_map(pointed: DataFrame, sky_map: DataFrame, components: str, geom: Geometry | None = None, interpolation: str = "nearest", key: list[str] | None = None) -> DataFrame:
+    """det, samp, y: the samples' column `signal` plus what each sees of the map; off-map samples (pointing with off_map) see nothing.
+
+    A map that its geometry proves small is sent to the samples; otherwise
+    samples meet it by pixel, where hot pixels can be split.
+    """
     names = sky.COMPONENTS[components]
-    seen = pointed.join(sky_map, key or KEY)
-    total = sum((F.col(f"f{c}") * F.col(c) for c in names[1:]), F.col(f"f{names[0]}") * F.col(names[0]))
-    seen = seen.groupBy("det", "samp").agg(F.sum(total * F.col("w")).alias("seen"))
-    return signal.join(seen, ["det", "samp"], "left").withColumn("y", F.col("y") + F.coalesce("seen", F.lit(0.0))).drop("seen")
+    if geom is not None and small_map(geom, components):
+        sky_map = F.broadcast(sky_map)
+    seen = pointed.join(sky_map, key or KEY, "left")
+    total = sum((F.col(f"f{c}") * F.col(c) for c in names[1:]), F.col(f"f{names[0]}") * F.col(names[0])) * F.col("w")
+    if interpolation in ("lin", "bilinear"):
+        return seen.groupBy("det", "samp").agg((F.first("signal") + F.coalesce(F.sum(total), F.lit(0.0))).alias("y"))
+    return seen.select("det", "samp", (F.col("signal") + F.coalesce(total, F.lit(0.0))).alias("y"))
 
 
 def solve_tqu(sky_map: DataFrame, weights: DataFrame | None = None, key: list[str] | None = None, least: float = 1e-6) -> DataFrame:
@@ -244,10 +261,12 @@ def direction_bins(pointed: DataFrame, angle: float, n: int, bins: int = 200) ->
     return placed.join(F.broadcast(hist.select("bin", "domain")), "bin").select("det", "samp", "domain")
 
 
-def assign_threads(pointed: DataFrame, method: str, n: int, geom: Geometry | None = None, angle: float | None = None) -> DataFrame:
-    """Sample ranges of n domains by stripes of columns, bands along the scan, or tiles."""
+def assign_threads(pointed: DataFrame, method: str, n: int, geom: Geometry | None = None, angle: float | None = None, nside: int | None = None) -> DataFrame:
+    """Sample ranges of n domains by stripes of columns (of pixel numbers on HEALPix: nside), bands along the scan, or tiles."""
     if method == "simple":
-        return domain_ranges(pointed, geom.pixels.stripe(F.col("ix"), n) if geom else F.floor(F.col("pix") * n / F.max("pix").over(Window.partitionBy())))
+        if geom is None and nside is None:
+            raise ValueError("stripes need a flat geometry or nside")
+        return domain_ranges(pointed, geom.pixels.stripe(F.col("ix"), n) if geom else F.floor(F.col("pix") * n / healpix.n_pixels(nside)).cast("long"))
     if method == "domdir":
         return domain_ranges(direction_bins(pointed, angle or 0.0, n), F.col("domain"))
     if method == "tiles":

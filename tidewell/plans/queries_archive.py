@@ -141,9 +141,9 @@ def hk_translate(spark, sf):
     return out(new.groupBy("filename").agg(F.count("*").alias("frames"), F.max(F.col("blocks")[0]["block_name"]).alias("block_name"), F.max("hkagg_version_orig").alias("was")))
 
 
-@query("select event_id, epoch_us(ts) / 1e6 a, (epoch_us(ts) / 1000000)::bigint // 86400 * 86400.0::double b from events where event_id < 500")
+@query("select event_id, epoch_us(ts) / 1e6 a, (epoch_us(ts) / 1000000)::bigint // 86400 * 86400.0::double b from events")
 def hk_to_timestamp(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 500")
+    e = table(spark, sf, "events")
     text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return out(e.select("event_id", hk.to_seconds(text).alias("a"), hk.to_seconds(F.substring(text, 1, 10)).alias("b")))
 
@@ -158,19 +158,21 @@ def hk_session_id(spark, sf):
 
 
 @query(
-    f"with {TOD}, p as (select det channel, t, round(y * 100)::bigint counts from tod where t >= {T0 + 86400} and t < {T0 + 2 * 86400} and det < 20), x as (select distinct t from p), c as (select unnest(range(20)) channel) select round(x.t, 6) t, c.channel::bigint channel, round(coalesce(counts, 0) * pi() / 32768, 9) + 0.0 phase from x cross join c left join p on p.t = x.t and p.channel = c.channel"
+    f"with {TOD}, p as (select det channel, t, round(y * 100)::bigint counts from tod where t >= {T0 + 86400} and t < {T0 + 2 * 86400}), x as (select distinct t from p), c as (select distinct det channel from tod) select round(x.t, 6) t, c.channel::bigint channel, round(coalesce(counts, 0) * pi() / 32768, 9) + 0.0 phase from x cross join c left join p on p.t = x.t and p.channel = c.channel"
 )
 def det_load(spark, sf):
-    s = tod(spark, sf).where("det < 20").select(F.col("det").alias("channel"), "t", F.round(F.col("y") * 100).cast("long").alias("counts"))
-    channels = spark.range(20).select(F.col("id").alias("channel"))
+    s = tod(spark, sf).select(F.col("det").alias("channel"), "t", F.round(F.col("y") * 100).cast("long").alias("counts"))
+    channels = s.select("channel").distinct()
     got = detector.load(s, channels, T0 + 86400, T0 + 2 * 86400)
     return out(got.select(F.round("t", 6).alias("t"), "channel", rounded("phase", 9).alias("phase")))
 
 
-@query("with e as (select user_id frame, row_number() over (partition by user_id order by ts, event_id) - 1 i, epoch_us(ts) // 100 c from events where user_id < 50) select frame::bigint frame, i::bigint i, (c - first_value(c) over (partition by frame order by i))::bigint ticks from e")
+@query(
+    "with e as (select user_id frame, row_number() over (partition by user_id order by ts, event_id) - 1 i, epoch_us(ts) // 100 % 4294967296 c from events), w as (select *, case when c < lag(c) over (partition by frame order by i) then 4294967296 else 0 end up from e) select frame::bigint frame, i::bigint i, (c + sum(up) over (partition by frame order by i) - first_value(c) over (partition by frame order by i))::bigint ticks from w"
+)
 def det_unwrap_clock(spark, sf):
     """A counter of 100 us cut to 32 bits, made steady again."""
-    s = tod(spark, sf).where("det < 50")
+    s = tod(spark, sf)
     count = F.floor(F.round(F.col("t") * 1e6) / 100).cast("long")
     rows = s.select(F.col("det").alias("frame"), F.col("samp").alias("i"), F.lit(100.0).alias("start"), F.pmod(count, F.lit(int(detector.WRAP))).cast("double").alias("counter"))
     got = detector.unwrapped_clock(rows)
@@ -206,18 +208,23 @@ def det_status_of_each(spark, sf):
     return out(got.select("u", "id", "value"))
 
 
+def _mask(spark, sf):
+    """One readout channel for each absolute channel that a part has: the smallest."""
+    return table(spark, sf, "part").groupBy(F.pmod(F.col("p_partkey") * 7, F.lit(4096)).alias("absolute")).agg(F.min("p_partkey").alias("index")).select("index", "absolute")
+
+
 @query(
-    "with m as (select p_partkey idx, (p_partkey * 7) % 4096 absolute from part where p_partkey < 200), a as (select s_suppkey % 8 band, (s_suppkey * 3) % 512 channel, s_suppkey k from supplier) select a.k, a.band, a.channel, coalesce(idx, -1)::bigint idx from a left join m on m.absolute = a.band * 512 + a.channel"
+    "with m as (select min(p_partkey) idx, (p_partkey * 7) % 4096 absolute from part group by 2), a as (select s_suppkey % 8 band, (s_suppkey * 3) % 512 channel, s_suppkey k from supplier) select a.k, a.band, a.channel, coalesce(idx, -1)::bigint idx from a left join m on m.absolute = a.band * 512 + a.channel"
 )
 def det_channel_map(spark, sf):
-    mask = table(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("index"), F.pmod(F.col("p_partkey") * 7, F.lit(4096)).alias("absolute"))
+    mask = _mask(spark, sf)
     asked = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.pmod("s_suppkey", F.lit(8)).alias("band"), F.pmod(F.col("s_suppkey") * 3, F.lit(512)).alias("channel"))
     return out(detector.channel_to_readout(asked, mask).select("k", "band", "channel", F.col("index").alias("idx")))
 
 
-@query("select p_partkey \"index\", ((p_partkey * 7) % 4096 // 512)::bigint band, ((p_partkey * 7) % 512)::bigint channel from part where p_partkey < 200")
+@query("select min(p_partkey) \"index\", ((p_partkey * 7) % 4096 // 512)::bigint band, ((p_partkey * 7) % 512)::bigint channel from part group by 2, 3")
 def det_readout_channels(spark, sf):
-    mask = table(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("index"), F.pmod(F.col("p_partkey") * 7, F.lit(4096)).alias("absolute"))
+    mask = _mask(spark, sf)
     return out(detector.readout_to_channel(mask.select("index"), mask))
 
 

@@ -1,17 +1,25 @@
-"""Batch twins of the streaming operators."""
+"""Streams over the events, run to the end of what is there and read back."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..model import micros
 from ..streaming import live
-from .common import TOD, out, rounded, tod
-from .registry import query, table
+from .common import out, rounded
+from .queries_tod import STAGES, biquads_sql
+from .registry import query
 
 
-@query(f"with {TOD}, b as (select *, samp // 10 blk from tod) select det, blk::bigint blk, count(*)::bigint n, round(avg(y), 9) + 0.0 mean, min(y) low, max(y) high from b group by det, blk")
+def _events(spark, sf):
+    """One detector a user; the event's number is its sample number."""
+    e = live.opened(spark, sf, "events.parquet")
+    return e.select(F.col("user_id").alias("det"), F.col("event_id").alias("samp"), F.col("value").alias("y"), F.timestamp_micros(micros()).alias("ts"))
+
+
+@query("select user_id det, (event_id // 500)::bigint blk, count(*)::bigint n, round(avg(value), 9) + 0.0 mean, min(value) low, max(value) high from events group by 1, 2")
 def stream_block_stats(spark, sf):
-    s = live.block_stats(tod(spark, sf), 10)
+    s = live.drained(live.block_stats(_events(spark, sf), 500), "complete")
     return out(s.select("det", "blk", "n", rounded("mean", 9).alias("mean"), "low", "high"))
 
 
@@ -19,20 +27,19 @@ def stream_block_stats(spark, sf):
     "with e as (select user_id det, ts, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 12 hour or lag(ts) over (partition by user_id order by ts, event_id) is null then 1 else 0 end new from events), g as (select *, sum(new) over (partition by det order by ts rows unbounded preceding) k from e) select det, epoch_us(min(ts)) \"start\", count(*)::bigint n from g group by det, k"
 )
 def stream_sessions(spark, sf):
-    rows = table(spark, sf, "events").select(F.col("user_id").alias("det"), F.timestamp_micros(_micros()).alias("ts"))
-    s = live.sessions(rows, "12 hours", "1 hour")
+    s = live.drained(live.sessions(_events(spark, sf), "12 hours", "1 hour"), "complete")
     return out(s.select("det", F.unix_micros(F.col("start")).alias("start"), "n"))
 
 
 @query("select user_id det, epoch_us(ts) // 86400000000 * 86400000000 \"start\", count(*)::bigint n, round(avg(value), 9) + 0.0 mean from events group by 1, 2")
 def stream_window_stats(spark, sf):
     # whole days in UTC, whatever zone the session has
-    rows = table(spark, sf, "events").select(F.col("user_id").alias("det"), F.timestamp_micros(_micros()).alias("ts"), F.col("value").alias("y"))
-    s = live.window_stats(rows, "1 day", "1 hour")
+    s = live.drained(live.window_stats(_events(spark, sf), "1 day", "1 hour"), "complete")
     return out(s.select("det", F.unix_micros("start").alias("start"), "n", rounded("mean", 9).alias("mean")))
 
 
-def _micros():
-    from ..model import micros
-
-    return micros()
+@query(biquads_sql("select user_id det, event_id samp, row_number() over (partition by user_id order by event_id) - 1 i, round(value * 100)::bigint y from events"))
+def stream_filtered(spark, sf):
+    """The stateful filter over the stream, by the order of event numbers."""
+    s = _events(spark, sf).withColumn("y", F.round(F.col("y") * 100).cast("long")).withColumn("samp", F.col("samp").cast("int"))
+    return out(live.drained(live.filtered(s, STAGES)))

@@ -58,6 +58,10 @@ def signal(asm):
     return asm.select("det", "samp", (F.col("sig") + F.col("det")).alias("y"))
 
 
+def valued(spark, sf):
+    """The assembly with each sample's value in `signal`."""
+    return assembly(spark, sf).withColumn("signal", F.col("sig") + F.col("det"))
+
 @query(f"with {BORE} select det, samp, round(a, 9) + 0.0 qa, round(b, 9) + 0.0 qb, round(c, 9) + 0.0 qc, round(d, 9) + 0.0 qd from q")
 def quat_compose(spark, sf):
     return out(assembly(spark, sf).select("det", "samp", *[rounded(f"q{n}", 9).alias(f"q{n}") for n in "abcd"]))
@@ -200,15 +204,13 @@ def pixels_healpix_ring(spark, sf):
 
 @query(f"with p as ({_healpix_sql(16, False)}), y as (select event_id samp, value from events) select pix // 64 tile, (pix % 64)::bigint inner_pix, count(*)::bigint hits, round(sum(y.value + p.det), 5) + 0.0 t from p join y using (samp) group by 1, 2")
 def healpix_map_tiled(spark, sf):
-    asm = assembly(spark, sf)
-    p = projection.healpix_pointing(asm, 16, "T", nside_tile=2)
-    m = p.join(signal(asm), ["det", "samp"]).groupBy("tile", F.pmod("pix", F.lit(64)).alias("inner_pix")).agg(F.count("*").alias("hits"), F.sum(F.col("y") * F.col("fT")).alias("t"))
+    p = projection.healpix_pointing(valued(spark, sf), 16, "T", nside_tile=2)
+    m = p.groupBy("tile", F.pmod("pix", F.lit(64)).alias("inner_pix")).agg(F.count("*").alias("hits"), F.sum(F.col("signal") * F.col("fT")).alias("t"))
     return out(m.select("tile", "inner_pix", "hits", rounded("t", 5).alias("t")))
 
 
 def _map(spark, sf, components, interpolation="nearest", weights=None):
-    asm = assembly(spark, sf)
-    return projection.to_map(projection.pointing(asm, CAR, components, interpolation), signal(asm), components, weights)
+    return projection.to_map(projection.pointing(valued(spark, sf), CAR, components, interpolation), components, weights)
 
 
 @query(f"with {NEAR}, {MAP} select iy, ix, round(t, 5) + 0.0 t from m")
@@ -245,10 +247,9 @@ def to_weights_tqu(spark, sf):
 
 @query(f"with {NEAR}, {MAP} select q.det, q.samp, round(q.y + coalesce(pt.ft*m.t + pt.fq*m.q + pt.fu*m.u, 0), 4) + 0.0 y from q left join pt on pt.det = q.det and pt.samp = q.samp left join m on m.iy = pt.iy and m.ix = pt.ix")
 def from_map_tqu(spark, sf):
-    asm = assembly(spark, sf)
-    p = projection.pointing(asm, CAR, "TQU")
-    m = projection.to_map(p, signal(asm), "TQU")
-    return out(projection.from_map(p, m, "TQU", signal(asm)).select("det", "samp", rounded("y", 4).alias("y")))
+    p = projection.pointing(valued(spark, sf), CAR, "TQU", off_map=True)
+    m = projection.to_map(p.where("iy >= 0"), "TQU")
+    return out(projection.from_map(p, m, "TQU", CAR).select("det", "samp", rounded("y", 4).alias("y")))
 
 
 @query(
@@ -258,8 +259,7 @@ select iy, ix, round((k0*t + k1*q + k2*u) / det, 4) + 0.0 t, round((k1*t + k3*q
 )
 def map_solve_tqu(spark, sf):
     """Flagship: samples to a TQU map and its weights, solved pixel by pixel."""
-    asm = assembly(spark, sf).withColumn("signal", F.col("sig") + F.col("det"))
-    p = projection.pointing(asm, CAR, "TQU")
+    p = projection.pointing(valued(spark, sf), CAR, "TQU")
     m = projection.solve_tqu(projection.to_map_and_weights(p, "TQU"), least=0.01)
     return out(m.select("iy", "ix", rounded("T", 4).alias("t"), rounded("Q", 4).alias("q"), rounded("U", 4).alias("u")))
 
@@ -275,7 +275,13 @@ def tile_hits(spark, sf):
     return out(projection.tile_hits(projection.pointing(assembly(spark, sf), TILED, "T")))
 
 
-@query()
+@query(
+    f"""with recursive {NEAR}, h as (select *, row_number() over (order by hits desc, tile) rn from (select (iy // 40 * 4 + ix // 50)::bigint tile, count(*)::bigint hits from pt group by 1)),
+g as (select 0::bigint rn, 0::bigint tile, 0::bigint hits, 0::bigint grp, 0::bigint l0, 0::bigint l1, 0::bigint l2
+  union all select rn, tile, hits, gr, l0 + if(gr = 0, hits, 0), l1 + if(gr = 1, hits, 0), l2 + if(gr = 2, hits, 0) from (
+    select h.rn, h.tile, h.hits, l0, l1, l2, case when l0 <= l1 and l0 <= l2 then 0 when l1 <= l2 then 1 else 2 end::bigint gr from g join h on h.rn = g.rn + 1))
+select tile, hits, grp from g where rn > 0"""
+)
 def active_tiles(spark, sf):
     return out(projection.active_tiles(projection.tile_hits(projection.pointing(assembly(spark, sf), TILED, "T")), 3))
 
@@ -304,3 +310,11 @@ s as (select bin, least(floor((sum(n) over (order by bin) / sum(n) over ()::doub
 )
 def domdir_bins(spark, sf):
     return out(projection.direction_bins(projection.pointing(assembly(spark, sf), CAR, "T"), 0.3, 4))
+
+
+@query(
+    f"with pt as ({_healpix_sql(16, False)}), d as (select det, samp, (pix * 4 // {12 * 16 * 16})::bigint domain from pt), r as (select det, domain, min(samp) s, max(samp) + 1 e from (select *, samp - row_number() over (partition by det, domain order by samp) g from d) group by det, domain, g) select det, domain, s, e from r"
+)
+def threads_healpix(spark, sf):
+    p = projection.healpix_pointing(assembly(spark, sf), 16, "T")
+    return out(projection.assign_threads(p, "simple", 4, nside=16).select("det", "domain", "s", "e"))

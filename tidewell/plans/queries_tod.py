@@ -184,7 +184,20 @@ def fit_noise(spark, sf):
 STAGES = [iir.Biquad(32092, 15750, 14, 3, 5), iir.Biquad(31238, 14895, 14, 3, 12)]
 
 
-@query()
+def biquads_sql(samples: str) -> str:
+    """The stages walked sample by sample, all detectors side by side (samples: det, samp, i from 0, y)."""
+    step, x = "select b.det, b.samp, b.i, b.y, w.u0, w.v0, w.u1, w.v1 from w join b on b.det = w.det and b.i = w.i + 1", "y"
+    for k, p in enumerate(STAGES):
+        # the delays move on: (u, v) becomes (v, n), and the output is v + 2 n + n
+        step = f"select *, {x} * {1 << p.p_bits} - (({p.b1} * u{k} - {p.b0} * v{k}) >> {p.b_bits}) n{k} from ({step})"
+        step, x = f"select *, ((v{k} + 2 * n{k} + n{k}) >> {p.shift}) x{k} from ({step})", f"x{k}"
+    return f"""with recursive b as ({samples}),
+w(det, samp, i, u0, v0, u1, v1, z) as (select distinct det, null::bigint, -1::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint from b
+  union all select det, samp::bigint, i, v0, n0, v1, n1, x1 from ({step}))
+select det, samp::bigint samp, z from w where i >= 0"""
+
+
+@query(biquads_sql("select user_id det, row_number() over (partition by user_id order by ts, event_id) - 1 samp, row_number() over (partition by user_id order by ts, event_id) - 1 i, round(value * 100)::bigint y from events"))
 def butterworth(spark, sf):
     data = tod(spark, sf).withColumn("y", F.round(F.col("y") * 100).cast("long"))
     return out(iir.filtered(data, STAGES))
@@ -211,7 +224,12 @@ def extract_slice(spark, sf):
     return out(storage.extract(data, 10, 40, picks), "det", "samp", "y")
 
 
-@query()
+@query(
+    f"""with recursive {TOD}, b as (select det, samp, round(y * 1e6)::bigint q from tod),
+w(det, samp, base, rest) as (select distinct det, -1::bigint, 0::bigint, 0::bigint from b
+  union all select det, samp, base, q - base from (select b.det, b.samp, b.q, case when abs(b.q - w.base) >= {1 << 23} then floor((b.q + {1 << 23}) / {1 << 24}.0)::bigint * {1 << 24} else w.base end base from w join b on b.det = w.det and b.samp = w.samp + 1))
+select det, samp, base, rest from w where samp >= 0"""
+)
 def rebranch(spark, sf):
     data = tod(spark, sf).withColumn("q", F.round(F.col("y") * 1e6).cast("long"))
     return out(storage.split_branches(data))

@@ -168,8 +168,8 @@ def timelines(catalog: DataFrame) -> DataFrame:
 
 
 def wide(rows: DataFrame, names: list[str]) -> DataFrame:
-    """One row a time, one column a field."""
-    return rows.where(F.col("field").isin(names)).groupBy("t").pivot("field", names).agg(F.first("v"))
+    """One row a time, one column a field; of equal times the smallest value."""
+    return rows.where(F.col("field").isin(names)).groupBy("t").pivot("field", names).agg(F.min("v"))
 
 
 def simple(rows: DataFrame, asked: DataFrame, start: float | None, end: float | None) -> DataFrame:

@@ -1,15 +1,18 @@
 """Streaming twins: block statistics, filters with state, translation and ingest.
 
-All take and give streaming DataFrames; start them with writeStream.  Batch
-frames work as well, which the tests use to hold both against each other.
+All take and give streaming DataFrames; start them with writeStream, or let
+`drained` run them over the input that is there.  Batch frames work as well,
+which the tests use to hold both against each other.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -71,3 +74,27 @@ def ingest(frames: DataFrame, path: str, checkpoint: str):
         rows.write.mode("append").partitionBy("folder").parquet(f"{path}/samples")
 
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def opened(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The files `name` of a folder as a stream."""
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidewell-")
+    return f"{named}/stream-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream until what is there has been read: its rows as a table, in mode `complete` the last state."""
+    folder = shared_folder(stream.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is done again writes the same folder again
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
