@@ -415,7 +415,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     # buckets that hold several classes still
     named = bucket.join(label.hint("merge"), "doc", "left").select("key", "doc", "total", F.coalesce("comp", "doc").alias("comp"))
     named = stored(named, "classes")
-    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    several = cut(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
     held = named.join(several.hint("merge"), "key").groupBy("doc").agg(F.first("comp").alias("comp"), F.max("total").alias("total"), F.collect_set("key").alias("bands"))
     held = cut(held)
     if not held.isEmpty():
