@@ -361,3 +361,89 @@ def test_detector_archive(spark):
     assert status["inverse"] == {3: 0, 5: 1} and np.isclose(status["flux_ramp_rate_hz"], 1e6 * 614.4 / 2 / 10)
     samples = table(spark, [(0.5, 1, 2), (0.25, 1, 1)], "t double, channel long, counts long")
     assert detector.to_arrays(samples).first()["counts"] == [1, 2]
+
+
+def test_session_frames_refuse_what_does_not_fit(spark):
+    s = hk.Session("a", "observatory", 1e9, 7)
+    p = s.add_provider("x")
+    assert s.add_provider("y") == p + 1
+    s.remove_provider(p)
+    assert s.add_provider("z") == p
+    with pytest.raises(ValueError):
+        s.data_frame(9, 1e9, {})
+    with pytest.raises(ValueError):
+        s.data_frame(p, 1e9, {"b": ([1.0, 2.0], {"v": [1]})})
+    frames = spark.createDataFrame([s.session_frame(), s.status_frame(1e9), s.data_frame(p, 1e9, {"b": ([1e9], {"v": [1]})})], hk.FRAMES)
+    assert {r["provider"] for r in hk.provider_names(frames).collect()} == {"y", "z"}
+    assert hk.session_id_of("observatory", 1e9, 7) == frames.first()["session_id"]
+
+
+def test_config_and_folders():
+    config = hk.read_config("# archive\ndata_dir: '/data'\nfield_list:\n    t1: a.b.c\n    't2': a.b.d\nother: 3\n")
+    assert config == {"data_dir": "/data", "field_list": {"t1": "a.b.c", "t2": "a.b.d"}, "other": "3"}
+    assert hk.folders(1_600_000_000, 1_600_100_000) == [15999, 16000, 16001]
+
+
+def test_grid_indexing_follows_numpy(spark):
+    rng = np.random.default_rng(4)
+    full = rng.random((3, 4, 20)) < 0.4
+    rows = table(spark, [(a, b, s, s + 1) for a, b, s in np.argwhere(full).tolist()], "a int, b int, s int, e int")
+    grid = ranges.Grid(ranges.merged(rows, ["a", "b"]), ["a", "b"], (3, 4), 20).check()
+    for index in (1, (slice(None), -1), ([2, 0, 2], slice(None, None, -1)), (Ellipsis, slice(5, 12)), (0, 1, slice(-6, None)), (None, slice(1, 3)), (slice(0, 0),), ([True, False, True], 2)):
+        got, want = grid[index], full[index]
+        assert got.shape == want.shape
+        out = np.zeros(want.shape, bool)
+        for r in got.ranges.collect():
+            out[tuple(r[k] for k in got.keys)][r["s"] : r["e"]] = True
+        assert (out == want).all()
+    assert len(grid) == 3
+    for index in (3, (0, 0, 0), (0, 0, slice(0, 9, 2)), (0, 0, slice(None), 0), [True, False]):
+        with pytest.raises(IndexError):
+            grid[index]
+    with pytest.raises(ValueError):
+        ranges.Grid(rows, ["a", "b"], (2, 4), 20).check()
+
+
+def test_maps_refuse_what_does_not_fit(spark):
+    assert [projection.components_of(n) for n in (1, 2, 3)] == ["T", "QU", "TQU"]
+    with pytest.raises(ValueError):
+        projection.components_of(4)
+    pointed = table(spark, [(0, 0, 1), (0, 1, 2)], "det long, samp int, tile long")
+    assert projection.only_active(pointed, table(spark, [(1,), (2,)], "tile long")).count() == 2
+    with pytest.raises(RuntimeError):
+        projection.only_active(pointed, table(spark, [(1,)], "tile long"))
+    good = table(spark, [(0, 0, 1.0), (0, 1, 2.0)], "det long, samp int, y double")
+    assert projection.check_signal(good, pointed).count() == 2
+    for bad in (good.where("samp = 0"), good.unionByName(good), good.withColumn("y", F.lit("x"))):
+        with pytest.raises(ValueError):
+            projection.check_signal(bad, pointed)
+
+
+def test_interpolation_takes_linear_time(spark):
+    knots = spark.range(25_000).select(F.lit(0).alias("det"), F.col("id").cast("double").alias("x"), F.sin(F.col("id") * 0.01).alias("y"))
+    asked = spark.range(25_000).select(F.lit(0).alias("det"), F.col("id").alias("k"), (F.col("id") * 1.01 - 50.5).alias("x"))
+    got = {r["k"]: r["y"] for r in interp.interp1d_linear(knots, asked).collect()}
+    x, y = np.arange(25_000.0), np.sin(np.arange(25_000) * 0.01)
+    at = np.arange(25_000) * 1.01 - 50.5
+    inside = (at >= 0) & (at <= 24_999)
+    assert np.allclose(np.array([got[k] for k in range(25_000)])[inside], np.interp(at, x, y)[inside])
+    assert np.isclose(got[0], y[0] + (y[1] - y[0]) * at[0]) and np.isclose(got[24_999], y[-1] + (y[-1] - y[-2]) * (at[-1] - x[-1]))
+
+
+def test_sequential_walks_pass_batch_after_batch(spark):
+    from tidewell.operators import ordered
+
+    rows = spark.range(30_000).select((F.col("id") % 2).alias("det"), F.floor(F.col("id") / 2).cast("int").alias("samp"), F.lit(1).cast("long").alias("y"))
+
+    def start():
+        total = 0
+
+        def step(y):
+            nonlocal total
+            total += y
+            return (total,)
+
+        return step
+
+    got = ordered.walked(rows, "y", start, "det long, samp int, z long")
+    assert got.where("z <> samp + 1").isEmpty() and got.count() == 30_000

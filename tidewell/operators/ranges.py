@@ -179,3 +179,102 @@ def broadcast_op(a: DataFrame, b: DataFrame, keys: list[str], shared: list[str],
     """A set operation where b lacks some key columns and applies to all their values."""
     full = a.select(*keys).distinct().join(b, shared)
     return combined(a, full.select(*keys, "s", "e"), keys, rule)
+
+
+def appended(ranges: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """new behind ranges as it stands, without cleaning up."""
+    return ranges.select(*keys, "s", "e").unionByName(new.select(*keys, "s", "e"))
+
+
+def to_arrays(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key: its ranges as a sorted array of (s, e)."""
+    return ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("ranges"))
+
+
+def from_arrays(arrays: DataFrame, keys: list[str], domain: DataFrame | None = None) -> DataFrame:
+    """Ranges from arrays of (s, e); with a domain they are cleaned up, without it taken as they are."""
+    rows = arrays.select(*keys, F.explode("ranges").alias("r")).select(*keys, "r.s", "r.e")
+    return rows if domain is None else cleanup(rows, domain, keys)
+
+
+class Grid:
+    """Ranges on a regular grid: key columns number its outer axes, samples are the last axis.
+
+    Every cell has `n` samples.  Indexing follows numpy on the outer axes (whole
+    numbers, slices, lists, lists of booleans, Ellipsis, None) and takes slices of
+    step 1 on the samples.
+    """
+
+    def __init__(self, ranges: DataFrame, keys: list[str], shape: tuple[int, ...], n: int):
+        if len(keys) != len(shape):
+            raise ValueError("one key column for each outer axis")
+        self.ranges, self.keys, self.outer, self.n = ranges.select(*keys, "s", "e"), keys, tuple(shape), n
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return (*self.outer, self.n)
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def check(self) -> Grid:
+        """A cell or range outside the shape is a ValueError."""
+        bad = (F.col("s") < 0) | (F.col("e") > self.n)
+        for k, size in zip(self.keys, self.outer):
+            bad = bad | (F.col(k) < 0) | (F.col(k) >= size)
+        if not self.ranges.where(bad).isEmpty():
+            raise ValueError("ranges do not agree with the shape")
+        return self
+
+    def __getitem__(self, index) -> Grid:
+        index = list(index) if isinstance(index, tuple) else [index]
+        used = sum(x is not None and x is not Ellipsis for x in index)
+        if used > len(self.shape) or sum(x is Ellipsis for x in index) > 1:
+            raise IndexError("too many indices")
+        if not any(x is Ellipsis for x in index):
+            index.append(Ellipsis)
+        at = next(k for k, x in enumerate(index) if x is Ellipsis)
+        index[at : at + 1] = [slice(None)] * (len(self.shape) - used)
+        out, keys, outer, n, axis, fresh = self.ranges, [], [], self.n, 0, 0
+        spark = out.sparkSession
+        for x in index:
+            if x is None:
+                name = f"new{fresh}"
+                fresh += 1
+                out = out.withColumn(name, F.lit(0))
+                keys.append(name)
+                outer.append(1)
+                continue
+            if axis == len(self.keys):
+                if not isinstance(x, slice) or x.step not in (None, 1):
+                    raise IndexError("samples are taken by slices of step 1")
+                a, z, _ = x.indices(n)
+                z = max(a, z)
+                out = out.withColumn("s", F.greatest("s", F.lit(a)) - a).withColumn("e", F.least("e", F.lit(z)) - a).where("s < e")
+                n = z - a
+                axis += 1
+                continue
+            key, size = self.keys[axis], self.outer[axis]
+            axis += 1
+            if isinstance(x, slice):
+                picks = list(range(*x.indices(size)))
+            elif isinstance(x, int):
+                picks = [x]
+            elif len(x) and all(isinstance(v, bool) for v in x):
+                if len(x) != size:
+                    raise IndexError("a list of booleans needs one for each entry of its axis")
+                picks = [k for k, v in enumerate(x) if v]
+            else:
+                picks = list(x)
+            if any(not -size <= k < size for k in picks):
+                raise IndexError("index out of range")
+            table = spark.createDataFrame([(k % size, j) for j, k in enumerate(picks)], f"`{key}` int, `at {key}` int")
+            # as large as the index
+            out = out.join(F.broadcast(table), key).drop(key)
+            if isinstance(x, int):
+                out = out.drop(f"at {key}")
+            else:
+                out = out.withColumnRenamed(f"at {key}", key)
+                keys.append(key)
+                outer.append(len(picks))
+        return Grid(out, keys, tuple(outer), n)

@@ -187,6 +187,49 @@ def restricted(pointed: DataFrame, keep: DataFrame) -> DataFrame:
     return pointed.join(ranges.flagged_samples(keep, ["det"]), ["det", "samp"], "left_semi")
 
 
+def components_of(maps: int) -> str:
+    """Components of a map with so many planes."""
+    names = {len(v): k for k, v in sky.COMPONENTS.items()}
+    if maps not in names:
+        raise ValueError(f"no components for {maps} maps")
+    return names[maps]
+
+
+def map_like(spark, geom: Geometry, components: str) -> DataFrame:
+    """A map of zeros: every pixel with its tile, if tiled, and one column for each component."""
+    out = blank(spark, geom).select("*", *[F.lit(0.0).alias(c) for c in sky.COMPONENTS[components]])
+    return out.withColumn("tile", geom.pixels.tile(F.col("iy"), F.col("ix"), *geom.tile)) if geom.tile else out
+
+
+def for_source_at(lon: float, lat: float, gamma: float, pixels: sky.FlatPixels, system: str = "TAN") -> tuple[Geometry, tuple[float, float, float, float]]:
+    """A map around a source at (lon, lat): its geometry about (0, 0), and the rotation (for `assembly`) that brings the source there and turns by gamma about it."""
+    if system not in ("TAN", "SIN", "ARC", "ZEA", "CAR", "CEA"):
+        raise ValueError(f"no such system: {system}")
+    turn = [1.0, 0.0, 0.0, 0.0]
+    for axis, angle in ((0, gamma), (1, lat), (2, -lon)):
+        r = [cos(angle / 2), 0.0, 0.0, 0.0]
+        r[axis + 1] = sin(angle / 2)
+        turn = [
+            turn[0] * r[0] - turn[1] * r[1] - turn[2] * r[2] - turn[3] * r[3],
+            turn[0] * r[1] + turn[1] * r[0] + turn[2] * r[3] - turn[3] * r[2],
+            turn[0] * r[2] - turn[1] * r[3] + turn[2] * r[0] + turn[3] * r[1],
+            turn[0] * r[3] + turn[1] * r[2] - turn[2] * r[1] + turn[3] * r[0],
+        ]
+    return Geometry(system, 0.0, 0.0, pixels), tuple(turn)
+
+
+def check_signal(signal: DataFrame, pointed: DataFrame) -> DataFrame:
+    """signal, if it has one number for each pointed sample; else a ValueError."""
+    kinds = dict(signal.dtypes)
+    if kinds.get("y") not in ("float", "double") or "det" not in kinds or "samp" not in kinds:
+        raise ValueError("a signal has det, samp and a float y")
+    if not signal.groupBy("det", "samp").count().where("count > 1").isEmpty():
+        raise ValueError("a sample has two values")
+    if not pointed.select("det", "samp").join(signal, ["det", "samp"], "left_anti").isEmpty():
+        raise ValueError("a pointed sample has no value")
+    return signal
+
+
 def blank(spark, geom: Geometry) -> DataFrame:
     """Every pixel of a flat map."""
     nx = geom.pixels.nx
@@ -196,6 +239,14 @@ def blank(spark, geom: Geometry) -> DataFrame:
 # ---- tiles and work domains ----
 
 
+def only_active(pointed: DataFrame, tiles: DataFrame) -> DataFrame:
+    """pointed, if all its tiles are among the active ones (tiles: tile); a sample on another tile is a RuntimeError."""
+    lost = pointed.select("tile").distinct().join(tiles.select("tile"), "tile", "left_anti").limit(1).collect()
+    if lost:
+        raise RuntimeError(f"tile {lost[0]['tile']} is not active")
+    return pointed
+
+
 def tile_hits(pointed: DataFrame) -> DataFrame:
     """Samples (times interpolation points) that fall into each tile."""
     if "tile" not in pointed.columns:

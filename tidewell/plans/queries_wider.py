@@ -252,3 +252,111 @@ def healpix_tile_size(spark, sf):
     tiles = projection.tile_hits(projection.pointing(assembly(spark, sf), TILED, "T")).count()
     size = projection.compute_nside_tile(tiles, 2, 4, 512)
     return out(spark.range(1).select(F.lit(tiles).cast("long").alias("tiles"), F.lit(size).cast("long").alias("nside_tile"), F.round(F.lit(projection.pixel_side(512)), 12).alias("side")))
+
+
+@query(
+    f"with {LONG}, d as (select *, 'hk_' || event_type filename, floor((t - {T0}) / 86400)::bigint d from e), b as (select event_type, d, min(t) t0, max(t) + 1 t1, count(*) n from d group by all) select 'observatory.' || event_type || '.feeds.main.' || f field, round(t0, 6) t0, n::bigint count, (d * 1000 + 1)::bigint byte_offset from b, (values ('value'), ('k')) x(f) where t1 >= {T0 + 86400} and t0 <= {T0 + 3 * 86400}"
+)
+def hk_get_blocks(spark, sf):
+    f = frames(spark, sf)
+    got = hk.get_blocks(f, hk.provider_names(f), None, T0 + 86400, T0 + 3 * 86400)
+    return out(got.select("field", F.round("t0", 6).alias("t0"), "count", "byte_offset"))
+
+
+@query(f"""with {LONG} select field, block_name timeline, count(*)::bigint samples,
+  case when bool_and(regexp_full_match(v, '[+-]?[0-9]+')) then 'bigint' when bool_and(regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')) then 'double' when bool_and(v in ('true', 'false')) then 'boolean' else 'string' end "type",
+  case when field like '%.value' then 'K' end units from s group by 1, 2""")
+def hk_typed_catalog(spark, sf):
+    rows = _samples(spark, sf)
+    units = rows.where("field like '%.value'").select("field").distinct().withColumn("units", F.lit("K"))
+    return out(hk.typed_catalog(rows, units).select("field", "timeline", "samples", "type", "units"))
+
+
+@query(f"with {LONG} select 'clicks' \"name\", round(t, 6) t, v::double v from s where field = 'observatory.click.feeds.main.value' and t >= {T0 + 500000} and t < {T0 + 900000}")
+def hk_load_folders(spark, sf):
+    """Samples written by folder, then found by a configuration and folder patterns."""
+    from ..streaming.live import shared_folder
+
+    base = shared_folder(spark)
+    rows = hk.with_folder(_samples(spark, sf)).where(F.col("folder").isin(hk.folders(T0 + 400000, T0 + 1000000)))
+    for k in hk.folders(T0 + 500000, T0 + 900000):
+        rows.where(F.col("folder") == k).drop("folder").write.parquet(f"{base}/hk_{k}_a" if k % 2 else f"{base}/{k}")
+    config = f"data_dir: '{base}'\nfield_list:\n    'clicks': 'observatory.click.feeds.main.value'\n"
+    got = hk.load_folders(spark, T0 + 500000, T0 + 900000, config)
+    return out(got.select("name", F.round("t", 6).alias("t"), F.col("v").cast("double").alias("v")))
+
+
+@query(f"with {LONG} select 'seen' \"name\", round(t, 6) t, v from s where field = 'observatory.view.feeds.main.k'")
+def hk_alias_refs(spark, sf):
+    got = hk.alias_refs(_samples(spark, sf), {"seen": "observatory.view.feeds.main.k", "lost": "observatory.none.feeds.main.k"})
+    return out(got.select("name", F.round("t", 6).alias("t"), "v"))
+
+
+@query("select 4::bigint frames, 1::bigint session_frames, 1::bigint status_frames, 2::bigint data_frames, 1::bigint sessions, 0::bigint time_errors, 0::bigint length_errors, 1::bigint drift_warnings, 0::bigint moved_fields")
+def hk_session_frames(spark, sf):
+    """A session written frame by frame, validated; the second data frame is stamped far from its samples."""
+    s = hk.Session("a", "observatory.x", T0)
+    p = s.add_provider("observatory.x.feeds.main")
+    made = [s.session_frame(), s.status_frame(T0 + 1)]
+    made += [s.data_frame(p, T0 + 10 * k, {"b": ([T0 + 10 * k + 100 * (k - 1) + i for i in range(3)], {"v": [1, 2, 3]})}) for k in (1, 2)]
+    return out(hk.validate(spark.createDataFrame(made, hk.FRAMES)))
+
+
+@query(f"with {TOD}, {A} select det, string_agg(s || '-' || e, ' ' order by s) text, count(*)::bigint n from a group by det")
+def ranges_arrays(spark, sf):
+    a, _, dets = flag_ranges(tod(spark, sf))
+    arrays = ranges.to_arrays(ranges.from_arrays(ranges.to_arrays(a, K), K, dets), K)
+    text = F.array_join(F.transform("ranges", lambda r: F.concat(r["s"].cast("string"), F.lit("-"), r["e"].cast("string"))), " ")
+    return out(arrays.select("det", text.alias("text"), F.size("ranges").cast("long").alias("n")))
+
+
+@query(f"with {TOD}, {A}, u as (select * from a union all select * from a) select det, s::bigint s, e::bigint e from u")
+def ranges_append(spark, sf):
+    a, _, _ = flag_ranges(tod(spark, sf))
+    return out(ranges.appended(a, a, K), "det", "s", "e")
+
+
+@query(
+    f"""with {TOD}, {A}, g as (select det // 10 a, det % 10 b, s, e from a),
+p as (select * from (values (0, 5), (1, 0), (2, 5)) t(i, a)), q as (select unnest(range(1, 10, 2)) b)
+select p.i::bigint a, ((g.b - 1) // 2)::bigint b, (greatest(s, 3) - 3)::bigint s, (least(e, 40) - 3)::bigint e from g join p using (a) join q using (b) where greatest(s, 3) < least(e, 40)"""
+)
+def ranges_grid_index(spark, sf):
+    """A grid indexed by a list, a slice with a step and a slice of samples."""
+    a = flag_ranges(tod(spark, sf))[0]
+    grid = ranges.Grid(a.select(F.floor(F.col("det") / 10).cast("int").alias("a"), F.pmod("det", F.lit(10)).cast("int").alias("b"), "s", "e"), ["a", "b"], (1000, 10), 10_000)
+    got = grid.check()[[5, 0, 5], 1::2, 3:40]
+    return out(got.ranges, "a", "b", "s", "e")
+
+
+@query(f"with {NEAR}, {MAP} select (iy // 40 * 4 + ix // 50)::bigint tile, iy, ix, round(t, 5) + 0.0 t from m")
+def map_tiled_active(spark, sf):
+    """A tiled map of which every tile hit is active."""
+    from .queries_sky import TILED
+
+    p = projection.pointing(valued(spark, sf), TILED, "T")
+    p = projection.only_active(p, spark.range(12).select(F.col("id").alias("tile")))
+    return out(projection.to_map(p, "T", key=["tile", "iy", "ix"]).select("tile", "iy", "ix", rounded("T", 5).alias("t")))
+
+
+@query(f"select (iy // 40 * 4 + ix // 50)::bigint tile, iy::bigint iy, ix::bigint ix, 0.0::double t, 0.0::double q, 0.0::double u from (select unnest(range({PIX.ny})) iy), (select unnest(range({PIX.nx})) ix)")
+def map_zeros(spark, sf):
+    from .queries_sky import TILED
+
+    m = projection.map_like(spark, TILED, projection.components_of(3))
+    return out(m.select("tile", "iy", "ix", F.col("T").alias("t"), F.col("Q").alias("q"), F.col("U").alias("u")))
+
+
+@query(
+    """with p as (select event_id, 0.4 + (event_id % 200 - 100) * 0.002::double l, 0.3 + (event_id % 160 - 80) * 0.002::double b from events),
+v as (select event_id, cos(b) * cos(l - 0.4) x, cos(b) * sin(l - 0.4) y, sin(b) z from p),
+r as (select event_id, x * cos(0.3) + z * sin(0.3) x, y, z * cos(0.3) - x * sin(0.3) z from v)
+select event_id, round(atan2(y * cos(0.2) - z * sin(0.2), x), 8) + 0.0 lon, round(asin(y * sin(0.2) + z * cos(0.2)), 8) + 0.0 lat from r"""
+)
+def source_centered(spark, sf):
+    """Sight lines near a source, in the frame of a map around it that is turned by 0.2."""
+    turn = projection.for_source_at(0.4, 0.3, 0.2, PIX)[1]
+    e = table(spark, sf, "events").select("event_id", (0.4 + (F.col("event_id") % 200 - 100) * 0.002).alias("l"), (0.3 + (F.col("event_id") % 160 - 80) * 0.002).alias("b"))
+    q = quat.mul(tuple(F.lit(v) for v in turn), quat.rotation_lonlat("l", "b"))
+    lon, lat, _ = quat.decompose_lonlat(q)
+    return out(e.select("event_id", rounded(lon, 8).alias("lon"), rounded(lat, 8).alias("lat")))

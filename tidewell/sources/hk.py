@@ -327,3 +327,127 @@ def text_table(report: DataFrame, rows: int = 1000) -> str:
 
 def write_csv(report: DataFrame, path: str) -> None:
     report.write.option("header", "true").csv(path)
+
+
+# ---- raw blocks, catalog with types, folders, aliases, frame building ----
+
+
+def get_blocks(frames: DataFrame, names: DataFrame, fields_: list[str] | None, start: float | None, end: float | None) -> DataFrame:
+    """Whole blocks that touch [start, end], ends included: field, block_name, t0, t1, count, filename, byte_offset, block_index, t, v.
+
+    Nothing is cut or dropped; in the order of t0, t1, count, filename,
+    byte_offset and block_index they follow each other as they were recorded.
+    """
+    data = frames.where(F.col("hkagg_type") == DATA).join(names, ["session_id", "prov_id"])
+    rows = data.select("provider", "filename", "byte_offset", F.posexplode("blocks").alias("block_index", "b")).where(F.size("b.t") > 0)
+    rows = rows.withColumn("t0", F.element_at("b.t", 1)).withColumn("t1", F.element_at("b.t", -1) + PAD_SECONDS)
+    if start is not None:
+        rows = rows.where(F.col("t1") >= start)
+    if end is not None:
+        rows = rows.where(F.col("t0") <= end)
+    rows = rows.select("provider", F.col("b.block_name").alias("block_name"), "t0", "t1", F.size("b.t").alias("count"), "filename", "byte_offset", "block_index", F.col("b.t").alias("t"), F.explode("b.fields").alias("name", "v"))
+    rows = rows.select(F.concat_ws(".", "provider", "name").alias("field"), *[c for c in rows.columns if c not in ("provider", "name")])
+    return rows.where(F.col("field").isin(fields_)) if fields_ is not None else rows
+
+
+def typed_catalog(rows: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """fields() with the narrowest type that all values of a field have, and its unit (units: field, units)."""
+    whole, number, flag = (F.col("v").rlike(p) for p in (r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$", r"^(true|false)$"))
+    kind = F.when(F.min(whole), "bigint").when(F.min(number), "double").when(F.min(flag), "boolean").otherwise("string")
+    out = rows.groupBy("field", F.col("block_name").alias("timeline")).agg(F.count("*").alias("samples"), kind.alias("type"))
+    return out.join(units, "field", "left") if units is not None else out.withColumn("units", F.lit(None).cast("string"))
+
+
+PATTERNS = ("{folder}", "hk_{folder}_*")
+
+
+def folders(start: float, end: float) -> list[int]:
+    """Archive folders that may hold samples of [start, end)."""
+    return list(range(int((start - MARGIN) // FOLDER_SECONDS), int((end + MARGIN) // FOLDER_SECONDS) + 1))
+
+
+def read_config(text: str) -> dict:
+    """data_dir, field_list (alias: field) and other entries of a configuration of the form `key: value`, nested once by indent."""
+    out: dict = {}
+    into = out
+    for line in text.splitlines():
+        line = line.split(" #")[0].rstrip()
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        key, _, value = line.strip().partition(":")
+        if not line[0].isspace():
+            into = out
+        value = value.strip().strip("'\"")
+        into[key.strip().strip("'\"")] = value
+        if not value and not line[0].isspace():
+            into = out[key.strip()] = {}
+    return out
+
+
+def load_folders(spark, start: float, end: float, config: str | dict, patterns: tuple[str, ...] = PATTERNS, strict: bool = False) -> DataFrame:
+    """load_range over sample tables in folders, by a configuration with data_dir and field_list (alias: field).
+
+    Folders that are not there are passed over; with none of them the result is empty.
+    """
+    config = read_config(config) if isinstance(config, str) else config
+    base = config["data_dir"]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    there = []
+    for k in folders(start, end):  # a request covers few folders
+        for p in patterns:
+            path = hadoop.Path(f"{base}/{p.format(folder=k)}")
+            got = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+            there += [(k, s.getPath().toString()) for s in (got or [])]
+    rows = None
+    for k, path in there:
+        part = spark.read.schema("field string, block_name string, t double, v string").parquet(path).withColumn("folder", F.lit(k))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        rows = spark.createDataFrame([], "field string, block_name string, t double, v string, folder int")
+    return load_range(rows, start, end, config.get("field_list"), strict)
+
+
+def alias_refs(rows: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Samples under alias names (alias: field); a field without samples has none, and that is no error."""
+    table = rows.sparkSession.createDataFrame([(a, f) for a, f in aliases.items()], "name string, field string")
+    return F.broadcast(table).join(rows, "field").select("name", "t", "v")  # as large as the request
+
+
+class Session:
+    """Frames of one recording session, as rows of FRAMES: session, status and data frames."""
+
+    def __init__(self, filename: str, description: str, start: float, pid: int = 0):
+        self.filename, self.start = filename, start
+        self.session_id = session_id_of(description, start, pid)
+        self.providers: dict[int, str] = {}
+        self.count = 0
+
+    def _frame(self, kind: int, timestamp: float, prov_id: int | None = None, blocks: list | None = None) -> tuple:
+        self.count += 1
+        told = [(i, d) for i, d in sorted(self.providers.items())] if kind == STATUS else []
+        return (self.filename, self.count - 1, self.count - 1, kind, 2, self.session_id, prov_id, float(timestamp), told, blocks or [])
+
+    def add_provider(self, description: str) -> int:
+        prov_id = next(k for k in range(len(self.providers) + 1) if k not in self.providers)
+        self.providers[prov_id] = description
+        return prov_id
+
+    def remove_provider(self, prov_id: int) -> None:
+        del self.providers[prov_id]
+
+    def session_frame(self) -> tuple:
+        return self._frame(SESSION, self.start)
+
+    def status_frame(self, timestamp: float) -> tuple:
+        return self._frame(STATUS, timestamp)
+
+    def data_frame(self, prov_id: int, timestamp: float, blocks: dict[str, tuple[list[float], dict[str, list]]]) -> tuple:
+        """blocks: name to (times, field to values); an unknown provider or lengths that differ are a ValueError."""
+        if prov_id not in self.providers:
+            raise ValueError(f"no provider {prov_id}")
+        rows = []
+        for name, (t, values) in blocks.items():
+            if any(len(v) != len(t) for v in values.values()):
+                raise ValueError(f"lengths differ in {name}")
+            rows.append((name, [float(x) for x in t], {k: [str(x) for x in v] for k, v in values.items()}))
+        return self._frame(DATA, timestamp, prov_id, rows)
