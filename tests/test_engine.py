@@ -447,3 +447,11 @@ def test_sequential_walks_pass_batch_after_batch(spark):
 
     got = ordered.walked(rows, "y", start, "det long, samp int, z long")
     assert got.where("z <> samp + 1").isEmpty() and got.count() == 30_000
+
+
+def test_every_row_with_every_row_in_runs(spark):
+    from tidewell.operators.runs import each_with
+
+    left, right = spark.range(30).withColumnRenamed("id", "a"), spark.range(25).withColumnRenamed("id", "b")
+    got = each_with(left, right, "b", rows=4)
+    assert got.distinct().count() == got.count() == 750

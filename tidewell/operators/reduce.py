@@ -61,7 +61,7 @@ def matched_filter(tod: DataFrame, size: int, shift: int = 0) -> DataFrame:
     return block_moment(tod, size, 1, shift=shift).withColumn("m", F.sum(F.col("y") - F.col("v")).over(run))
 
 
-def _over_threshold(tod: DataFrame, size: int, shift: int, factor: float, uncertain: bool) -> Column:
+def _over_threshold(tod: DataFrame, size: int, shift: Column, factor: float, uncertain: bool) -> Column:
     """Whether the filter exceeds `factor` of its response to the detector's smallest jump.
 
     For a unit step the running sum peaks at the step, by an amount that falls off
@@ -80,17 +80,23 @@ def _over_threshold(tod: DataFrame, size: int, shift: int, factor: float, uncert
 
 
 def matched_jumps(tod: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
-    """Ranges where a step filter passes the detector's smallest jump (sizes: det, min_size), over two block grids."""
-    dets = tod.groupBy("det").agg((F.max("samp") + 1).alias("n"))
-    found = None
-    for shift in (0, size // 2):
-        m = matched_filter(tod, size, shift).join(dets, "det").join(sizes, "det").select("det", "samp", "n", "m", "min_size")
-        rough = ranges.from_mask(m, ["det"], _over_threshold(m, size, shift, 0.5, False))
-        kept = ranges.flagged_samples(clean_flag(rough, size // 4, dets), ["det"])
-        # a step filter peaks at the jump, so only samples whose rough flag survived are looked at again
-        sure = ranges.from_mask(m.join(kept, ["det", "samp"], "left_semi"), ["det"], _over_threshold(m, size, shift, 1.0, True))
-        found = sure if found is None else found.unionByName(sure)
-    return ranges.merged(found, ["det"])
+    """Ranges where a step filter passes the detector's smallest jump (sizes: det, min_size), over two block grids.
+
+    Both grids go through the same windows, and no sample is joined to another.
+    """
+    whole = tod.select("det", "samp", "y", (F.max("samp").over(Window.partitionBy("det")) + 1).alias("n")).join(sizes.select("det", "min_size"), "det")
+    grid = whole.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(size // 2))))
+    grid = grid.withColumn("blk", F.when(F.col("samp") < F.col("shift"), -1).otherwise(F.floor((F.col("samp") - F.col("shift")) / size)))
+    per = Window.partitionBy("det", "shift", "blk")
+    grid = grid.withColumn("v", F.avg("y").over(per)).withColumn("m", F.sum(F.col("y") - F.col("v")).over(per.orderBy("samp")))
+    sure = _over_threshold(grid, size, F.col("shift"), 1.0, True)
+    rough = grid.withColumn("sure", sure).where(_over_threshold(grid, size, F.col("shift"), 0.5, False))
+    # a step filter peaks at the jump, so only runs of rough flags that are long enough are looked at again
+    run = rough.withColumn("run", F.col("samp") - F.row_number().over(Window.partitionBy("det", "shift").orderBy("samp")))
+    of_run = Window.partitionBy("det", "shift", "run")
+    kept = run.withColumn("count", F.count("*").over(of_run)).withColumn("stop", F.max("samp").over(of_run) + 1)
+    kept = kept.where((F.col("count") >= size // 4) | (F.col("stop") == F.col("n")))
+    return ranges.merged(ranges.from_mask(kept, ["det", "shift"], F.col("sure")), ["det"])
 
 
 def quantized_jumps(tod: DataFrame, tolerance: DataFrame, window: int, scale: float) -> DataFrame:

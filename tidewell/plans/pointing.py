@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quat
 from ..functions.steps import Steps
+from ..operators.runs import each_with
 
 
 @dataclass(frozen=True)
@@ -106,23 +107,16 @@ def focal_plane(dets: DataFrame, hwp: bool = False) -> DataFrame:
     return s.done(**{f"d{n}": c for n, c in zip("abcd", d)}, resp_t=get("T", 1.0), resp_p=power).select("det", "da", "db", "dc", "dd", "resp_t", "resp_p")
 
 
-#: A focal plane of at most so many detectors is sent to every executor.
-BROADCAST_DETECTORS = 100_000
-
-
 def assembly(bore: DataFrame, fplane: DataFrame, turned: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Every sample of every detector: the boresight's columns, det, resp_t, resp_p and the product qa..qd.
 
-    turned: a fixed rotation put before the boresight, once a sample.  Samples
-    meet detectors through a shared constant key; the focal plane is counted
-    first, and beyond BROADCAST_DETECTORS the samples are dealt by its detectors.
+    turned: a fixed rotation put before the boresight, once a sample.  The focal
+    plane is counted and sent to the samples in runs of bounded size.
     """
     s = Steps(bore)
     if turned is not None:
         q = s.keep(*quat.mul(tuple(F.lit(float(v)) for v in turned), quat.read()))
         bore = s.done(**{f"q{n}": c for n, c in zip("abcd", q)})
-    small = fplane.count() <= BROADCAST_DETECTORS
-    pairs = bore.crossJoin(F.broadcast(fplane)) if small else bore.join(fplane)
-    s = Steps(pairs)
+    s = Steps(each_with(bore, fplane, "det"))
     out = s.keep(*quat.mul(quat.read(), quat.read("d")))
     return s.done(**{f"q{n}": c for n, c in zip("abcd", out)}).drop("da", "db", "dc", "dd")

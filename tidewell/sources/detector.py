@@ -7,6 +7,8 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.runs import each_with
+
 #: Phase of one count.
 PHASE = pi / 2**15
 CHANNELS_PER_BAND = 512
@@ -31,7 +33,7 @@ def select_scans(frames: DataFrame, start: float, end: float) -> DataFrame:
 def load(samples: DataFrame, channels: DataFrame, start: float, end: float) -> DataFrame:
     """Dense table t, channel, phase of [start, end): channels without a count are 0 (samples: t, channel, counts)."""
     part = samples.where((F.col("t") >= start) & (F.col("t") < end))
-    every = part.select("t").distinct().join(F.broadcast(channels.select("channel"))) if channels.count() <= 100_000 else part.select("t").distinct().join(channels.select("channel"))
+    every = each_with(part.select("t").distinct(), channels.select("channel"), "channel")
     return every.join(part, ["t", "channel"], "left").select("t", "channel", (F.coalesce("counts", F.lit(0)) * PHASE).alias("phase"))
 
 
