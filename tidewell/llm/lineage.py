@@ -1,8 +1,7 @@
-"""Cutting lineage through the shared folder the cluster names."""
+"""Cutting lineage through the shared folder the cluster names, and what Python workers hold."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -26,14 +25,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files and checkpoints that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a compressed table written once in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes tables made by `stored` that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, room: str = "8m") -> None:
+    """Arrow batches of a few megabytes, unless the session sets a size of its own: a Python worker holds one at a time."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, room)

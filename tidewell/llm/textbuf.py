@@ -147,3 +147,45 @@ def shingles(block: TextBlock, width: int) -> tuple[np.ndarray, np.ndarray]:
             h = (h * 0x9E3779B97F4A7C15 + w + 1) & 0xFFFFFFFFFFFFFFFF
         out[offset[i]] = mix(np.array([h], np.uint64))[0]
     return out, offset
+
+
+# ---- what Python workers hold ----
+
+
+def give_back() -> None:
+    """Hands free memory back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # the C library's, where numpy's arrays are
+
+
+def frugal(run):
+    """The mapInArrow function `run`, giving memory back after each batch that it makes."""
+
+    def inner(batches):
+        for out in run(batches):
+            yield out
+            give_back()
+
+    return inner
+
+
+def frugal_group(run):
+    """The same for an applyInArrow function of one group."""
+
+    def inner(key, table):
+        out = run(key, table)
+        give_back()
+        return out
+
+    return inner
+
+
+def frugal_cogroup(run):
+    """The same for an applyInArrow function of two groups."""
+
+    def inner(key, left, right):
+        out = run(key, left, right)
+        give_back()
+        return out
+
+    return inner
