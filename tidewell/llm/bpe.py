@@ -25,10 +25,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textbuf import text_slices
+from .lineage import bounded_batches
+from .textbuf import frugal, text_slices
 
 BLOCK = 32
-CACHE, CACHE_BYTES = 400_000, 16 << 20
+CACHE, CACHE_BYTES = 200_000, 8 << 20
 _NONE = np.int32(0x7FFFFFFF)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -220,6 +221,7 @@ class Vocabulary:
 
 def share(spark: SparkSession, ranks_path: str, pattern: str):
     """The vocabulary as a broadcast; its size is that of the vocabulary file."""
+    bounded_batches(spark)
     return spark.sparkContext.broadcast(Vocabulary(read_ranks(ranks_path), pattern))
 
 
@@ -236,7 +238,7 @@ def encode(documents: DataFrame, vocabulary, key: str = "doc_id", text: str = "t
                 ids = pa.ListArray.from_arrays(pa.array(offset), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], ids], ["doc_id", "ids"])
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary) -> DataFrame:
@@ -254,4 +256,22 @@ def decode(encoded: DataFrame, vocabulary) -> DataFrame:
                 texts = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, texts], ["doc_id", "ids", "decoded"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(frugal(run), "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(documents: DataFrame, vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids and the bytes decoded from them, of every row: encode() and decode() in one Python worker."""
+
+    def run(batches):
+        v = vocabulary.value
+        cache = PieceCache()
+        for batch in batches:
+            for a, z in text_slices(batch.column(1), 1 << 20):
+                flat, count = v.encode_many([t or "" for t in batch.column(1)[a:z].to_pylist()], cache)
+                offset = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                data, ends = v.decode_many(flat.astype(np.int64), offset.astype(np.int64))
+                ids = pa.ListArray.from_arrays(pa.array(offset), pa.array(flat, pa.int32()))
+                texts = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], ids, texts], ["doc_id", "ids", "decoded"])
+
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, ids array<int>, decoded binary")

@@ -14,7 +14,7 @@ def bpe_digests(documents: DataFrame) -> DataFrame:
     from . import bpe, public_paths
 
     vocabulary = bpe.share(documents.sparkSession, public_paths.BYTE_BPE, public_paths.PATTERN)
-    return bpe.decode(bpe.encode(documents, vocabulary), vocabulary).select(
+    return bpe.round_trip(documents, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
