@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lineage import cut
-from .textbuf import mix, raw_texts, text_slices
+from .lineage import bounded_batches, cut
+from .textbuf import frugal, frugal_cogroup, frugal_group, mix, raw_texts, text_slices
 
 MATCH, GRAM = 100, 24
 HOT = 4096
-BATCH = 1 << 16
+BATCH, SCAN = 1 << 16, 1 << 14
 _POS_BITS = 28
 _LAST = (1 << 63) - 1
 _RAND = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -113,9 +113,7 @@ class Family:
         sorted_keys = keys[order]
         repeat = np.concatenate(([False], sorted_keys[1:] == sorted_keys[:-1]))
         for level_text, level in self.levels:
-            have = self._keys(level_text, level)
-            spot = np.minimum(np.searchsorted(have, sorted_keys), len(have) - 1)
-            repeat |= have[spot] == sorted_keys
+            repeat |= self._scan(level_text, level, text, at[order])[1]
         fresh = order[~repeat]
         if len(fresh):
             self._push(text, at[fresh])
@@ -123,11 +121,27 @@ class Family:
         out[order] = repeat
         return out
 
+    def _scan(self, text: np.ndarray, array: np.ndarray, other_text: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge scan of two sorted arrays: how many entries of the first come before each one of the other, and whether an equal one is there."""
+        before, same, done = np.full(len(other), len(array), np.int64), np.zeros(len(other), bool), 0
+        for at in range(0, len(array), SCAN):
+            have = self._keys(text, array[at : at + SCAN])
+            while done < len(other):
+                part = self._keys(other_text, other[done : done + SCAN])
+                stop = int(np.searchsorted(part, have[-1], side="right"))
+                spot = np.searchsorted(have, part[:stop])
+                before[done : done + stop] = at + spot
+                same[done : done + stop] = have[spot] == part[:stop]
+                done += stop
+                if stop < len(part):
+                    break
+        return before, same
+
     def _push(self, text: np.ndarray, array: np.ndarray) -> None:
         while self.levels and len(self.levels[-1][1]) <= len(array):
             old_text, old = self.levels.pop()
             # where each entry of the new array comes to stand between those of the old one
-            spot = np.searchsorted(self._keys(old_text, old), self._keys(text, array)) + np.arange(len(array))
+            spot = self._scan(old_text, old, text, array)[0] + np.arange(len(array))
             both = np.empty(len(old) + len(array), np.int64)
             from_old = np.ones(len(both), bool)
             from_old[spot] = False
@@ -312,7 +326,7 @@ def _window_step(shards: int):
         flat = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
         if len(flat["shard"]):
             ends = np.cumsum(flat["size"])
-            data = flat["bytes"].tobytes()
+            data = flat.pop("bytes").tobytes()
             # equal stretches within this part are sent once, and referred to
             seen: dict[bytes, int] = {}
             ref = np.empty(len(ends), np.int64)
@@ -393,9 +407,10 @@ def _family(parts: list[int], blobs: list[bytes]) -> list[dict]:
     stretch = np.concatenate([g[4] + b for g, b in zip(got, base)])
     size = np.concatenate([g[5] for g in got]).astype(np.int64)
     anchor = np.concatenate([g[6] for g in got])
-    text = np.concatenate([g[7] for g in got])
     begin = np.cumsum(size) - size
-    data = text.tobytes()
+    data = b"".join([g[7].tobytes() for g in got])
+    text = np.frombuffer(data, np.uint8)
+    del got
     seen: dict[bytes, int] = {}
     same = np.fromiter((seen.setdefault(data[a : a + n], k) for k, (a, n) in enumerate(zip(begin.tolist(), size.tolist()))), np.int64, len(size))
     stretch = same[stretch]
@@ -504,7 +519,7 @@ def _packed(documents: DataFrame, carry: list[T.StructField]) -> DataFrame:
     kinds = [T.LongType(), T.BinaryType(), T.LongType(), T.BinaryType(), T.LongType()]
     fields = [T.StructField(c, k) for c, k in zip(names, kinds)]
     long = documents.where(F.octet_length("text") >= MATCH)
-    return long.select("doc_id", "text", *[f.name for f in carry]).mapInArrow(run, T.StructType([*fields, *[T.StructField(f.name, f.dataType) for f in carry]]))
+    return long.select("doc_id", "text", *[f.name for f in carry]).mapInArrow(frugal(run), T.StructType([*fields, *[T.StructField(f.name, f.dataType) for f in carry]]))
 
 
 def repeats(documents: DataFrame, carry: list[str] | None = None, copies: bool = True, hot: int = HOT) -> DataFrame:
@@ -514,6 +529,7 @@ def repeats(documents: DataFrame, carry: list[str] | None = None, copies: bool =
     whole as later copies are left out.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     fields = [T.StructField(f"c{k}", documents.schema[c].dataType) for k, c in enumerate(carry or [])]
     named = [F.col(f"`{c}`").alias(f.name) for c, f in zip(carry or [], fields)]
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *named)
@@ -527,12 +543,12 @@ def repeats(documents: DataFrame, carry: list[str] | None = None, copies: bool =
     firsts = firsts.select(_part(width), F.lit(0).alias("kind"), "owner", F.col("digest").alias("mark"), F.lit(None).cast("binary").alias("blob"))
     firsts = cut(firsts)
     with_side = lambda side: held.groupBy("part").cogroup(side.groupBy("part"))
-    found = with_side(firsts).applyInArrow(_anchor_step(width), _SHARD)
-    repeated = found.groupBy("shard").applyInArrow(_repeated_step(hot), _SIDE)
-    windows = with_side(firsts.unionByName(repeated)).applyInArrow(_window_step(width), _SHARD)
-    ranges = windows.groupBy("shard").applyInArrow(_shard_step(width), _SIDE)
+    found = with_side(firsts).applyInArrow(frugal_cogroup(_anchor_step(width)), _SHARD)
+    repeated = found.groupBy("shard").applyInArrow(frugal_group(_repeated_step(hot)), _SIDE)
+    windows = with_side(firsts.unionByName(repeated)).applyInArrow(frugal_cogroup(_window_step(width)), _SHARD)
+    ranges = windows.groupBy("shard").applyInArrow(frugal_group(_shard_step(width)), _SIDE)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", _SPANS), T.StructField("text", T.BinaryType()), T.StructField("kept", T.BinaryType()), *fields])
-    out = with_side(firsts.unionByName(ranges)).applyInArrow(_span_step, schema)
+    out = with_side(firsts.unionByName(ranges)).applyInArrow(frugal_cogroup(_span_step), schema)
     carried = [f.name for f in fields]
     none, empty = F.array().cast(_SPANS), F.lit(b"")
     short = base.where(F.octet_length("text") < MATCH)
@@ -581,7 +597,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), pa.array([k.decode() for k in kept], pa.string()), *rest], ["doc_id", "text", *[f"c{k}" for k in range(len(carry))]]).filter(keep)
 
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(f"c{k}", documents.schema[c].dataType) for k, c in enumerate(carry)]]
-    out = got.mapInArrow(run, T.StructType(fields))
+    out = got.mapInArrow(frugal(run), T.StructType(fields))
     columns = []
     for c in documents.columns:
         value = F.col(c) if c in ("doc_id", "text") else F.col(f"c{carry.index(c)}")
