@@ -29,11 +29,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut, stored
-from .textbuf import SLICE_BYTES, TextBlock, mix, raw_texts, shingles, text_slices
+from .lineage import bounded_batches, cut, drop_stored, stored
+from .textbuf import SLICE_BYTES, TextBlock, frugal, frugal_cogroup, frugal_group, mix, raw_texts, shingles, text_slices
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
@@ -69,8 +70,12 @@ class Weights:
 
 
 def sketch(documents: DataFrame, cells: int = CELLS) -> Weights:
-    """Counts in how many documents the shingles of each cell occur, over all documents."""
-    part = 4096
+    """Counts in how many documents the shingles of each cell occur, over all documents.
+
+    Tables of tasks are added up in two steps, by runs of tasks first, so that no
+    group holds one for every task.
+    """
+    part, run = 4096, 64
 
     def count(batches):
         table, n = np.zeros(cells, np.int32), 0
@@ -80,7 +85,7 @@ def sketch(documents: DataFrame, cells: int = CELLS) -> Weights:
                 n += int((np.diff(bound) > 0).sum())
                 table += np.bincount((ids & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.int32)
         packer = zstandard.ZstdCompressor(level=1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(cells // part), pa.int32()), pa.array([packer.compress(table[k * part : (k + 1) * part].tobytes()) for k in range(cells // part)]), pa.array([n] * (cells // part), pa.int64())], ["k", "blob", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(cells // part), pa.int32()), pa.array([TaskContext.get().partitionId() // run] * (cells // part), pa.int32()), pa.array([packer.compress(table[k * part : (k + 1) * part].tobytes()) for k in range(cells // part)]), pa.array([n] * (cells // part), pa.int64())], ["k", "slot", "blob", "n"])
 
     def add(key, table):
         total, n = np.zeros(part, np.int64), 0
@@ -91,7 +96,10 @@ def sketch(documents: DataFrame, cells: int = CELLS) -> Weights:
         return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([zstandard.ZstdCompressor().compress(total.tobytes())], pa.binary()), "n": pa.array([n], pa.int64())})
 
     # the sketch has a fixed size, however many documents there are
-    got = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "k int, blob binary, n long").groupBy("k").applyInArrow(add, "k int, blob binary, n long").collect()
+    tables = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(frugal(count), "k int, slot int, blob binary, n long")
+    for by in (["k", "slot"], ["k"]):
+        tables = tables.groupBy(*by).applyInArrow(frugal_group(add), "k int, blob binary, n long")
+    got = tables.collect()
     whole, n = np.zeros(cells, np.int64), 0
     for r in got:
         whole[r["k"] * part : (r["k"] + 1) * part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["blob"]), np.int64)
@@ -163,7 +171,7 @@ def signatures(documents: DataFrame, weights, bands: int = BANDS, rows: int = RO
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(size > 0, bands, 0)))).astype(np.int32)), pa.array(key[size > 0].reshape(-1).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array(total[bound[1:]] - total[bound[:-1]]), lists], ["doc_id", "text_key", "total", "bands"])
 
-    return documents.mapInArrow(run, "doc_id long, text_key binary, total double, bands array<long>")
+    return documents.mapInArrow(frugal(run), "doc_id long, text_key binary, total double, bands array<long>")
 
 
 def packed_texts(documents: DataFrame) -> DataFrame:
@@ -175,7 +183,7 @@ def packed_texts(documents: DataFrame) -> DataFrame:
             for a, z in text_slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], pa.array([packer.compress(t) for t in raw_texts(batch.column(1)[a:z])], pa.binary())], ["doc", "z"])
 
-    return documents.mapInArrow(run, "doc long, z binary")
+    return documents.mapInArrow(frugal(run), "doc long, z binary")
 
 
 def _opened(packed: pa.Array, limit: int = SLICE_BYTES):
@@ -236,7 +244,7 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float = THRES
                         out_b.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -284,15 +292,14 @@ _COUNTS = "shard long, part long, blob binary"
 _TOKENS = "token long, doc long, comp long, total double, most double, main boolean, bands array<long>"
 
 
-def rival_pairs(held: DataFrame, texts: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and may reach the threshold.
+def rival_offers(held: DataFrame, texts: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame:
+    """The shingles by which a text may meet one of another class (held: doc, comp, total and bands, its keys).
 
-    held: doc, comp, total and bands (its keys).  An exact prefix filter: shingles
-    are ordered by the number of these texts that have them; of two texts that are
-    similar enough, the first shingle that both have must leave enough weight
-    after it in either.  A text offers only shingles of two classes or more for
-    which that can be, by size class; members of a shingle's largest class are
-    held against those of other classes only.
+    An exact prefix filter: shingles are ordered by the number of these texts that
+    have them; of two texts that are similar enough, the first shingle that both
+    have must leave enough weight after it in either.  A text offers only shingles
+    of two classes or more for which that can be, with the most weight that the
+    other text can have.
     """
     spark = held.sparkSession
     held = held.join(texts.hint("merge"), "doc")
@@ -368,9 +375,17 @@ def rival_pairs(held: DataFrame, texts: DataFrame, weights, threshold: float = T
             "bands": mine.column("bands").cast(pa.list_(pa.int64())) if out else pa.array([], pa.list_(pa.int64())),
         })
 
-    counts = held.select("part", "comp", "z").groupBy("part").applyInArrow(count, _COUNTS)
-    told = counts.groupBy("shard").applyInArrow(tell, _COUNTS)
-    rows = stored(held.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(offer, _TOKENS), "prefixes")
+    counts = held.select("part", "comp", "z").groupBy("part").applyInArrow(frugal_group(count), _COUNTS)
+    told = counts.groupBy("shard").applyInArrow(frugal_group(tell), _COUNTS)
+    return held.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(frugal_cogroup(offer), _TOKENS)
+
+
+def rival_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket and may reach the threshold, from their offers.
+
+    Texts meet by shingle and size class; members of a shingle's largest class are
+    held against those of other classes only.
+    """
     size = lambda x: F.floor(F.log(x) / F.log(F.lit(1.1)))
     # the text of more weight asks, the other one answers
     asks = rows.withColumn("size", F.explode(F.sequence(size(F.col("total") * threshold * (1 - 1e-6)), size(F.least("total", "most") * (1 + 1e-6)))))
@@ -387,19 +402,26 @@ def rival_pairs(held: DataFrame, texts: DataFrame, weights, threshold: float = T
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id (smallest doc_id of the class) of every row."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = base.where("doc_id is not null")
     weights = spark.sparkContext.broadcast(sketch(known))
-    sig = stored(signatures(known, weights, bands, rows), "signatures")
+    made = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
+    sig = kept(signatures(known, weights, bands, rows), "signatures")
     # copies of one text are folded to their smallest id
     copies = sig.groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.first("total").alias("total"), F.first("bands").alias("bands"))
-    copies = stored(copies, "distinct-texts")
+    copies = kept(copies, "distinct-texts")
     placed = copies.select(F.explode("bands").alias("key"), "doc", "total")
     # small sides are written first, so that a join against a hot key can be split
     shared = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    bucket = stored(placed.join(shared.hint("merge"), "key"), "buckets")
+    bucket = kept(placed.join(shared.hint("merge"), "key"), "buckets")
     involved = bucket.select("doc").distinct()
-    texts = stored(packed_texts(known.select(F.col("doc_id").alias("doc"), "text")).join(involved.hint("merge"), "doc"), "texts")
+    texts = kept(packed_texts(known.select(F.col("doc_id").alias("doc"), "text")).join(involved.hint("merge"), "doc"), "texts")
     # rows that repeat a doc_id with other texts are linked as they are
     links = sig.select("doc_id", "text_key").join(copies.select("text_key", "doc").hint("merge"), "text_key").where("doc <> doc_id").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
     repeated = sig.groupBy("doc_id").agg(F.count_distinct("text_key").alias("n")).where("n > 1")
@@ -414,12 +436,13 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     label = components(links)
     # buckets that hold several classes still
     named = bucket.join(label.hint("merge"), "doc", "left").select("key", "doc", "total", F.coalesce("comp", "doc").alias("comp"))
-    named = stored(named, "classes")
+    named = kept(named, "classes")
     several = cut(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
     held = named.join(several.hint("merge"), "key").groupBy("doc").agg(F.first("comp").alias("comp"), F.max("total").alias("total"), F.collect_set("key").alias("bands"))
     held = cut(held)
     if not held.isEmpty():
-        pairs = cut(rival_pairs(held, texts, weights, threshold))
+        offers = kept(rival_offers(held, texts, weights, threshold), "prefixes")
+        pairs = cut(rival_pairs(offers, threshold))
         more = verify(pairs, texts, weights, threshold)
         own = held.select("doc", "comp")
         more = more.join(own.select(F.col("doc").alias("a"), F.col("comp").alias("x")).hint("merge"), "a").join(own.select(F.col("doc").alias("b"), F.col("comp").alias("y")).hint("merge"), "b")
@@ -432,11 +455,22 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     folded = sig.select("doc_id", "text_key").distinct().join(copies.select("text_key", "doc").hint("merge"), "text_key").select("doc_id", "doc")
     folded = folded.join(label.hint("merge"), "doc", "left").select("doc_id", F.coalesce("comp", "doc").alias("class_id"))
     folded = folded.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    folded = stored(folded, "near-duplicates")
+    drop_stored(*made)
     return base.select("doc_id").join(folded.hint("merge"), "doc_id", "left")
 
 
 def keep_one(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """The document of each class that gives it its name; rows without an id stay."""
+    """The document of each class that gives it its name; rows without an id stay.
+
+    Rows that repeat a doc_id are one document: the one with the smallest text
+    stays, of equal texts the one with the smallest other columns.
+    """
     keep = classes.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = documents.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    one = documents.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    rest = [c for c in documents.columns if c not in ("doc_id", "text")]
+    order = F.struct("text", *[F.col(f"`{c}`") for c, k in documents.dtypes if c in rest and "map<" not in k])
+    # summed up before the shuffle, so an id of very many rows is one row of each task
+    one = one.groupBy("doc_id").agg(F.min_by(F.struct("text", *[F.col(f"`{c}`") for c in rest]), order).alias("row"))
+    one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
     return one.unionByName(documents.where("doc_id is null"))
