@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import TextBlock, mix, raw_texts, text_slices
+from .lineage import bounded_batches
+from .textbuf import TextBlock, frugal, mix, raw_texts, text_slices
 
 RATE = 0.1
 ITEM_BYTES = 8 << 20
@@ -268,6 +269,7 @@ def search(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, i
 
 def item_groups(benchmark: DataFrame, rate: float = RATE):
     """Broadcasts of Items, each of at most about ITEM_BYTES of text."""
+    bounded_batches(benchmark.sparkSession)
     text = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-total // ITEM_BYTES) or 1
@@ -294,7 +296,7 @@ def find(documents: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Data
                     cols = [pa.array([g[k] for g in got], pa.int32()) for k in (2, 3, 4)]
                     yield pa.RecordBatch.from_arrays([ids, pa.array([int(items.ids[g[1]]) for g in got], pa.int64()), *cols], ["doc_id", "item_id", "distance", "start_byte", "stop_byte"])
 
-        found = base.mapInArrow(run, FOUND)
+        found = base.mapInArrow(frugal(run), FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -312,5 +314,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
                     keep[[g[0] for g in search(items, raw_texts(batch.column(at)[a:z]))]] = False
                     yield batch.slice(a, z - a).filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = documents.mapInArrow(frugal(run), documents.schema)
     return documents
