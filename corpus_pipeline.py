@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import decontam, neardup, suffix_dedup, toxicity
-from tidewell.llm.lineage import stored
+from tidewell.llm.lineage import drop_stored, stored
 from tidewell.llm.queries import bpe_digests
 
 
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; what a stage keeps is written before the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            drop_stored(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
