@@ -49,6 +49,7 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
     floor: float = 0.0
+    prior: float = 0.1  # share of label 1 among the training labels of a two-class model
     known: np.ndarray | None = None  # buckets that were seen often enough to say something
 
 

@@ -2,18 +2,20 @@
 
 The model is fitted on the driver in numpy from a bounded sample of labelled
 documents: at most ``TRAIN_PER_LABEL`` of each label, chosen by a hash of
-doc_id, and at most ``TRAIN_WINDOWS`` word windows of them.  Calibration weighs
-each label by its share of all training labels, so scores do not depend on what
-the bound cuts off.  A window of words
+doc_id, and at most ``TRAIN_WINDOWS`` word windows of them; texts of more than
+``TRAIN_CHARS`` letters are not learned from.  Of rows that repeat a doc_id one is learned from (the
+smallest text).  Calibration weighs each label by its share of all training
+labels, so scores do not depend on what the bound cuts off.  A window of words
 takes its document's label, embeddings and softmax are trained jointly, and a
 document's score is the calibrated score of its highest window, so a few insults
 in a very long text count as much as in a short one.  Scoring covers every word
 of every text and reads nothing but the text.
 
-Nulls, empty texts and texts without a word score the share of label 1 among
-labels seen, capped below the decision threshold.  Repeated rows are scored row
-by row.  With no label of one kind every text scores that constant.  Extra
-columns of the input are ignored.
+Null and empty texts and texts without a word score the share of label 1 among
+the training labels (0.1 if there are none), at most ``THRESHOLD`` less 0.05 and
+at least 0.001.  With no label, or labels of one kind only, every text scores
+that constant.  Repeated rows are scored row by row.  Extra columns of the input
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import subword
-from .textbuf import TextBlock, raw_texts, text_slices
+from .lineage import bounded_batches
+from .textbuf import TextBlock, frugal, raw_texts, text_slices
 
 TRAIN_PER_LABEL = 2048
 TRAIN_WINDOWS = 40_000
+TRAIN_CHARS = 100_000
 WINDOW, STEP = 16, 8
 MIN_DOCS = 4
 THRESHOLD = 0.3
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) -> DataFrame:
-    """At most per_label labelled texts of each label, outside the held-out part (doc_id, text, toxic, weight: labels that a row stands for)."""
+    """At most per_label labelled texts of each label, outside the held-out part (doc_id, text, toxic, weight: labels that a row stands for).
+
+    One row for each doc_id, of bounded length, however often it repeats and however long it is.
+    """
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
         .groupBy("doc_id")
@@ -45,16 +52,17 @@ def training_rows(documents: DataFrame, labels: DataFrame, per_label: int = TRAI
     picks = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).select("*", stands_for[y]) for y in (0, 1)]
     picked = picks[0].unionByName(picks[1])
     # per_label bounds this side, so it can be broadcast
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select("doc_id", text.alias("text")).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic", "weight").agg(F.min("text").alias("text"))
 
 
 def fit(rows: list[tuple[bytes, int]], seed: int = 7, weight: np.ndarray | None = None) -> subword.Model:
     """A model from (text, 0 or 1) pairs; weight says how many labels each stands for."""
     y = np.array([r[1] for r in rows], np.int64)
     w = np.ones(len(y)) if weight is None else weight / weight.mean()
+    prior = float(np.average(y, weights=w)) if len(y) else 0.1
     if not (y == 0).any() or not (y == 1).any():
-        prior = 0.1 if not len(y) else float(y.mean())
-        return subword.Model([0, 1], np.zeros((1 << subword.BITS, 2), np.float32), np.zeros(2, np.float32), 0.0, _logit(prior))
+        return subword.Model([0, 1], np.zeros((1 << subword.BITS, 2), np.float32), np.zeros(2, np.float32), 0.0, _logit(prior), prior=prior)
     texts = [r[0] for r in rows]
     fold = np.random.default_rng(seed).random(len(rows)) < 0.8
     rng = np.random.default_rng(seed)
@@ -85,7 +93,7 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 7, weight: np.ndarray | None
     del flat
     model = subword.train(whole, offset, label, [0, 1], weight=np.where(label == 1, min(4.0, (len(label) - ones) / ones), 1.0), dim=8, epochs=3)
     del whole
-    model.known = known
+    model.known, model.prior = known, prior
     best = np.concatenate([_highest(model, b, subword.windows(b, WINDOW, STEP)) for _, b in blocks_of(texts)])
     have = np.isfinite(best)
     share = have & ~fold
@@ -145,7 +153,7 @@ def score_texts(model: subword.Model, texts: list[bytes]) -> np.ndarray:
     """Scores in 0..1 of some texts."""
     block = TextBlock(texts)
     best = _highest(model, block, subword.windows(block, WINDOW, STEP))
-    value = np.where(np.isfinite(best), model.scale * np.where(np.isfinite(best), best, 0) + model.shift, _logit(0.1))
+    value = np.where(np.isfinite(best), model.scale * np.where(np.isfinite(best), best, 0) + model.shift, _logit(model.prior))
     return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
 
 
@@ -157,6 +165,7 @@ def train_model(documents: DataFrame, labels: DataFrame) -> subword.Model:
 
 def score(documents: DataFrame, model: subword.Model) -> DataFrame:
     """doc_id and score of every row."""
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets
 
     def run(batches):
@@ -165,7 +174,7 @@ def score(documents: DataFrame, model: subword.Model) -> DataFrame:
             parts = [score_texts(m, raw_texts(batch.column(1)[a:z])) for a, z in text_slices(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -181,6 +190,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that score below the threshold."""
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(train_model(documents, labels))
     at = documents.columns.index("text")
 
@@ -191,4 +201,4 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRES
                 keep = score_texts(m, raw_texts(batch.column(at)[a:z])) < threshold
                 yield batch.slice(a, z - a).filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(frugal(run), documents.schema)
