@@ -1,11 +1,15 @@
 """Language identification: averaged hashed subword embeddings, linear softmax.
 
 Trained by stochastic gradient descent in numpy on the driver, from a bounded
-sample: at most ``TRAIN_DOCS`` documents outside the held-out part, chosen by a
-hash of doc_id, cut into windows of words, at most ``TRAIN_WINDOWS`` of them.
-A temperature is fitted on windows kept from training, and a rejection level is
-the score below which predictions on those windows are right less often than
-``TRUST``.  Every text is scored whole.
+sample: at most ``TRAIN_PER_LANG`` documents of each language outside the
+held-out part, chosen by a hash of doc_id, so a rare language is learned as
+well; cut into windows of words, at most ``TRAIN_WINDOWS`` of them.  Texts of
+more than ``TRAIN_CHARS`` letters are not learned from.  Of rows that repeat a doc_id one is learned
+from.  A temperature and a rejection level are fitted on the windows of
+documents kept from training, at most ``TEST_WINDOWS`` drawn by chance: the level
+is the score below which predictions are right less often than ``TRUST``.
+Every text is scored whole.  The number of languages must be moderate: the
+sample grows with it.
 
 Null texts and texts without a letter are ``und`` with score 0.  With no labelled
 row everything is ``und``.  Repeated rows are scored row by row, and extra
@@ -17,25 +21,31 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import subword
-from .textbuf import TextBlock, raw_texts, text_slices
+from .lineage import bounded_batches
+from .textbuf import TextBlock, frugal, raw_texts, text_slices
 from .toxicity import _rank, blocks_of
 
-TRAIN_DOCS = 4096
+TRAIN_PER_LANG = 1024
+TRAIN_CHARS = 100_000
+TEST_WINDOWS = 8192
 TRAIN_WINDOWS = 30_000
 WINDOW = 24
 TRUST = 0.5
 _LETTER = regex.compile(r"\p{L}")
 
 
-def training_rows(documents: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
-    """At most `limit` texts with a language, outside the held-out part."""
-    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    picked = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
-    return known.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")  # limit bounds this side
+def training_rows(documents: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
+    """At most per_lang texts of each language, outside the held-out part; one row for each doc_id, of bounded length."""
+    known = documents.where(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    # the rank filter cuts each task's rows of a language before they are shuffled
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id", F.col("lang").alias("own"))
+    rows = known.select("doc_id", F.col("text").cast("string").alias("text"), "lang").join(F.broadcast(picked), "doc_id").where("lang = own")  # per_lang bounds this side
+    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def fit(rows: list[tuple[bytes, str]], seed: int = 11) -> subword.Model:
@@ -47,7 +57,7 @@ def fit(rows: list[tuple[bytes, str]], seed: int = 11) -> subword.Model:
     code = {c: i for i, c in enumerate(classes)}
     rng = np.random.default_rng(seed)
     per = max(4, -(-5 * TRAIN_WINDOWS // (4 * max(1, len(rows)))))
-    flat, size, label = [], [], []
+    flat, size, label, doc = [], [], [], []
     codes = np.array([code[r[1]] for r in rows])
     for first, block in blocks_of([r[0] for r in rows]):
         row, start, stop = subword.windows(block, WINDOW, WINDOW)
@@ -56,10 +66,12 @@ def fit(rows: list[tuple[bytes, str]], seed: int = 11) -> subword.Model:
         flat.append(f)
         size.append(np.diff(o))
         label.append(codes[first + row[keep]])
+        doc.append(first + row[keep])
     label = np.concatenate(label)
     flat = np.concatenate(flat)
     offset = np.concatenate(([0], np.cumsum(np.concatenate(size))))
-    held = rng.random(len(label)) < 0.15
+    # whole documents are kept from training, so that calibration sees none of their words
+    held = (rng.random(len(rows)) < 0.15)[np.concatenate(doc)]
     use = rng.permutation(np.flatnonzero(~held))[:TRAIN_WINDOWS]
     if not len(use):
         use = np.arange(len(label))
@@ -67,7 +79,7 @@ def fit(rows: list[tuple[bytes, str]], seed: int = 11) -> subword.Model:
     own = np.repeat(np.arange(len(use)), n)
     some = flat[np.arange(int(n.sum()), dtype=np.int32) - np.concatenate(([0], np.cumsum(n)))[own] + offset[use][own]]
     model = subword.train(some, np.concatenate(([0], np.cumsum(n))), label[use], classes, dim=10, epochs=3)
-    test = np.flatnonzero(held)[:8192]
+    test = rng.permutation(np.flatnonzero(held))[:TEST_WINDOWS]
     if len(test):
         logit = np.stack([model.table[flat[offset[i] : offset[i + 1]]].mean(0) if offset[i + 1] > offset[i] else np.zeros(len(classes)) for i in test]) + model.bias
         grid = np.geomspace(0.2, 5, 25)
@@ -101,6 +113,7 @@ def predict_texts(model: subword.Model, column: pa.Array) -> tuple[list[str], np
 
 def identify(documents: DataFrame, model: subword.Model) -> DataFrame:
     """doc_id, lang_pred, score, accepted (false where the calibrated score is not to be trusted)."""
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets
 
     def run(batches):
@@ -115,7 +128,7 @@ def identify(documents: DataFrame, model: subword.Model) -> DataFrame:
             accepted = [n != "und" and s >= m.floor for n, s in zip(names, value.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(value), pa.array(accepted, pa.bool_())], ["doc_id", "lang_pred", "score", "accepted"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def language(documents: DataFrame) -> DataFrame:
