@@ -6,7 +6,9 @@ link to each other as long as two labels are left.  Hosts whose pages the rules
 allow are trusted seeds, hosts with blocked pages are distrust seeds, each with
 the share of its pages concerned.  Trust is a personalised PageRank from the
 trusted seeds along the edges, distrust the same from the blocked seeds against
-the edges.  A host is blocked where distrust is more than ``LIMIT`` of trust plus
+the edges.  After ``ROUNDS`` rounds at most ``DAMPING ** ROUNDS`` (a millionth) of
+the seeds' weight has not been passed on; what reaches a host without edges ends
+there.  A host is blocked where distrust is more than ``LIMIT`` of trust plus
 distrust; a host that neither reaches is allowed.
 
 DataFrame functions only.  Edges are summed per host pair before they are
@@ -26,7 +28,7 @@ from .lineage import cut
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, LIMIT = 0.85, 6, 0.5
+DAMPING, ROUNDS, LIMIT = 0.5, 20, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?:href|src|HREF|SRC)[ \t\r\n]*=[ \t\r\n]*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'<> \t\r\n]+)"""
 
@@ -84,9 +86,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     start = seeds.select(F.lit("t").alias("kind"), "host", F.col("trusted").alias("w")).unionByName(seeds.select(F.lit("d").alias("kind"), "host", F.col("blocked").alias("w"))).where("w > 0")
     start = cut(start.select("kind", "host", (F.col("w") * (1 - damping)).alias("w")))
     rank = start
-    for _ in range(rounds):
+    for k in range(rounds):
         flow = step.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("w") * F.col("p") * damping).alias("w"))
         rank = flow.unionByName(start).groupBy("kind", "host").agg(F.sum("w").alias("w"))
+        # the plan stays short, however many rounds there are
+        if k % 5 == 4:
+            rank = cut(rank)
     pick = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("w"))), F.lit(0.0))
     return rank.groupBy("host").agg(pick("t").alias("trust"), pick("d").alias("distrust"))
 
@@ -98,7 +103,8 @@ def judge(pages: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
     ranks = propagate(host_edges(pages), seeds)
     spam = ranks.select("host", F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9).alias("spam"))
-    spam = spam.where(F.col("spam") > 0)
+    # a written table on this side, so that a host with very many pages can be split
+    spam = cut(spam.where(F.col("spam") > 0)).hint("merge")
     own = F.when(F.coalesce("spam", F.lit(0.0)) > limit, "block").otherwise("allow")
     return judged.join(spam, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.coalesce("spam", F.lit(0.0)).alias("spam"))
 
