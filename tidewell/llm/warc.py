@@ -9,9 +9,11 @@ Spark in a folder that all executors share; ``export`` writes one as a file.
 
 Payloads: null html is empty.  Of records with equal payloads of at least
 ``MIN_REVISIT`` bytes the one with the largest page_id is the response (all of
-them, if that id repeats), the others are revisit records without a payload;
-smaller ones are all responses.  Null page_ids never win over others and are
-kept as null; null urls give an empty target URI.  Extra columns are ignored.
+them, if that id repeats), the others are revisit records without a payload
+that name its page and target URI; smaller ones are all responses.  Null page_ids
+never win over others and are kept as null; null urls give an empty target URI.
+Every record has an id of its own, also where page_ids repeat; ``fetch`` reads
+the records of some pages by the index alone.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import struct
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import stored
+from .lineage import bounded_batches, cut, stored
 
 MIN_REVISIT = 1000
 FRAME_BYTES = 128 << 10
@@ -34,19 +37,23 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 VERSION = b"WARC/1.1"
 _EPOCH = b"2000-01-01T00:00:00Z"
-_ENTRY = pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())])
+_ENTRY = pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())])
 _BUNDLES = pa.schema([("bundle", pa.string()), ("archive", pa.binary()), ("entries", pa.list_(_ENTRY))])
-BUNDLES_DDL = "bundle string, archive binary, entries array<struct<record_id:string,frame:int,offset:int,length:int>>"
+BUNDLES_DDL = "bundle string, archive binary, entries array<struct<record_id:string,page_id:bigint,frame:int,offset:int,length:int>>"
 
 
-def record(record_id: str, page_id: int | None, url: str, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
+def _uri(url: str | None) -> bytes:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A").encode()
+
+
+def record(record_id: str, page_id: int | None, url: str, digest: str, size: int, refers_to: int | None, payload: bytes, refers_url: str | None = None) -> bytes:
     """One WARC record; a revisit if refers_to is given, then without payload."""
     head = [
         VERSION,
         b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
         b"WARC-Record-ID: <" + record_id.encode() + b">",
         b"WARC-Date: " + _EPOCH,
-        b"WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A").encode(),
+        b"WARC-Target-URI: " + _uri(url),
         b"WARC-Payload-Digest: sha1:" + digest.encode(),
         b"X-Payload-Length: %d" % size,
     ]
@@ -54,7 +61,8 @@ def record(record_id: str, page_id: int | None, url: str, digest: str, size: int
         head.append(b"X-Page-ID: %d" % page_id)
     if refers_to is not None:
         head.append(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(b"WARC-Refers-To: <urn:page:%d>" % refers_to)
+        head.append(b"WARC-Refers-To-Target-URI: " + _uri(refers_url))
+        head.append(b"X-Refers-To-Page-ID: %d" % refers_to)
         payload = b""
     head.append(b"Content-Length: %d" % len(payload))
     return b"\r\n".join(head) + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -85,9 +93,9 @@ class BundleWriter:
         self.open: list[bytes] = []
         self.open_bytes = self.done_bytes = 0
 
-    def add(self, record_id: str, data: bytes) -> dict | None:
+    def add(self, record_id: str, data: bytes, page_id: int | None = None) -> dict | None:
         """A finished bundle, if this record completed one."""
-        self.entries.append({"record_id": record_id, "frame": len(self.frames), "offset": self.open_bytes, "length": len(data)})
+        self.entries.append({"record_id": record_id, "page_id": page_id, "frame": len(self.frames), "offset": self.open_bytes, "length": len(data)})
         self.open.append(data)
         self.open_bytes += len(data)
         if self.open_bytes >= self.frame_bytes:
@@ -138,36 +146,39 @@ class BundleReader:
 
 
 def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """pages with payload (binary), payload_bytes, payload_digest and refers_to (null: a response)."""
+    """pages with payload (binary), payload_bytes, payload_digest, refers_to (null: a response) and refers_url."""
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     base = base.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    small = base.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= min_revisit)
-    winners = small.groupBy("payload_digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null").drop("n")
+    small = base.select("page_id", "url", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= min_revisit)
+    winners = small.groupBy("payload_digest").agg(F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("w"), F.count("*").alias("n")).where("n > 1 and w.page_id is not null")
+    # written first, so that a digest of very many pages can be split
+    winners = cut(winners.select("payload_digest", F.col("w.page_id").alias("winner"), F.col("w.url").alias("refers_url"))).hint("merge")
     # only ids and digests meet here; rows with payloads are joined by page, so a hot payload is not a hot key
     losers = small.join(winners, "payload_digest").where("page_id <> winner or page_id is null")
-    losers = losers.select(F.col("page_id").alias("loser"), F.col("payload_digest").alias("loser_digest"), F.col("winner").alias("refers_to")).distinct()
+    losers = losers.select(F.col("page_id").alias("loser"), F.col("payload_digest").alias("loser_digest"), F.col("winner").alias("refers_to"), "refers_url").distinct()
     same = F.col("page_id").eqNullSafe(F.col("loser")) & (F.col("payload_digest") == F.col("loser_digest"))
-    return base.join(losers, same, "left").drop("loser", "loser_digest")
+    return base.join(cut(losers).hint("merge"), same, "left").drop("loser", "loser_digest")
 
 
 def write(decided: DataFrame) -> DataFrame:
     """Bundles of the records, one or more from each partition."""
 
     def run(batches):
-        writer = BundleWriter()
+        writer, task, number = BundleWriter(), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for r in batch.slice(at, 64).to_pylist():
-                    name = f"urn:page:{'' if r['page_id'] is None else r['page_id']}"
-                    full = writer.add(name, record(name, r["page_id"], r["url"] or "", r["payload_digest"], r["payload_bytes"], r["refers_to"], r["payload"]))
+                    name = f"urn:page:{'' if r['page_id'] is None else r['page_id']}:{task}.{number}"
+                    number += 1
+                    full = writer.add(name, record(name, r["page_id"], r["url"] or "", r["payload_digest"], r["payload_bytes"], r["refers_to"], r["payload"], r["refers_url"]), r["page_id"])
                     if full:
                         yield pa.RecordBatch.from_pylist([full], schema=_BUNDLES)
         full = writer.finish()
         if full:
             yield pa.RecordBatch.from_pylist([full], schema=_BUNDLES)
 
-    return decided.select("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to").mapInArrow(run, BUNDLES_DDL)
+    return decided.select("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to", "refers_url").mapInArrow(run, BUNDLES_DDL)
 
 
 READ_DDL = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -189,7 +200,7 @@ def read(bundles: DataFrame, payloads: bool = True) -> DataFrame:
             if response and hashlib.sha1(payload).hexdigest() != digest:
                 raise ValueError(f"payload of {e['record_id']} is damaged")
             out = {"page_id": int(head["X-Page-ID"]) if "X-Page-ID" in head else None, "url": head["WARC-Target-URI"], "record_type": head["WARC-Type"], "payload_digest": digest, "payload_bytes": len(payload) if response else int(head["X-Payload-Length"])}
-            out["refers_to"] = None if response else int(head["WARC-Refers-To"].strip("<>").rsplit(":", 1)[1])
+            out["refers_to"] = None if response else int(head["X-Refers-To-Page-ID"])
             if payloads:
                 out["payload"] = payload
             yield out
@@ -204,6 +215,13 @@ def read(bundles: DataFrame, payloads: bool = True) -> DataFrame:
     return bundles.select("bundle", "archive", "entries").mapInArrow(run, ddl)
 
 
+def fetch(bundles: DataFrame, page_ids: list[int]) -> DataFrame:
+    """The records of some pages; only bundles that hold them are opened, and of those only the frames concerned."""
+    wanted = F.array(*[F.lit(i).cast("long") for i in page_ids])
+    some = F.filter("entries", lambda e: F.array_contains(wanted, e["page_id"]))
+    return read(bundles.withColumn("entries", some).where(F.size("entries") > 0))
+
+
 def export(row, folder: str) -> str:
     """Writes one bundle row as a .warc.zst file; any Zstandard tool can inflate it."""
     path = f"{folder}/{row['bundle']}.warc.zst"
@@ -214,6 +232,7 @@ def export(row, folder: str) -> str:
 
 def archive(pages: DataFrame) -> DataFrame:
     """Writes the archives of `pages` in the shared folder and returns the table of bundles."""
+    bounded_batches(pages.sparkSession)
     return stored(write(decide(pages)), "warc")
 
 
