@@ -41,9 +41,14 @@ _LETTER = regex.compile(r"\p{L}")
 def training_rows(documents: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """At most per_lang texts of each language, outside the held-out part; one row for each doc_id, of bounded length."""
     known = documents.where(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    # the rank filter cuts each task's rows of a language before they are shuffled
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id", F.col("lang").alias("own"))
+    hashed, space = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), 1 << 30
+    # a share of every language that holds the per_lang smallest hashes and little more, so no language gathers in one task
+    count = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    share = [(lang, min(space, int(space * (1.25 * per_lang + 200) / n) + 1)) for lang, n in count.items()]
+    share = known.sparkSession.createDataFrame(share, "lang string, most long")
+    few = known.select("doc_id", F.col("lang").cast("string").alias("lang")).join(F.broadcast(share), "lang").where(hashed < F.col("most"))
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    picked = few.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id", F.col("lang").alias("own"))
     rows = known.select("doc_id", F.col("text").cast("string").alias("text"), "lang").join(F.broadcast(picked), "doc_id").where("lang = own")  # per_lang bounds this side
     return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
