@@ -5,9 +5,11 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -469,6 +471,44 @@ def test_texts_without_repeats(spark):
     assert suffix_dedup.without_repeats(docs.limit(0)).isEmpty()
 
 
+def test_windows_of_hot_anchors_take_little_memory():
+    rng, shards = np.random.default_rng(5), 4
+    texts = [rng.integers(97, 123, 300_000).astype(np.uint8) for _ in range(5)]  # two runs of a megabyte
+    texts[4][:100_000] = texts[0][:100_000]
+    packer = zstandard.ZstdCompressor(level=1)
+    rows = [{"doc_id": k, "digest": hashlib.blake2b(t, digest_size=16).digest(), "n": len(t), "z": packer.compress(t.tobytes())} for k, t in enumerate(texts)]
+    known = np.unique(np.concatenate([suffix_dedup.anchors(t, np.array([0]), np.array([len(t)]))[0] for t in texts]))
+    hot = (np.arange(len(known)) % 6 == 0).astype(np.uint8)
+    side = [{"part": 7, "kind": 0, "owner": r["doc_id"], "mark": r["digest"], "blob": None} for r in rows]
+    side.append({"part": 7, "kind": 1, "owner": None, "mark": None, "blob": suffix_dedup._blob(known, hot)})
+    left, right = pa.Table.from_pylist(rows), pa.Table.from_pylist(side, schema=suffix_dedup._SIDE_PA)
+    tracemalloc.start()
+    sent = suffix_dedup._window_step(shards)((pa.scalar(7),), left, right).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    windows, covered = {}, np.zeros((5, 300_000), int)
+    for r in sent:
+        if r["shard"] < 0:
+            row, first, last = suffix_dedup._unblob(r["blob"], np.int32, np.int32, np.int32)
+            assert all(texts[4][p : p + 100].tobytes() == texts[0][p : p + 100].tobytes() for p in first.tolist())
+            assert set(row.tolist()) == {4} and (first == last).all()
+            np.add.at(covered, (row, first), 1)
+        elif r["shard"] >= shards:
+            doc, row, place, window = suffix_dedup._unblob(r["blob"], np.int64, np.int32, np.int32, np.uint8)
+            assert (doc == row).all()
+            for k, p, w in zip(row.tolist(), place.tolist(), window.reshape(-1, 100)):
+                assert w.tobytes() == texts[k][p : p + 100].tobytes() and windows.setdefault(w.tobytes(), r["shard"]) == r["shard"]
+            np.add.at(covered, (row, place), 1)
+        else:
+            doc, row, first, last, ref, size, _, body = suffix_dedup._unblob(r["blob"], np.int64, *(np.int32,) * 5, np.uint64, np.uint8)
+            end = np.cumsum(size)
+            for k, a, z, i in zip(row.tolist(), first.tolist(), last.tolist(), ref.tolist()):
+                assert body[end[i] - size[i] : end[i]].tobytes() == texts[k][a : z + 100].tobytes()
+                covered[k, a : z + 1] += 1
+    assert (covered[:, : 300_000 - 99] == 1).all() and len(windows) > 100_000
+    assert peak < 10 * 100 * len(windows)  # a window has 100 bytes
+
+
 def test_family_of_suffix_arrays():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 3000).astype(np.uint8)

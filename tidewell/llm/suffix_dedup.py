@@ -52,19 +52,16 @@ PART_BYTES = 64 << 20
 def rolling(data: np.ndarray, width: int, base: int) -> np.ndarray:
     """64-bit polynomial hash of every run of `width` bytes, by doubling."""
     with np.errstate(over="ignore"):
-        have = {1: _RAND[data]}
-        size = 1
-        while size * 2 <= width:
-            h = have[size]
-            have[size * 2] = h[: len(h) - size] * np.uint64(pow(base, size, 1 << 64)) + h[size:]
+        h, size, out, done = _RAND[data], 1, None, 0
+        while True:
+            if width & size:  # stands before the `done` bytes that are there already
+                n = len(data) - done - size + 1
+                out = h if out is None else h[:n] * np.uint64(pow(base, done, 1 << 64)) + out[size : size + n]
+                done += size
+            if size * 2 > width:
+                break
+            h = h[: len(h) - size] * np.uint64(pow(base, size, 1 << 64)) + h[size:]
             size *= 2
-        out, done = have[size], size
-        while done < width:
-            step = max(s for s in have if s <= width - done)
-            more = have[step]
-            n = len(data) - done - step + 1
-            out = out[:n] * np.uint64(pow(base, step, 1 << 64)) + more[done : done + n]
-            done += step
     return out
 
 
@@ -289,73 +286,70 @@ def _window_step(shards: int):
         known = np.concatenate([s[0] for s in side])
         order = np.argsort(known)
         known, hot = known[order], np.concatenate([s[1] for s in side])[order]
-        out: dict[str, list] = {c: [] for c in ("shard", "hash", "doc", "row", "first", "last", "size", "bytes")}
+        texts = _open(left, _of_kind(right, 0))
+        data = b"".join(t[2] for t in texts)
+        whole, done = np.frombuffer(data, np.uint8), 0
+        # stretches and windows are kept as places in `whole`; their bytes are taken shard by shard
+        cold: list[tuple] = []
         marks: list[tuple] = []
         later: list[tuple] = []
-        for texts, data, begin, end in _runs(_open(left, _of_kind(right, 0))):
-            hashed, at, first, last = anchors(data, begin, end)
+        for some, buffer, begin, end in _runs(texts):
+            hashed, at, first, last = anchors(buffer, begin, end)
             spot = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
             use = known[spot] == hashed
-            hashed, at, first, last, often = hashed[use], at[use], first[use], last[use], hot[spot[use]] > 0
+            hashed, first, last, often = hashed[use], first[use], last[use], hot[spot[use]] > 0
             row = np.searchsorted(end, first, side="right")
-            doc = np.array([t[1] for t in texts], np.int64)
-            rank = np.array([t[0] for t in texts], np.int64)
-            cold = ~often
-            size = last[cold] - first[cold] + MATCH
-            out["shard"].append((hashed[cold] % np.uint64(shards)).astype(np.int64))
-            out["hash"].append(hashed[cold])
-            out["doc"].append(doc[row[cold]])
-            out["row"].append(rank[row[cold]])
-            out["first"].append(first[cold] - begin[row[cold]])
-            out["last"].append(last[cold] - begin[row[cold]])
-            out["size"].append(size)
-            own = np.repeat(np.arange(len(size)), size)
-            out["bytes"].append(data[np.arange(len(own)) - np.concatenate(([0], np.cumsum(size)))[own] + first[cold][own]])
+            doc = np.array([t[1] for t in some], np.int64)
+            rank = np.array([t[0] for t in some], np.int32)
+            own = row[~often]
+            cold.append((hashed[~often], doc[own], rank[own], (first[~often] - begin[own]).astype(np.int32), (last[~often] - begin[own]).astype(np.int32), first[~often] + done))
             if often.any():
                 many = last[often] - first[often] + 1
-                own = np.repeat(np.flatnonzero(often), many)
-                place = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + first[own]
+                own = np.repeat(row[often], many)
+                place = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[often], many)
+                key_of = mix(rolling(buffer, MATCH, _B1)[place])
                 # texts come in order, so the first of equal windows stands first
-                lead, same = _leaders(data, place, mix(rolling(data, MATCH, _B1)[place]))
+                lead, same = _leaders(buffer, place, key_of)
                 follow = np.flatnonzero(same != np.arange(len(place)))
-                later.append((rank[row[own[follow]]], place[follow] - begin[row[own[follow]]]))
-                at = place[lead]
-                marks.append((doc[row[own[lead]]], rank[row[own[lead]]], at - begin[row[own[lead]]], np.ascontiguousarray(sliding_window_view(data, MATCH)[at])))
+                later.append((rank[own[follow]], (place[follow] - begin[own[follow]]).astype(np.int32)))
+                place, own = place[lead], own[lead]
+                marks.append((key_of[lead], doc[own], rank[own], (place - begin[own]).astype(np.int32), place + done))
+            done += len(buffer)
+        del texts
         rows = []
         me = key[0].as_py()
-        flat = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
-        if len(flat["shard"]):
-            ends = np.cumsum(flat["size"])
-            data = flat.pop("bytes").tobytes()
-            # equal stretches within this part are sent once, and referred to
-            seen: dict[bytes, int] = {}
-            ref = np.empty(len(ends), np.int64)
-            for i, (a, z) in enumerate(zip((ends - flat["size"]).tolist(), ends.tolist())):
-                ref[i] = seen.setdefault(data[a:z], i)
-            order = np.argsort(flat["shard"], kind="stable")
-            bound = np.searchsorted(flat["shard"][order], np.arange(shards + 1))
+        if cold:
+            hashed, doc, row, first, last, begin = (np.concatenate(x) for x in zip(*cold))
+            del cold
+            size = last - first + MATCH
+            shard = (hashed % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            bound = np.searchsorted(shard[order], np.arange(shards + 1))
             for s, (a, z) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist())):
                 if z > a:
                     at = order[a:z]
-                    lead, place = np.unique(ref[at], return_inverse=True)
-                    body = b"".join(data[ends[i] - flat["size"][i] : ends[i]] for i in lead.tolist())
-                    rows.append({"shard": s, "part": me, "blob": _blob(flat["doc"][at], flat["row"][at].astype(np.int32), flat["first"][at].astype(np.int32), flat["last"][at].astype(np.int32), place.astype(np.int32), flat["size"][lead].astype(np.int32), flat["hash"][lead].astype(np.uint64), np.frombuffer(body, np.uint8))})
+                    # equal stretches have one anchor and so one shard; they are sent once, and referred to
+                    seen: dict[bytes, int] = {}
+                    place = np.array([seen.setdefault(data[i : i + n], len(seen)) for i, n in zip(begin[at].tolist(), size[at].tolist())], np.int32)
+                    lead = at[np.unique(place, return_index=True)[1]]
+                    rows.append({"shard": s, "part": me, "blob": _blob(doc[at], row[at], first[at], last[at], place, size[lead].astype(np.int32), hashed[lead], np.frombuffer(b"".join(seen), np.uint8))})
         if marks:
-            doc, rank, place, window = (np.concatenate(x) for x in zip(*marks))
-            key_of = mix(rolling(window.reshape(-1), MATCH, _B1)[::MATCH])
-            lead, same = _leaders(window.reshape(-1), np.arange(len(window)) * MATCH, key_of)
-            follow = np.flatnonzero(same != np.arange(len(window)))
+            key_of, doc, rank, place, begin = (np.concatenate(x) for x in zip(*marks))
+            del marks
+            lead, same = _leaders(whole, begin, key_of)
+            follow = np.flatnonzero(same != np.arange(len(begin)))
             later.append((rank[follow], place[follow]))
-            row, at = (np.concatenate(x).astype(np.int32) for x in zip(*later))
+            row, at = (np.concatenate(x) for x in zip(*later))
             if len(row):
                 rows.append({"shard": -1 - me % shards, "part": me, "blob": _blob(row, at, at)})
             shard = (key_of[lead] % np.uint64(shards)).astype(np.int64)
             order = lead[np.argsort(shard, kind="stable")]
             bound = np.searchsorted(np.sort(shard), np.arange(shards + 1))
+            view = sliding_window_view(whole, MATCH)
             for s, (a, z) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist())):
                 if z > a:
                     pick = order[a:z]
-                    rows.append({"shard": shards + s, "part": me, "blob": _blob(doc[pick], rank[pick].astype(np.int32), place[pick].astype(np.int32), window[pick])})
+                    rows.append({"shard": shards + s, "part": me, "blob": _blob(doc[pick], rank[pick], place[pick], view[begin[pick]])})
         return pa.Table.from_pylist(rows, schema=_SHARD_PA)
 
     return run
