@@ -46,7 +46,7 @@ _POS_BITS = 28
 _LAST = (1 << 63) - 1
 _RAND = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _B1 = 0x5851F42D4C957F2D
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 
 
 def rolling(data: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -384,6 +384,7 @@ def _windows(parts: list[int], blobs: list[bytes]) -> list[dict]:
     got = [_unblob(b, np.int64, np.int32, np.int32, np.uint8) for b in blobs]
     doc, row, place, text = (np.concatenate(x) for x in zip(*got))
     part = np.repeat(parts, [len(g[0]) for g in got])
+    del got
     window = text.reshape(-1, MATCH)
     order = np.lexsort((place, row, doc))
     family, again = Family(), np.zeros(len(order), bool)
@@ -408,6 +409,7 @@ def _family(parts: list[int], blobs: list[bytes]) -> list[dict]:
     seen: dict[bytes, int] = {}
     same = np.fromiter((seen.setdefault(data[a : a + n], k) for k, (a, n) in enumerate(zip(begin.tolist(), size.tolist()))), np.int64, len(size))
     stretch = same[stretch]
+    del seen, data
     order = np.lexsort((first, row, doc))
     lead = np.zeros(len(order), bool)
     lead[np.unique(stretch[order], return_index=True)[1]] = True
