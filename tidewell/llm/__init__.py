@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators, their queries and their SQL.
+"""Training-data operators: thirteen corpus operators, their queries and their SQL.
 
 Nothing else in the library imports this subpackage.
 """

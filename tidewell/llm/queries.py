@@ -88,11 +88,30 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic
+
+    return periodic.digests(periodic.periodic_runs(_table(spark, sf_dir, "documents"), periodic.planted))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation import repair
+
+    return repair(_table(spark, sf_dir, "conversations"), broken=True)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_frequent_lines
+
+    cleaned = drop_frequent_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def _sql() -> dict[str, str]:
-    from . import license_scan, topk, url_filter, warc
+    from . import license_scan, line_dedup, topk, url_filter, warc
 
-    return {"op1_license_scan": license_scan.sql(), "op2_exact_top_k": topk.SQL, "op3_warc": warc.SQL, "op5_url_filter": url_filter.sql()}
+    return {"op1_license_scan": license_scan.sql(), "op2_exact_top_k": topk.SQL, "op3_warc": warc.SQL, "op5_url_filter": url_filter.sql(), "op13_line_dedup": line_dedup.SQL}
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_warc, op4_decontamination, op5_url_filter, op6_toxicity, op7_byte_bpe, op8_suffix_dedup, op9_near_duplicates, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_warc, op4_decontamination, op5_url_filter, op6_toxicity, op7_byte_bpe, op8_suffix_dedup, op9_near_duplicates, op10_language_id, op11_periodic_runs, op12_conversation_repair, op13_line_dedup)}
 ORACLE_SQL = _sql()
