@@ -8,17 +8,49 @@ once, so nothing is compared pairwise.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+from .runs import BROADCAST_ROWS
 
-def merged(ranges: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
-    """Sorted, disjoint ranges; ranges at most `gap` apart become one, touching ones always do."""
-    order = Window.partitionBy(*keys).orderBy("s", "e")
+def merged(ranges: DataFrame, keys: list[str], gap: int = 0, size: int = scan.ROWS) -> DataFrame:
+    """Sorted, disjoint ranges; ranges at most `gap` apart become one, touching ones always do.
+
+    Blocks of a key are merged apart and then stitched, so a long detector is not one task.
+    """
+    cut = scan.blocked(ranges.select(*keys, "s", "e").where(F.col("s") < F.col("e")), keys, "s", size)
+    order = Window.partitionBy(*keys, "blk").orderBy("s", "e")
     before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(before.isNull() | (F.col("s") > F.col("before") + gap), 1).otherwise(0)).over(order)
-    marked = ranges.where(F.col("s") < F.col("e")).withColumn("before", before)
-    return marked.withColumn("island", island).groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    inside = cut.withColumn("before", before).withColumn("island", island).groupBy(*keys, "blk", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return _stitched(inside, keys, gap)
+
+
+def _stitched(inside: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
+    """Ranges from those of single blocks (keys, blk, s, e), which are disjoint within their block."""
+    return rooted(inside, keys, gap).groupBy(*keys, "root").agg(F.max("e").alias("e")).select(*keys, F.col("root").alias("s"), "e")
+
+
+def rooted(inside: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
+    """inside with root, where the range begins that a block's range is part of.
+
+    A block's first ranges may lie within reach of what an earlier block's ranges
+    cover; they belong to the last range that began before without being reached.
+    """
+    # one row a block; the blocks are read twice, by one exchange
+    order = Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    edges = inside.groupBy(*keys, "blk").agg(F.max("s").alias("last"), F.max("e").alias("top")).withColumn("reach", F.max("top").over(order))
+    begun = F.when(F.col("reach").isNull() | (F.col("last") > F.col("reach") + gap), F.col("last"))
+    edges = edges.withColumn("own", begun).withColumn("begun", F.max("own").over(order)).select(*keys, "blk", "reach", "begun")
+    both = attached_blocks(inside, edges, keys)
+    root = F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach") + gap), F.col("s")).otherwise(F.col("begun"))
+    return both.withColumn("root", root).drop("reach", "begun")
+
+
+def attached_blocks(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    return scan.attached(rows, table, [*keys, "blk"])
 
 
 def clipped(ranges: DataFrame, domain: DataFrame, keys: list[str], lo: str = "0", hi: str = "n") -> DataFrame:
@@ -39,7 +71,7 @@ def union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return merged(a.select(*keys, "s", "e").unionByName(b.select(*keys, "s", "e")), keys)
 
 
-def combined(a: DataFrame, b: DataFrame, keys: list[str], rule) -> DataFrame:
+def combined(a: DataFrame, b: DataFrame, keys: list[str], rule, size: int = scan.ROWS) -> DataFrame:
     """Where rule(in a, in b) holds, by one sweep over all boundaries; rule must be false outside both."""
 
     def edges(r: DataFrame, da: int, db: int) -> DataFrame:
@@ -47,9 +79,20 @@ def combined(a: DataFrame, b: DataFrame, keys: list[str], rule) -> DataFrame:
         return up.unionByName(r.select(*keys, F.col("e").alias("x"), F.lit(-da).alias("da"), F.lit(-db).alias("db")))
 
     steps = edges(a, 1, 0).unionByName(edges(b, 0, 1)).groupBy(*keys, "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    order = Window.partitionBy(*keys).orderBy("x")
-    walked = steps.select(*keys, F.col("x").alias("s"), F.lead("x").over(order).alias("e"), F.sum("da").over(order).alias("na"), F.sum("db").over(order).alias("nb"))
-    return merged(walked.where(F.col("e").isNotNull() & rule(F.col("na") > 0, F.col("nb") > 0)).select(*keys, "s", "e"), keys)
+    cut = scan.blocked(steps, keys, "x", size)
+    order = Window.partitionBy(*keys, "blk").orderBy("x")
+    walked = cut.select(*keys, "blk", F.col("x").alias("s"), F.lead("x").over(order).alias("e"), F.sum("da").over(order).alias("na"), F.sum("db").over(order).alias("nb"))
+    edge = scan.carried(cut, keys, {"pa": (F.sum("da"), "sum"), "pb": (F.sum("db"), "sum"), "next": (F.min("x"), "first")})
+    both = attached_blocks(walked, edge, keys).withColumn("e", F.coalesce("e", "next"))
+    inside = rule(F.coalesce("pa", F.lit(0)) + F.col("na") > 0, F.coalesce("pb", F.lit(0)) + F.col("nb") > 0)
+    return _stitched(_glued(both.where(F.col("e").isNotNull() & inside).select(*keys, "blk", "s", "e"), keys), keys)
+
+
+def _glued(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Touching pieces of one block as one range (pieces: keys, blk, s, e, disjoint)."""
+    order = Window.partitionBy(*keys, "blk").orderBy("s")
+    first = F.when(F.col("s") == F.lag("e").over(order), 0).otherwise(1)
+    return pieces.withColumn("first", first).withColumn("island", F.sum("first").over(order)).groupBy(*keys, "blk", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
 
 
 def intersection(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,11 +147,15 @@ def stats(ranges: DataFrame, domain: DataFrame, keys: list[str]) -> DataFrame:
     return domain.select(*keys).join(sums, keys, "left").fillna(0, ["samples", "intervals"])
 
 
-def from_mask(flags: DataFrame, keys: list[str], flag: Column, order: str = "samp") -> DataFrame:
-    """Runs of consecutive samples where the flag holds."""
-    on = flags.where(flag)
-    run = F.col(order) - F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return on.withColumn("run", run).groupBy(*keys, "run").agg(F.min(order).alias("s"), (F.max(order) + 1).alias("e")).drop("run")
+def from_mask(flags: DataFrame, keys: list[str], flag: Column, order: str = "samp", size: int = scan.ROWS) -> DataFrame:
+    """Runs of consecutive samples where the flag holds; blocks of samples are looked at apart and then stitched."""
+    on = flags.where(flag).select(*keys, order)
+    if dict(on.dtypes)[order] not in scan.WHOLE:
+        on = on.withColumn(order, F.col(order).cast("long"))
+    cut = scan.blocked(on, keys, order, size)
+    run = F.col(order) - F.row_number().over(Window.partitionBy(*keys, "blk").orderBy(order))
+    inside = cut.withColumn("run", run).groupBy(*keys, "blk", "run").agg(F.min(order).alias("s"), (F.max(order) + 1).alias("e"))
+    return _stitched(inside, keys)
 
 
 def flagged_samples(ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -200,9 +247,10 @@ def from_arrays(arrays: DataFrame, keys: list[str], domain: DataFrame | None = N
 class Grid:
     """Ranges on a regular grid: key columns number its outer axes, samples are the last axis.
 
-    Every cell has `n` samples.  Indexing follows numpy on the outer axes (whole
-    numbers, slices, lists, lists of booleans, Ellipsis, None) and takes slices of
-    step 1 on the samples.
+    Every cell has `n` samples.  Indexing follows numpy on the outer axes: whole
+    numbers, slices, Ellipsis, None, lists and arrays of whole numbers or booleans
+    of any dimension; several arrays are broadcast against each other.  Samples are
+    taken by slices of step 1.
     """
 
     def __init__(self, ranges: DataFrame, keys: list[str], shape: tuple[int, ...], n: int):
@@ -227,54 +275,98 @@ class Grid:
         return self
 
     def __getitem__(self, index) -> Grid:
+        spark, out, keys, outer, n = self.ranges.sparkSession, self.ranges, [], [], self.n
+        parts, at, arrays = self._read(index)
+        if any(v.ndim for v in arrays.values()):
+            # index arrays (and whole numbers beside them) go together: one table of the cells they pick, over all their keys
+            both = np.broadcast_arrays(*arrays.values())
+            places = np.indices(both[0].shape).reshape(both[0].ndim, -1)
+            olds, news = [self.keys[a] for a in arrays], self._axis_names(both[0].ndim, [self.keys[a] for a in arrays])
+            columns = [*(b.reshape(-1) for b in both), *places]
+            fields = [*(f"`{k}` int" for k in olds), *(f"`at {k}` int" for k in news)]
+            picks = spark.createDataFrame([tuple(int(v) for v in row) for row in zip(*columns)], ", ".join(fields))
+            # as large as the index
+            out = out.join(F.broadcast(picks) if both[0].size <= BROADCAST_ROWS else picks, olds).drop(*olds)
+            arrived = (news, list(both[0].shape))
+        else:
+            for a, v in arrays.items():
+                out = out.where(F.col(self.keys[a]) == int(v)).drop(self.keys[a])
+            arrived, at = ([], []), None
+        renamed = [(f"at {k}", k) for k in arrived[0]]
+        for k, (kind, axis, what) in enumerate(parts):
+            if k == at:
+                keys, outer = keys + arrived[0], outer + arrived[1]
+            if kind == "new":
+                out = out.withColumn(what, F.lit(0))
+                keys, outer = [*keys, what], [*outer, 1]
+            elif kind == "slice" and axis == len(self.keys):
+                if what.step not in (None, 1):
+                    raise IndexError("samples are taken by slices of step 1")
+                a, z, _ = what.indices(n)
+                z = max(a, z)
+                out = out.withColumn("s", F.greatest("s", F.lit(a)) - a).withColumn("e", F.least("e", F.lit(z)) - a).where("s < e")
+                n = z - a
+            elif kind == "slice":
+                key, picked = self.keys[axis], range(*what.indices(self.outer[axis]))
+                new = F.floor((F.col(key) - picked.start) / picked.step).cast("int")
+                inside = F.col(key).between(min(picked), max(picked)) if len(picked) else F.lit(False)
+                out = out.where(inside & (F.pmod(F.col(key) - picked.start, F.lit(abs(picked.step))) == 0)).withColumn(key, new)
+                keys, outer = [*keys, key], [*outer, len(picked)]
+        if at == len(parts):
+            keys, outer = keys + arrived[0], outer + arrived[1]
+        for old, new in renamed:
+            out = out.withColumnRenamed(old, new)
+        return Grid(out, keys, tuple(outer), n)
+
+    def _read(self, index) -> tuple[list[tuple], int | None, dict[int, np.ndarray]]:
+        """Parts of an index in order (kind, axis, what), where the axes of index arrays come to stand among them, and those arrays by axis."""
         index = list(index) if isinstance(index, tuple) else [index]
-        used = sum(x is not None and x is not Ellipsis for x in index)
+        index = [x if x is None or x is Ellipsis or isinstance(x, slice) else np.asarray(x) for x in index]
+        for k, x in enumerate(index):
+            if isinstance(x, np.ndarray):
+                if not x.size and x.dtype == float:
+                    index[k] = x = x.astype(int)  # an empty list
+                if x.dtype.kind not in "biu" or (x.dtype == bool and not x.ndim):
+                    raise IndexError("indices are whole numbers, slices, arrays of either whole numbers or booleans, Ellipsis and None")
+        used = sum(x.ndim if isinstance(x, np.ndarray) and x.dtype == bool else x is not None and x is not Ellipsis for x in index)
         if used > len(self.shape) or sum(x is Ellipsis for x in index) > 1:
             raise IndexError("too many indices")
         if not any(x is Ellipsis for x in index):
             index.append(Ellipsis)
-        at = next(k for k, x in enumerate(index) if x is Ellipsis)
-        index[at : at + 1] = [slice(None)] * (len(self.shape) - used)
-        out, keys, outer, n, axis, fresh = self.ranges, [], [], self.n, 0, 0
-        spark = out.sparkSession
+        parts, arrays, places, axis = [], {}, [], 0
         for x in index:
             if x is None:
-                name = f"new{fresh}"
-                fresh += 1
-                out = out.withColumn(name, F.lit(0))
-                keys.append(name)
-                outer.append(1)
-                continue
-            if axis == len(self.keys):
-                if not isinstance(x, slice) or x.step not in (None, 1):
-                    raise IndexError("samples are taken by slices of step 1")
-                a, z, _ = x.indices(n)
-                z = max(a, z)
-                out = out.withColumn("s", F.greatest("s", F.lit(a)) - a).withColumn("e", F.least("e", F.lit(z)) - a).where("s < e")
-                n = z - a
+                parts.append(("new", None, self._fresh(parts)))
+            elif x is Ellipsis:
+                parts.append(("gap", None, None))
+                for _ in range(len(self.shape) - used):
+                    parts.append(("slice", axis, slice(None)))
+                    axis += 1
+            elif isinstance(x, slice):
+                parts.append(("slice", axis, x))
                 axis += 1
-                continue
-            key, size = self.keys[axis], self.outer[axis]
-            axis += 1
-            if isinstance(x, slice):
-                picks = list(range(*x.indices(size)))
-            elif isinstance(x, int):
-                picks = [x]
-            elif len(x) and all(isinstance(v, bool) for v in x):
-                if len(x) != size:
-                    raise IndexError("a list of booleans needs one for each entry of its axis")
-                picks = [k for k, v in enumerate(x) if v]
             else:
-                picks = list(x)
-            if any(not -size <= k < size for k in picks):
-                raise IndexError("index out of range")
-            table = spark.createDataFrame([(k % size, j) for j, k in enumerate(picks)], f"`{key}` int, `at {key}` int")
-            # as large as the index
-            out = out.join(F.broadcast(table), key).drop(key)
-            if isinstance(x, int):
-                out = out.drop(f"at {key}")
-            else:
-                out = out.withColumnRenamed(f"at {key}", key)
-                keys.append(key)
-                outer.append(len(picks))
-        return Grid(out, keys, tuple(outer), n)
+                mask = x.dtype == bool
+                if mask and x.shape != self.shape[axis : axis + x.ndim]:
+                    raise IndexError("a mask has the shape of the axes that it stands for")
+                for v in x.nonzero() if mask else (x,):
+                    if axis >= len(self.keys):
+                        raise IndexError("samples are taken by slices of step 1")
+                    size = self.outer[axis]
+                    if ((v < -size) | (v >= size)).any():
+                        raise IndexError("index out of range")
+                    arrays[axis] = np.where(v < 0, v + size, v)
+                    places.append(len(parts))
+                    parts.append(("array", axis, None))
+                    axis += 1
+        # side by side they stay where they are, else they come first
+        together = places and places[-1] - places[0] == len(places) - 1
+        return parts, (places[0] if together else 0) if places else None, arrays
+
+    def _fresh(self, parts: list[tuple]) -> str:
+        taken = {*self.keys, *(p[2] for p in parts if p[0] == "new")}
+        return next(f"new{k}" for k in range(len(taken) + 1) if f"new{k}" not in taken)
+
+    def _axis_names(self, count: int, olds: list[str]) -> list[str]:
+        """Key columns for the axes of index arrays: the key's own name, if one is enough."""
+        return [olds[0]] if count == 1 else [f"{olds[0]}_{k}" for k in range(count)]

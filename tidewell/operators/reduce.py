@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import by_samp
-from . import ranges
+from . import ranges, scan
 
 
 def block(size: int, shift: int = 0) -> Column:
@@ -84,19 +84,25 @@ def matched_jumps(tod: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
 
     Both grids go through the same windows, and no sample is joined to another.
     """
-    whole = tod.select("det", "samp", "y", (F.max("samp").over(Window.partitionBy("det")) + 1).alias("n")).join(sizes.select("det", "min_size"), "det")
-    grid = whole.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(size // 2))))
-    grid = grid.withColumn("blk", F.when(F.col("samp") < F.col("shift"), -1).otherwise(F.floor((F.col("samp") - F.col("shift")) / size)))
-    per = Window.partitionBy("det", "shift", "blk")
+    # one row a detector: its length and smallest jump
+    dets = tod.groupBy("det").agg((F.max("samp") + 1).alias("n")).join(sizes.select("det", "min_size"), "det")
+    grid = tod.select("det", "samp", "y").join(dets, "det").withColumn("shift", F.explode(F.array(F.lit(0), F.lit(size // 2))))
+    grid = grid.withColumn("cell", F.when(F.col("samp") < F.col("shift"), -1).otherwise(F.floor((F.col("samp") - F.col("shift")) / size)))
+    per = Window.partitionBy("det", "shift", "cell")
     grid = grid.withColumn("v", F.avg("y").over(per)).withColumn("m", F.sum(F.col("y") - F.col("v")).over(per.orderBy("samp")))
     sure = _over_threshold(grid, size, F.col("shift"), 1.0, True)
-    rough = grid.withColumn("sure", sure).where(_over_threshold(grid, size, F.col("shift"), 0.5, False))
+    rough = grid.where(_over_threshold(grid, size, F.col("shift"), 0.5, False)).select("det", "shift", "samp", "n", sure.alias("sure"))
     # a step filter peaks at the jump, so only runs of rough flags that are long enough are looked at again
-    run = rough.withColumn("run", F.col("samp") - F.row_number().over(Window.partitionBy("det", "shift").orderBy("samp")))
-    of_run = Window.partitionBy("det", "shift", "run")
+    least = max(1, size // 4)
+    rows = max(scan.ROWS, least)
+    # a block also sees the samples next to it, as many as tell whether a run is long enough
+    near = [F.floor((F.col("samp") + d) / rows) for d in (1 - least, 0, least - 1)]
+    cut = rough.withColumn("home", near[1]).withColumn("blk", F.explode(F.array_distinct(F.array(*near))))
+    run = cut.withColumn("run", F.col("samp") - F.row_number().over(Window.partitionBy("det", "shift", "blk").orderBy("samp")))
+    of_run = Window.partitionBy("det", "shift", "blk", "run")
     kept = run.withColumn("count", F.count("*").over(of_run)).withColumn("stop", F.max("samp").over(of_run) + 1)
-    kept = kept.where((F.col("count") >= size // 4) | (F.col("stop") == F.col("n")))
-    return ranges.merged(ranges.from_mask(kept, ["det", "shift"], F.col("sure")), ["det"])
+    kept = kept.where(F.col("sure") & (F.col("blk") == F.col("home")) & ((F.col("count") >= least) | (F.col("stop") == F.col("n"))))
+    return ranges.from_mask(kept.select("det", "samp").distinct(), ["det"], F.lit(True))
 
 
 def quantized_jumps(tod: DataFrame, tolerance: DataFrame, window: int, scale: float) -> DataFrame:
@@ -115,8 +121,8 @@ def subtract_jump_heights(tod: DataFrame, heights: DataFrame, jumps: DataFrame)
     inside = jumps.select("det", "s", F.explode(F.sequence("s", F.col("e") - 1)).alias("samp")).join(heights, ["det", "samp"])
     ext = inside.groupBy("det", "s").agg(F.min("h").alias("low"), F.max("h").alias("high"))
     step = ext.select("det", F.col("s").alias("samp"), F.when(F.abs("low") > F.abs("high"), F.col("low")).otherwise(F.col("high")).alias("step"))
-    total = F.coalesce(F.sum("step").over(by_samp()), F.lit(0.0))
-    return tod.join(step, ["det", "samp"], "left").withColumn("z", F.col("y") - total).drop("step")
+    total = scan.running_sum(tod.join(step, ["det", "samp"], "left"), ["det"], "samp", F.col("step"), "total")
+    return total.withColumn("z", F.col("y") - F.col("total")).drop("step", "total")
 
 
 def detrend(tod: DataFrame, method: str = "median", count: int = -1) -> DataFrame:

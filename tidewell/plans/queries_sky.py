@@ -173,22 +173,24 @@ def pointing_matrix(spark, sf):
     return out(p.select("det", "samp", "iy", "ix", rounded("fT", 7).alias("ft"), rounded("fQ", 7).alias("fq"), rounded("fU", 7).alias("fu")))
 
 
+def ring_sql(nside: int, source: str, keep: str) -> str:
+    """Ring numbers of cells (face, hx, hy), from the pixels on the rings before and the middle's longitude."""
+    return f"""select {keep}, (2*a*(a+1) + {4 * nside} * belt + {2 * nside * (nside + 1)} - 2*b*(b+1) + ((mid * wd + hx - hy + 8*wd) % (8*wd)) // 2)::bigint ring from (
+  select *, least(r - 1, {nside}) a, least({nside}, {4 * nside} - r) b, least(greatest(r - 1 - {nside}, 0), {2 * nside - 1}) belt, least(r, {nside}, {4 * nside} - r) wd, 2 * (face % 4) + (case when face between 4 and 7 then 0 else 1 end) mid from (
+  select *, (face // 4) * {nside} + 1 + {2 * (nside - 1)} - hx - hy r from {source}))"""
+
+
 def _healpix_sql(nside: int, ring: bool) -> str:
+    """Pixels by the twelve diamonds in the plane of longitude (eighths of a turn) and height (units of a face)."""
     spread = "+".join(f"((({{v}} >> {k}) & 1) << {2 * k})" for k in range(5))
     nest = f"face * {nside * nside} + {spread.format(v='hx')} + 2 * ({spread.format(v='hy')})"
-    tail = f"select det, samp, ({nest})::bigint pix from cell"
-    if ring:
-        tail = f"""select det, samp, ((case when r < {nside} then 2*r*(r-1) when r > {3 * nside} then {12 * nside * nside} - 2*wd*(wd+1) else {2 * nside * (nside - 1)} + (r - {nside}) * {4 * nside} end)
-  + (case when pl > 4*wd then pl - 4*wd when pl < 1 then pl + 4*wd else pl end) - 1)::bigint pix from (
-  select *, (al * wd + hx - hy + 1 + odd) // 2 pl from (
-  select *, case when r < {nside} then r when r > {3 * nside} then {4 * nside} - r else {nside} end wd, case when r < {nside} or r > {3 * nside} then 0 else (r - {nside}) % 2 end odd from (
-  select *, (face // 4 + 2) * {nside} - hx - hy - 1 r, case when face // 4 = 1 then 2 * (face % 4) else 2 * (face % 4) + 1 end al from cell)))"""
-    return f"""with {PTS}, g as (select det, samp, sin(y) z, cos(y) / sqrt((1 + abs(sin(y))) / 3) sz, 4 * (case when x < 0 then x / (2*pi()) + 1 else x / (2*pi()) end) tt from pl),
-f as (select *, floor(0.5 + tt - 0.75*z)::bigint fp, floor(0.5 + tt + 0.75*z)::bigint fm, least(floor(tt), 3)::bigint qt from g),
-c as (select *, least((tt - qt) * sz, 1) pp, least((1 - (tt - qt)) * sz, 1) pm from f),
-h as (select *, case when abs(z) <= 2/3.0::double then 0.5 + tt + 0.75*z - fm when z >= 0 then 1 - pm else pp end fx, case when abs(z) <= 2/3.0::double then 1 + fp - (0.5 + tt - 0.75*z) when z >= 0 then 1 - pp else pm end fy,
-  case when abs(z) <= 2/3.0::double then (case when fp = fm then fp | 4 when fp < fm then fp else fm + 8 end) when z >= 0 then qt else qt + 8 end face from c),
-cell as (select det, samp, face, least(floor(fx * {nside}), {nside - 1})::bigint hx, least(floor(fy * {nside}), {nside - 1})::bigint hy from h)
+    tail = f"select det, samp, ring pix from ({ring_sql(nside, 'cell', 'det, samp')})" if ring else f"select det, samp, ({nest})::bigint pix from cell"
+    clamp = lambda v: f"greatest(least(floor(({v}) / 2 * {nside}), {nside - 1}), 0)::bigint"
+    return f"""with {PTS}, plane as (select det, samp, sin(y) z, x * 4 / pi() - 8 * floor(x / (2 * pi())) eighth, cos(y) * sqrt(3 / (1 + abs(sin(y)))) pole from pl),
+high as (select *, case when abs(z) <= 2/3.0::double then 1 else pole end width, case when abs(z) <= 2/3.0::double then 1.5 * z else sign(z) * (2 - pole) end height, floor(eighth / 2 + 0.5)::bigint near, least(floor(eighth / 2), 3)::bigint fourth from plane),
+belt as (select *, abs(eighth - 2 * near) + abs(height) < 1 middle from high),
+placed as (select *, case when middle then 4 + near % 4 when z >= 0 then fourth else 8 + fourth end face, case when middle then eighth - 2 * near else (eighth - 2 * fourth - 1) * width end across, height + case when middle then 1 when z >= 0 then 0 else 2 end rise from belt),
+cell as (select det, samp, face, {clamp('rise + across')} hx, {clamp('rise - across')} hy from placed)
 {tail}"""
 
 

@@ -12,6 +12,7 @@ from . import projection
 from .common import A, B, TOD, flag_ranges, merge_sql, out, rounded, tod
 from .queries_archive import LONG, T0, _samples, events, frames
 from .queries_sky import CAR, MAP, NEAR, PIX, assembly, signal, valued
+from .queries_sky import ring_sql
 from .registry import query, table
 
 K = ["det"]
@@ -211,10 +212,8 @@ def _squeeze(v: str) -> str:
 @query(
     f"""with p as (select event_id, (event_id * 7 % 3072)::bigint pix from events),
 c as (select *, pix // 256 face, {_squeeze('pix % 256')} hx, {_squeeze('(pix % 256) >> 1')} hy from p),
-r as (select *, (face // 4 + 2) * 16 - hx - hy - 1 r, case when face // 4 = 1 then 2 * (face % 4) else 2 * (face % 4) + 1 end al from c),
-w as (select *, case when r < 16 then r when r > 48 then 64 - r else 16 end wd, case when r < 16 or r > 48 then 0 else (r - 16) % 2 end odd from r),
-l as (select *, (al * wd + hx - hy + 1 + odd) // 2 pl from w)
-select event_id, pix nest, ((case when r < 16 then 2*r*(r-1) when r > 48 then 3072 - 2*wd*(wd+1) else 480 + (r - 16) * 64 end) + (case when pl > 4*wd then pl - 4*wd when pl < 1 then pl + 4*wd else pl end) - 1)::bigint ring from l"""
+q as ({ring_sql(16, 'c', 'event_id, pix')})
+select event_id, pix nest, ring from q"""
 )
 def healpix_nest_to_ring(spark, sf):
     p = table(spark, sf, "events").select("event_id", F.pmod(F.col("event_id") * 7, F.lit(3072)).cast("long").alias("nest"))
@@ -329,6 +328,17 @@ def ranges_grid_index(spark, sf):
     return out(got.ranges, "a", "b", "s", "e")
 
 
+@query(
+    f"with {TOD}, {A}, p as (select * from (values (3, 0, 0, 0), (3, 7, 0, 1), (11, 0, 1, 0), (11, 7, 1, 1), (40, 0, 2, 0), (40, 7, 2, 1)) t(a, b, i, j)) select i::bigint a_0, j::bigint a_1, (s - 3)::bigint s, (least(e, 40) - 3)::bigint e from (select det, greatest(s, 3) s, e from a) r join p on r.det = p.a * 10 + p.b where s < least(e, 40)"
+)
+def ranges_grid_pairs(spark, sf):
+    """A grid indexed by two arrays that are broadcast against each other."""
+    a = flag_ranges(tod(spark, sf))[0]
+    grid = ranges.Grid(a.select(F.floor(F.col("det") / 10).cast("int").alias("a"), F.pmod("det", F.lit(10)).cast("int").alias("b"), "s", "e"), ["a", "b"], (1000, 10), 10_000)
+    got = grid[[[3], [11], [40]], [0, 7], 3:40]
+    return out(got.ranges, "a_0", "a_1", "s", "e")
+
+
 @query(f"with {NEAR}, {MAP} select (iy // 40 * 4 + ix // 50)::bigint tile, iy, ix, round(t, 5) + 0.0 t from m")
 def map_tiled_active(spark, sf):
     """A tiled map of which every tile hit is active."""
