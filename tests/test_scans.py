@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import interp, ranges, scan
+from tidewell.operators import iir, interp, ranges, scan, storage
 
 KEYS = ["det"]
 
@@ -148,3 +148,30 @@ def test_grid_index_errors(grid):
     for index in ([7], (0, 0, 0, 0, 0), np.array([True, False]), (Ellipsis, Ellipsis), [0.5], (0, 0, 0, [1]), (0, 0, 0, slice(0, 9, 2))):
         with pytest.raises(IndexError):
             grid[index]
+
+
+def test_filter_of_many_detectors(spark):
+    """The steps over many lanes against the bank that takes one sample after the other."""
+    rng = random.Random(6)
+    stages = [iir.Biquad(32092, 15750, 14, 3, 5), iir.Biquad(31238, 14895, 14, 3, 12)]
+    rows = [(d, k, rng.uniform(-1e6, 1e6)) for d in range(40) for k in range(rng.randint(1, 60)) if k % (d + 1) != 3]
+    got = iir.filtered(spark.createDataFrame(rows, "det long, samp int, y double").repartition(7), stages).collect()
+    for d in range(40):
+        z = [r["z"] for r in sorted((r for r in got if r["det"] == d), key=lambda r: r["samp"])]
+        assert z == iir.Bank(stages).apply([y for e, _, y in rows if e == d])
+
+
+@pytest.mark.parametrize("size", [4, 1 << 16])
+def test_branches(spark, size):
+    rng = random.Random(9)
+    q = {d: [rng.randrange(-3, 4) * (1 << 23) + rng.choice([0, 0, -1, 1, 5000]) for _ in range(60)] for d in (1, 2)} | {3: [1 << 60, 0]}
+    stream = spark.createDataFrame([(d, k, v) for d, values in q.items() for k, v in enumerate(values)], "det long, samp int, q long")
+    got = {(r["det"], r["samp"]): (r["base"], r["rest"]) for r in storage.split_branches(stream).collect()}
+    count = {r["det"]: r["branches"] for r in storage.branch_counts(stream, size).collect()}
+    for d, values in q.items():
+        base, moves = None, 0
+        for k, v in enumerate(values):
+            if base is None or not -storage.BRANCH // 2 <= v - base < storage.BRANCH // 2:
+                base, moves = (v + storage.BRANCH // 2) // storage.BRANCH * storage.BRANCH, moves + 1
+            assert got[d, k] == (base, v - base)
+        assert count[d] == moves

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordered import walked
+from . import scan
 
 #: Steps of the coarse branch that a sample is split into.
 BRANCH = 1 << 24
@@ -49,24 +49,25 @@ def extract(stream: DataFrame, start: int, stop: int, picks: DataFrame | None =
 
 
 def split_branches(stream: DataFrame) -> DataFrame:
-    """stream with base and rest: q = base + rest, base a multiple of BRANCH that only moves when q strays half of it away.
+    """stream with base and rest: q = base + rest, base a multiple of BRANCH that moves when q strays half of it away.
 
-    The base depends on all samples before, so each detector is walked in order.
+    A base within half a BRANCH of q is the multiple nearest to q (the upper one
+    in the middle), whatever stood before, so this is a matter of single samples.
     """
-
-    def start():
-        base = 0
-
-        def step(q):
-            nonlocal base
-            if abs(q - base) >= BRANCH // 2:
-                base = BRANCH * ((q + BRANCH // 2) // BRANCH)
-            return base, q - base
-
-        return step
-
-    kind = dict(stream.dtypes)["samp"]
-    return walked(stream, "q", start, f"det long, samp {kind}, base long, rest long")
+    base = F.shiftleft(F.shiftright(F.col("q").cast("long") + BRANCH // 2, BRANCH.bit_length() - 1), BRANCH.bit_length() - 1)
+    return stream.select("det", "samp", base.alias("base"), (F.col("q") - base).cast("long").alias("rest"))
+
+
+def branch_counts(stream: DataFrame, size: int = scan.ROWS) -> DataFrame:
+    """det and branches: how many times the base is set, at the first sample and whenever it moves."""
+    cut = scan.blocked(split_branches(stream), ["det"], "samp", size)
+    order = Window.partitionBy("det", "blk").orderBy("samp")
+    moves = cut.withColumn("moved", (F.lag("base").over(order) != F.col("base")).cast("long"))
+    # a block may begin on another base than the one before it ended on
+    blocks = moves.groupBy("det", "blk").agg(F.sum("moved").alias("inside"), F.min_by("base", "samp").alias("first"), F.max_by("base", "samp").alias("last"))
+    along = Window.partitionBy("det").orderBy("blk")
+    edge = F.when(F.lag("last").over(along) == F.col("first"), 0).otherwise(1)
+    return blocks.withColumn("edge", edge).groupBy("det").agg((F.sum(F.coalesce("inside", F.lit(0))) + F.sum("edge")).alias("branches"))
 
 
 def save(stream: DataFrame, path: str, codec: str = "zstd") -> None:

@@ -233,3 +233,13 @@ select det, samp, base, rest from w where samp >= 0"""
 def rebranch(spark, sf):
     data = tod(spark, sf).withColumn("q", F.round(F.col("y") * 1e6).cast("long"))
     return out(storage.split_branches(data))
+
+
+@query(
+    f"""with {TOD}, b as (select det, samp, floor((round(y * 1e6)::bigint + {1 << 23}) / {1 << 24}.0)::bigint base from tod),
+m as (select det, case when lag(base) over (partition by det order by samp) = base then 0 else 1 end moved from b)
+select det, sum(moved)::bigint branches from m group by det"""
+)
+def branch_counts(spark, sf):
+    data = tod(spark, sf).withColumn("q", F.round(F.col("y") * 1e6).cast("long"))
+    return out(storage.branch_counts(data, 16))
