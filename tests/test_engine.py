@@ -347,7 +347,7 @@ def test_ingest_stream(spark, tmp_path):
     spark.createDataFrame([("a", 0, f["frame_idx"], f["hkagg_type"], 2, 5, 1, f["timestamp"], [tuple(p.values()) for p in f["providers"]], [(b["block_name"], b["t"], b["fields"]) for b in f["blocks"]]) for f in frame_lines()], hk.FRAMES).write.parquet(str(src))
     stream = spark.readStream.schema(hk.FRAMES).parquet(str(src))
     live.ingest(live.translated(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out/samples")).count() == 30
+    assert live.ingested(spark, str(tmp_path / "out")).count() == 30
 
 
 def test_detector_archive(spark):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SESSION, STATUS, DATA = 0, 1, 2
+#: Closes a recording: what is still open is flushed.
+END = -1
 #: A block covers this much more than its last sample.
 PAD_SECONDS = 1.0
 FOLDER_SECONDS = 100_000
