@@ -455,3 +455,33 @@ def test_every_row_with_every_row_in_runs(spark):
     left, right = spark.range(30).withColumnRenamed("id", "a"), spark.range(25).withColumnRenamed("id", "b")
     got = each_with(left, right, "b", rows=4)
     assert got.distinct().count() == got.count() == 750
+
+
+def test_pseudo_inverse_of_weights(spark):
+    """Weights of rank 0 to 3 against numpy."""
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for k in range(40):
+        rank = k % 4
+        v = rng.normal(size=(rank, 3))
+        w, m = v.T @ v, rng.normal(size=3)
+        rows.append((0, k, *(float(x) for x in m), *(float(w[i, j]) for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)))))
+        want.append((rank, np.linalg.pinv(w, rcond=1e-9, hermitian=True) @ m))
+    sky_map = spark.createDataFrame(rows, "iy long, ix long, T double, Q double, U double, wTT double, wTQ double, wTU double, wQQ double, wQU double, wUU double")
+    for r in projection.pinv_tqu(sky_map, least=1e-9).collect():
+        rank, m = want[r["ix"]]
+        assert r["rank"] == rank and np.allclose([r["T"], r["Q"], r["U"]], m, rtol=1e-5, atol=1e-7)
+
+
+@pytest.mark.parametrize("size", [2, 1 << 16])
+def test_quaternions_between_rows(spark, size):
+    """A coarse table against the turn that it was taken from; both signs, gaps without a row, and times beyond the ends."""
+    turn = lambda t: (np.cos(0.15 * t), np.sin(0.15 * t) * 0.6, 0.0, np.sin(0.15 * t) * 0.8)
+    times = [0.0, 1.0, 2.5, 9.0, 9.5, 12.0]
+    table_ = spark.createDataFrame([(t, *(float(v) * (-1) ** k for v in turn(t))) for k, t in enumerate(times)], "t double, qa double, qb double, qc double, qd double")
+    asks = [(k, -1 + 0.37 * k) for k in range(40)]
+    got = pointing.az_el(spark.createDataFrame(asks, "samp long, t double"), table_) if size == 1 << 16 else pointing.between(table_, spark.createDataFrame(asks, "samp long, t double"), size)
+    q = {r["samp"]: np.array([r["qa"], r["qb"], r["qc"], r["qd"]]) for r in got.collect()}
+    assert len(q) == 40
+    for k, t in asks:
+        assert abs(q[k] @ np.array(turn(min(max(t, 0), 12)))) == pytest.approx(1, abs=1e-12)

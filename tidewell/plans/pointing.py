@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import pi, radians
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quat
 from ..functions.steps import Steps
+from ..operators import scan
 from ..operators.runs import each_with
 
 
@@ -69,10 +70,10 @@ def naive_az_el(scan: DataFrame, where: str | Site | None = None) -> DataFrame:
 
 
 def az_el(scan: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """High-precision pointing from a table (samp, qa..qd) computed elsewhere; there is no ephemeris here."""
+    """High-precision pointing from a table computed elsewhere, by sample (samp, qa..qd) or in time (t, qa..qd); there is no ephemeris here."""
     if table is None:
         raise NotImplementedError("high-precision pointing needs a table of quaternions")
-    return scan.join(table, "samp")
+    return scan.join(table, "samp") if "samp" in table.columns else between(table, scan)
 
 
 def for_lonlat(scan: DataFrame) -> DataFrame:
@@ -85,11 +86,44 @@ def for_horizon(scan: DataFrame) -> DataFrame:
     return _bore(scan, lambda s: quat.rotation_lonlat(*s.keep(F.col("az"), F.col("el"), F.col("roll") if "roll" in scan.columns else F.lit(0.0)), azel=True))
 
 
-def constant_elevation_scan(spark, n: int, dt: float, t0: float, az0: float, throw: float, speed: float, el: float) -> DataFrame:
-    """samp, t, az, el: azimuth going to and fro by `throw` around az0 at a steady speed."""
+def swept(samples: DataFrame, dt: float, t0: float, az0: float, throw: float, speed: float, el: float) -> DataFrame:
+    """samples(samp) with t, az, el: azimuth going to and fro by `throw` around az0 at a steady speed."""
     phase = F.pmod(F.col("samp") * (dt * speed), F.lit(4.0 * throw))
     az = F.when(phase < 2 * throw, phase - throw).otherwise(3 * throw - phase) + az0
-    return spark.range(n).select(F.col("id").cast("int").alias("samp")).select("samp", (t0 + F.col("samp") * dt).alias("t"), az.alias("az"), F.lit(el).alias("el"))
+    return samples.withColumns({"t": t0 + F.col("samp") * dt, "az": az, "el": F.lit(el)})
+
+
+def constant_elevation_scan(spark, n: int, dt: float, t0: float, az0: float, throw: float, speed: float, el: float) -> DataFrame:
+    """samp, t, az, el of n samples."""
+    return swept(spark.range(n).select(F.col("id").cast("int").alias("samp")), dt, t0, az0, throw, speed, el)
+
+
+def between(table: DataFrame, scan_: DataFrame, size: int = scan.ROWS) -> DataFrame:
+    """scan(samp, t) with qa..qd from a coarser table (t, qa..qd), turned steadily from one row to the next.
+
+    Before the first and behind the last row that row holds.  Both sides are cut
+    into the same blocks of t; what a block lacks is carried from its neighbours.
+    """
+    q = F.struct("t", *[f"q{n}" for n in "abcd"])
+    knots = scan.blocked(table.select("t", *[f"q{n}" for n in "abcd"]), [], "t", size).select("blk", "t", q.alias("knot"))
+    asks = scan.blocked(scan_.withColumn("ask", F.struct(*scan_.columns)).select("t", "ask"), [], "t", size, of=table)
+    rows = knots.withColumn("ask", F.lit(None).cast(asks.schema["ask"].dataType)).unionByName(asks.withColumn("knot", F.lit(None).cast(knots.schema["knot"].dataType)))
+    order = Window.partitionBy("blk").orderBy("t", F.col("ask").isNotNull())
+    rows = rows.withColumn("a", F.last("knot", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("knot", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # blocks without a row of the table need their neighbours too
+    blocks = asks.select("blk").unionByName(knots.select("blk")).distinct()
+    along = Window.orderBy("blk")  # one row a block
+    own = knots.groupBy("blk").agg(F.max("knot").alias("top"), F.min("knot").alias("low"))
+    edge = blocks.join(own, "blk", "left").select("blk", F.last("top", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("low", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    got = rows.where("ask is not null").join(edge, "blk", "left")
+    got = got.select("ask.*", F.coalesce("a", "earlier", "b", "later").alias("a"), F.coalesce("b", "later", "a", "earlier").alias("b"))
+    s = Steps(got)
+    part, dot = s.keep(F.when(F.col("b.t") > F.col("a.t"), (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))).otherwise(0.0), sum((F.col(f"a.q{n}") * F.col(f"b.q{n}") for n in "abcd"), F.lit(0.0)))
+    # q and -q are one turn; the short way
+    (angle,) = s.keep(F.acos(F.least(F.abs(dot), F.lit(1.0))))
+    near = angle < 1e-9
+    wa, wb = s.keep(F.when(near, 1 - part).otherwise(F.sin((1 - part) * angle) / F.sin(angle)), F.when(dot < 0, -1.0).otherwise(1.0) * F.when(near, part).otherwise(F.sin(part * angle) / F.sin(angle)))
+    return s.done(**{f"q{n}": wa * F.col(f"a.q{n}") + wb * F.col(f"b.q{n}") for n in "abcd"}).select(*scan_.columns, *[f"q{n}" for n in "abcd"])
 
 
 def focal_plane(dets: DataFrame, hwp: bool = False) -> DataFrame:

@@ -174,6 +174,29 @@ def solve_tqu(sky_map: DataFrame, weights: DataFrame | None = None, key: list[st
     return s.done(T=(k0 * t + k1 * q + k2 * u) / det, Q=(k1 * t + k3 * q + k4 * u) / det, U=(k2 * t + k4 * q + k5 * u) / det).select(*(key or KEY), "T", "Q", "U")
 
 
+def pinv_tqu(sky_map: DataFrame, weights: DataFrame | None = None, key: list[str] | None = None, least: float = 1e-6) -> DataFrame:
+    """Map times the pseudo-inverse of its 3x3 weights: pixels seen from too few angles keep what can be told.
+
+    The rank is judged by the invariants of the weights against their trace:
+    eigenvalues whose product is below `least` of it (cubed, squared) count as
+    missing ones.  With two of them, W+ = ((e1^2 - e2) W - e1 W^2) / e2^2, which
+    follows from W's characteristic polynomial on its range, and with one W / e1^2.
+    """
+    s = Steps(sky_map if weights is None else sky_map.join(weights, key or KEY))
+    a, b, c, d, e, f = (F.col(f"w{n}") for n in ("TT", "TQ", "TU", "QQ", "QU", "UU"))
+    k0, k1, k2 = s.keep(d * f - e * e, c * e - b * f, b * e - c * d)
+    k3, k4, k5 = s.keep(a * f - c * c, b * c - a * e, a * d - b * b)
+    det, e1, e2 = s.keep(a * k0 + b * k1 + c * k2, a + d + f, k0 + k3 + k5)
+    rank = F.when(det > least * e1 * e1 * e1, 3).when(e2 > least * e1 * e1, 2).when(e1 > 0, 1).otherwise(0)
+    (rank,) = s.keep(rank)
+    t, q, u = F.col("T"), F.col("Q"), F.col("U")
+    w1 = s.keep(a * t + b * q + c * u, b * t + d * q + e * u, c * t + e * q + f * u)
+    w2 = s.keep(a * w1[0] + b * w1[1] + c * w1[2], b * w1[0] + d * w1[1] + e * w1[2], c * w1[0] + e * w1[1] + f * w1[2])
+    full = (k0 * t + k1 * q + k2 * u, k1 * t + k3 * q + k4 * u, k2 * t + k4 * q + k5 * u)
+    solved = [F.when(rank == 3, x / det).when(rank == 2, ((e1 * e1 - e2) * y - e1 * z) / (e2 * e2)).when(rank == 1, y / (e1 * e1)).otherwise(0.0) for x, y, z in zip(full, w1, w2)]
+    return s.done(rank=rank, T=solved[0], Q=solved[1], U=solved[2]).select(*(key or KEY), "rank", "T", "Q", "U")
+
+
 def pair_difference(signal: DataFrame) -> DataFrame:
     """Sums and differences of detectors 2k and 2k + 1: pair, samp, total, diff."""
     by = F.floor(F.col("det") / 2).cast("long")

@@ -73,9 +73,10 @@ def decompose_lonlat(spark, sf):
     return out(boresight(spark, sf).select("samp", rounded(lon, 8).alias("lon"), rounded(lat, 8).alias("lat"), rounded(F.cos(psi), 8).alias("cpsi")))
 
 
-@query(f"with {BORE} select det::bigint det, round(xi, 9) + 0.0 xi, round(eta, 9) + 0.0 eta, round(cos(g), 9) + 0.0 cg from fp")
+@query("select p_partkey det, round((p_partkey % 61 - 30) * 0.002, 9) + 0.0 xi, round(p_size * 0.001, 9) + 0.0 eta, round(cos((p_partkey % 10) * 0.3), 9) + 0.0 cg from part")
 def xieta_offsets(spark, sf):
-    dets = spark.range(3).select(F.col("id").alias("det"), ((F.col("id") - 1) * 0.01).alias("xi"), (F.col("id") * 0.005).alias("eta"), (F.col("id") * 0.3).alias("gamma"))
+    """A focal plane with a detector for each part, and its offsets read back from the quaternions."""
+    dets = table(spark, sf, "part").select(F.col("p_partkey").alias("det"), ((F.col("p_partkey") % 61 - 30) * 0.002).alias("xi"), (F.col("p_size") * 0.001).alias("eta"), ((F.col("p_partkey") % 10) * 0.3).alias("gamma"))
     xi, eta, gamma = quat.decompose_xieta(quat.read("d"))
     return out(pointing.focal_plane(dets).select("det", rounded(xi, 9).alias("xi"), rounded(eta, 9).alias("eta"), rounded(F.cos(gamma), 9).alias("cg")))
 
@@ -113,13 +114,25 @@ def horizon_direction(spark, sf):
 
 
 @query(
-    "with s as (select i samp, (i * 0.05) % 4.0 p from (select unnest(range(5000)) i)) select samp, round(1654041600 + samp * 0.1, 6) t, round(case when p < 2 then p - 1 else 3 - p end + 60, 6) + 0.0 az, 50.0::double el from s"
+    "with s as (select event_id samp, (event_id * (0.1::double * 0.5::double)) % 4.0::double p from events) select samp, round(1654041600 + samp * 0.1, 6) t, round(case when p < 2 then p - 1 else 3 - p end + 60, 6) + 0.0 az, 50.0::double el from s"
 )
 def scan_ces(spark, sf):
-    s = pointing.constant_elevation_scan(spark, 5000, 0.1, 1654041600.0, 60.0, 1.0, 0.5, 50.0)
+    """A constant-elevation scan with a sample for each event."""
+    s = pointing.swept(table(spark, sf, "events").select(F.col("event_id").alias("samp")), 0.1, 1654041600.0, 60.0, 1.0, 0.5, 50.0)
     return out(s.select("samp", F.round("t", 6).alias("t"), rounded("az").alias("az"), "el"))
 
 
+@query(
+    "with s as (select event_id samp, event_id * 0.05::double t, (select min(event_id) from events where event_id % 40 = 0) * 0.05::double lo, (select max(event_id) from events where event_id % 40 = 0) * 0.05::double hi from events) select samp, round(cos(least(greatest(t, lo), hi) * 0.02), 8) + 0.0 clon, round(sin(least(greatest(t, lo), hi) * 0.02), 8) + 0.0 slon, 0.3::double lat from s"
+)
+def pointing_between(spark, sf):
+    """Sight lines at every event from a table with a fortieth of them: a steady turn about the pole is met exactly."""
+    s = table(spark, sf, "events").select(F.col("event_id").alias("samp"), (F.col("event_id") * 0.05).alias("t"))
+    coarse = pointing.for_lonlat(s.where("samp % 40 = 0").withColumns({"lon": F.col("t") * 0.02, "lat": F.lit(0.3)})).select("t", "qa", "qb", "qc", "qd")
+    lon, lat, _ = quat.decompose_lonlat(quat.read())
+    return out(pointing.az_el(s, coarse).select("samp", rounded(F.cos(lon), 8).alias("clon"), rounded(F.sin(lon), 8).alias("slon"), rounded(lat, 8).alias("lat")))
+
+
 def _coords_query(system: str):
     psi = PSI_CYL if system in ("CAR", "CEA") else PSI_ZEN
     x, y = XY[system]
@@ -266,6 +279,24 @@ def map_solve_tqu(spark, sf):
     return out(m.select("iy", "ix", rounded("T", 4).alias("t"), rounded("Q", 4).alias("q"), rounded("U", 4).alias("u")))
 
 
+@query(
+    f"""with {NEAR}, few as (select * exclude (fq, fu), case when ix % 3 = 0 then 0.6 else fq end fq, case when ix % 3 = 0 then 0.3 when ix % 3 = 1 then fq / 2 else fu end fu from pt),
+{MAP.replace('from pt', 'from few')}, {WTS.replace('from pt', 'from few')}, k as (select *, qq*uu - qu*qu k0, tu*qu - tq*uu k1, tq*qu - tu*qq k2, tt*uu - tu*tu k3, tq*tu - tt*qu k4, tt*qq - tq*tq k5 from m join wt using (iy, ix)),
+d as (select *, tt*k0 + tq*k1 + tu*k2 det, tt + qq + uu e1, k0 + k3 + k5 e2, tt*t + tq*q + tu*u x, tq*t + qq*q + qu*u y, tu*t + qu*q + uu*u z from k),
+r as (select *, case when det > 1e-5 * e1**3 then 3 when e2 > 1e-5 * e1**2 then 2 else 1 end r, tt*x + tq*y + tu*z xx, tq*x + qq*y + qu*z yy, tu*x + qu*y + uu*z zz from d)
+select iy, ix, r::bigint as rank, round(case r when 3 then (k0*t + k1*q + k2*u) / det when 2 then ((e1*e1 - e2) * x - e1 * xx) / (e2*e2) else x / (e1*e1) end, 3) + 0.0 t,
+  round(case r when 3 then (k1*t + k3*q + k4*u) / det when 2 then ((e1*e1 - e2) * y - e1 * yy) / (e2*e2) else y / (e1*e1) end, 3) + 0.0 q,
+  round(case r when 3 then (k2*t + k4*q + k5*u) / det when 2 then ((e1*e1 - e2) * z - e1 * zz) / (e2*e2) else z / (e1*e1) end, 3) + 0.0 u from r"""
+)
+def map_pinv_tqu(spark, sf):
+    """Pixels seen from one angle only, from angles on a line, and from many: each keeps what its weights can tell."""
+    p = projection.pointing(valued(spark, sf), CAR, "TQU")
+    column = F.col("ix") % 3
+    p = p.withColumn("fU", F.when(column == 0, 0.3).when(column == 1, F.col("fQ") / 2).otherwise(F.col("fU"))).withColumn("fQ", F.when(column == 0, 0.6).otherwise(F.col("fQ")))
+    m = projection.pinv_tqu(projection.to_map_and_weights(p, "TQU"), least=1e-5)
+    return out(m.select("iy", "ix", F.col("rank").cast("long").alias("rank"), rounded("T", 3).alias("t"), rounded("Q", 3).alias("q"), rounded("U", 3).alias("u")))
+
+
 @query(f"with {BORE} select 0::bigint pair, a.samp, round((a.y + b.y) / 2, 6) + 0.0 total, round((a.y - b.y) / 2, 6) + 0.0 diff from q a join q b on a.samp = b.samp and a.det = 0 and b.det = 1")
 def pair_difference_map(spark, sf):
     p = projection.pair_difference(signal(assembly(spark, sf)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import model
@@ -147,9 +148,11 @@ def quat_euler(spark, sf):
     return out(e.select("event_id", *[rounded(c, 9).alias(n) for c, n in zip(q, "abcd")]))
 
 
-@query(f"select iy::bigint iy, ix::bigint ix from (select unnest(range({PIX.ny})) iy), (select unnest(range({PIX.nx})) ix)")
+@query(f"with {NEAR} select iy::bigint iy, ix::bigint ix from (select unnest(range({PIX.ny})) iy), (select unnest(range({PIX.nx})) ix) where (iy, ix) not in (select (iy, ix) from pt)")
 def map_blank(spark, sf):
-    return out(projection.blank(spark, CAR))
+    """Pixels of the blank map that no sample meets."""
+    seen = projection.pointing(assembly(spark, sf), CAR, "T").select("iy", "ix")
+    return out(projection.blank(spark, CAR).join(seen, ["iy", "ix"], "left_anti"))
 
 
 @query(f"with {NEAR}, {MAP.replace('from pt', 'from pt where samp % 100 < 40')} select iy, ix, round(t, 5) + 0.0 t from m")
@@ -291,14 +294,26 @@ def hk_alias_refs(spark, sf):
     return out(got.select("name", F.round("t", 6).alias("t"), "v"))
 
 
-@query("select 4::bigint frames, 1::bigint session_frames, 1::bigint status_frames, 2::bigint data_frames, 1::bigint sessions, 0::bigint time_errors, 0::bigint length_errors, 1::bigint drift_warnings, 0::bigint moved_fields")
+@query(
+    f"""with e as (select user_id, event_id, floor(epoch_us(ts) / 1e6) + event_id % 5 * 20 stamp, floor(epoch_us(ts) / 1e6) t from events),
+o as (select *, lag(stamp) over (partition by user_id order by t, event_id) before from e)
+select (count(*) + 2 * count(distinct user_id))::bigint frames, count(distinct user_id)::bigint session_frames, count(distinct user_id)::bigint status_frames, count(*)::bigint data_frames, count(distinct user_id)::bigint sessions,
+  count_if(stamp <= before)::bigint time_errors, 0::bigint length_errors, count_if(stamp - t > 60)::bigint drift_warnings, 0::bigint moved_fields from o"""
+)
 def hk_session_frames(spark, sf):
-    """A session written frame by frame, validated; the second data frame is stamped far from its samples."""
-    s = hk.Session("a", "observatory.x", T0)
-    p = s.add_provider("observatory.x.feeds.main")
-    made = [s.session_frame(), s.status_frame(T0 + 1)]
-    made += [s.data_frame(p, T0 + 10 * k, {"b": ([T0 + 10 * k + 100 * (k - 1) + i for i in range(3)], {"v": [1, 2, 3]})}) for k in (1, 2)]
-    return out(hk.validate(spark.createDataFrame(made, hk.FRAMES)))
+    """A session for each user, written frame by frame with the helper and validated; some frames are stamped far from their samples."""
+
+    def run(key, rows):
+        user = int(key[0])
+        s = hk.Session(f"user{user}", f"observatory.user{user}", T0, user)
+        p = s.add_provider(f"observatory.user{user}.feeds.main")
+        made = [s.session_frame(), s.status_frame(T0)]
+        for r in rows.sort_values(["t", "event_id"]).itertuples():
+            made.append(s.data_frame(p, r.t + r.event_id % 5 * 20, {"b": ([r.t], {"v": [r.value]})}))
+        return pd.DataFrame([(*f[:8], [{"prov_id": i, "description": d} for i, d in f[8]], [{"block_name": n, "t": t, "fields": v} for n, t, v in f[9]]) for f in made], columns=hk.FRAMES.fieldNames())
+
+    e = events(spark, sf).select("user_id", "event_id", F.floor("t").cast("double").alias("t"), "value")
+    return out(hk.validate(e.groupBy("user_id").applyInPandas(run, hk.FRAMES)))
 
 
 @query(f"with {TOD}, {A} select det, string_agg(s || '-' || e, ' ' order by s) text, count(*)::bigint n from a group by det")
@@ -349,12 +364,18 @@ def map_tiled_active(spark, sf):
     return out(projection.to_map(p, "T", key=["tile", "iy", "ix"]).select("tile", "iy", "ix", rounded("T", 5).alias("t")))
 
 
-@query(f"select (iy // 40 * 4 + ix // 50)::bigint tile, iy::bigint iy, ix::bigint ix, 0.0::double t, 0.0::double q, 0.0::double u from (select unnest(range({PIX.ny})) iy), (select unnest(range({PIX.nx})) ix)")
+@query(
+    f"with {NEAR}, {MAP} select (iy // 40 * 4 + ix // 50)::bigint tile, iy::bigint iy, ix::bigint ix, round(coalesce(t, 0), 5) + 0.0 t, round(coalesce(q, 0), 5) + 0.0 q, round(coalesce(u, 0), 5) + 0.0 u from (select iy, ix from (select unnest(range({PIX.ny})) iy), (select unnest(range({PIX.nx})) ix)) left join m using (iy, ix)"
+)
 def map_zeros(spark, sf):
+    """Samples put onto a map of zeros: every pixel with its tile."""
     from .queries_sky import TILED
 
-    m = projection.map_like(spark, TILED, projection.components_of(3))
-    return out(m.select("tile", "iy", "ix", F.col("T").alias("t"), F.col("Q").alias("q"), F.col("U").alias("u")))
+    zeros = projection.map_like(spark, TILED, projection.components_of(3))
+    seen = projection.to_map(projection.pointing(valued(spark, sf), CAR, "TQU"), "TQU")
+    both = zeros.unionByName(seen.withColumn("tile", TILED.pixels.tile(F.col("iy"), F.col("ix"), *TILED.tile)).select(*zeros.columns))
+    m = both.groupBy("tile", "iy", "ix").agg(*[F.sum(c).alias(c) for c in "TQU"])
+    return out(m.select("tile", "iy", "ix", *[rounded(c, 5).alias(c.lower()) for c in "TQU"]))
 
 
 @query(
