@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewell import catalog
 from tidewell.functions import healpix, quat, sky
 from tidewell.operators import cuts, gapfill, iir, interp, noise, ranges, reduce, storage
-from tidewell.plans import pointing, projection
+from tidewell.plans import pointing, projection, tiles
 from tidewell.sources import detector, hk
 from tidewell.sources.frames import FrameSource, read_at
 from tidewell.streaming import live
@@ -485,3 +485,75 @@ def test_quaternions_between_rows(spark, size):
     assert len(q) == 40
     for k, t in asks:
         assert abs(q[k] @ np.array(turn(min(max(t, 0), 12)))) == pytest.approx(1, abs=1e-12)
+
+
+CARD = "{:<8}= {:>20} / a comment, with a '/' and a quote"
+HEADERS = [
+    # system, axes, crval, lonpole (None: not given)
+    ("CAR", ("RA---", "DEC--"), (0.0, 0.0), None),
+    ("CAR", ("GLON-", "GLAT-"), (12.5, 0.0), 0.0),
+    ("CEA", ("RA---", "DEC--"), (180.0, 0.0), 180.0),
+    ("CAR", ("RA---", "DEC--"), (10.0, -20.0), 0.0),
+    ("TAN", ("RA---", "DEC--"), (83.0, 22.0), None),
+    ("ZEA", ("DEC--", "RA---"), (-5.0, 40.0), 180.0),
+    ("ARC", ("RA---", "DEC--"), (1.0, -89.0), None),
+    ("SIN", ("ELON-", "ELAT-"), (0.0, 45.0), 180.0),
+]
+
+
+@pytest.mark.parametrize("system,axes,at,pole", HEADERS)
+def test_map_headers(system, axes, at, pole):
+    """Headers as cards, as lines and as a dict, against geometries made by hand."""
+    swapped = axes[0].startswith("DEC")
+    numbers = {"NAXIS1": 300, "NAXIS2": 200, "CRPIX1": 10.5, "CRPIX2": 20.0, "CRVAL1": at[0], "CRVAL2": at[1]}
+    cards = {k: str(v) for k, v in numbers.items()} | {"CDELT1": "-5D-2", "CDELT2": "2.5E-2", "CTYPE1": f"'{axes[0]}{system}'", "CTYPE2": f"'{axes[1]}{system}'"}
+    if pole is not None:
+        cards["LONPOLE"] = str(pole)
+    lines = [CARD.format(k, v)[:80].ljust(80) for k, v in cards.items()] + ["END".ljust(80)]
+    lon, lat = (at[1], at[0]) if swapped else at
+    one = dict(ny=300, nx=200, dy=np.radians(-0.05), dx=np.radians(0.025), iy0=10.5, ix0=20.0) if swapped else dict(ny=200, nx=300, dy=np.radians(0.025), dx=np.radians(-0.05), iy0=20.0, ix0=10.5)
+    want = projection.Geometry(system, np.radians(lon), np.radians(lat), sky.FlatPixels(**one))
+    given = {k: v.strip("'").replace("D", "E") if k.startswith("CDELT") else v.strip("'") for k, v in cards.items()}
+    for header in ("".join(lines), "\n".join(lines), given):
+        got = projection.Geometry.from_header(header)
+        assert got.system == want.system and np.allclose(got.native(), want.native())
+        assert np.allclose([getattr(got.pixels, f) for f in one], list(one.values()))
+
+
+def test_map_headers_that_do_not_fit():
+    good = {"NAXIS1": 3, "NAXIS2": 2, "CRPIX1": 1, "CRPIX2": 1, "CRVAL1": 0, "CRVAL2": 30, "CTYPE1": "RA---TAN", "CTYPE2": "DEC--TAN"}
+    for change in ({"CTYPE1": "RA---CAR"}, {"CTYPE1": "RA---AIT", "CTYPE2": "DEC--AIT"}, {"CTYPE2": "RA---TAN"}, {"LONPOLE": 0.0}, {"CTYPE1": "RA---CAR", "CTYPE2": "DEC--CAR", "LONPOLE": 0.0}):
+        with pytest.raises(ValueError):
+            projection.Geometry.from_header(good | change)
+
+
+def test_dense_tiles(spark, tmp_path):
+    rows = [(3, 0, 1.0, 2.0), (3, 7, 3.0, 4.0), (1, 5, 5.0, 6.0), (6, 2, 7.0, 8.0)]
+    long = spark.createDataFrame(rows, "tile long, inner int, T double, Q double")
+    d = tiles.dense(long, 8, ["T", "Q"])
+    tiles.save(d, str(tmp_path / "tiles"))
+    back = tiles.untile(tiles.load(spark, str(tmp_path / "tiles"), [1, 3]), ["T", "Q"], 8)
+    got = {(r["tile"], r["inner"]): (r["T"], r["Q"], r["pix"]) for r in back.collect()}
+    assert len(got) == 16 and all(got[t, i] == (a, b, 8 * t + i) for t, i, a, b in rows if t != 6) and sum(v[0] for v in got.values()) == 9
+    assert [(r["place"], r["tile"]) for r in tiles.compressed(d).orderBy("place").collect()] == [(0, 1), (1, 3), (2, 6)]
+    full = tiles.decompressed(d, 8, 8, ["T", "Q"]).orderBy("tile").collect()
+    assert [sum(r["T"]) for r in full] == [0, 5, 0, 4, 0, 0, 7, 0] and all(len(r["Q"]) == 8 for r in full)
+    assert tiles.dense(long.limit(0), 8, ["T", "Q"]).isEmpty()
+    with pytest.raises(Exception, match="outside its tile"):
+        tiles.dense(long, 7, ["T"]).collect()
+
+
+def test_nested_ranges(spark):
+    dets = spark.createDataFrame([(0, 10), (1, 10)], "det long, n long")
+    flat = spark.createDataFrame([(0, 2, 4), (1, 0, 10)], "det long, s long, e long")
+    assert {(r["bunch"], r["domain"]) for r in projection.promoted(flat, dets).collect()} == {(0, 0)}
+    assert projection.promoted(None, dets).agg(F.sum(F.col("e") - F.col("s"))).first()[0] == 20
+    threads = flat.withColumn("domain", F.col("det") + 5)
+    both = threads.withColumn("bunch", F.lit(0)).unionByName(threads.withColumn("bunch", F.lit(1)))
+    assert {(r["bunch"], r["domain"]) for r in projection.promoted(threads, dets).collect()} == {(0, 5), (0, 6)}
+    pointed = spark.createDataFrame([(d, k) for d in (0, 1) for k in range(10)], "det long, samp long")
+    got = projection.bunched(pointed, projection.promoted(both, dets)).groupBy("bunch", "domain").count().collect()
+    assert {(r["bunch"], r["domain"]): r["count"] for r in got} == {(b, d): n for b in (0, 1) for d, n in ((5, 2), (6, 10))}
+    for bad in ([(2, 0, 1)], [(0, -1, 3)], [(0, 5, 11)]):
+        with pytest.raises(ValueError):
+            projection.promoted(spark.createDataFrame(bad, "det long, s long, e long"), dets)

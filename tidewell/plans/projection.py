@@ -8,7 +8,7 @@ sparse tables keyed by pixel; an absent pixel is zero.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, cos, log2, pi, sin, sqrt
+from math import ceil, cos, log2, pi, radians, sin, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +49,51 @@ class Geometry:
         return q
 
 
+    @classmethod
+    def from_header(cls, header: str | dict, tile: tuple[int, int] | None = None) -> Geometry:
+        """From FITS cards (text of 80-character cards or lines, or a dict); degrees become radians.
+
+        Longitude may be either axis.  The native pole must stand where it stands
+        by default, as the rotations here have no other; else ValueError.
+        """
+        cards = header if isinstance(header, dict) else read_cards(header)
+        kinds = [str(cards[f"CTYPE{k}"]).strip() for k in (1, 2)]
+        system = kinds[0][-3:]
+        if kinds[1][-3:] != system or system not in ("CAR", "CEA", "TAN", "SIN", "ARC", "ZEA"):
+            raise ValueError(f"no such system: {kinds[0]}, {kinds[1]}")
+        lat = [k for k, v in enumerate(kinds, 1) if v.startswith(("DEC", "GLAT", "ELAT"))]
+        if len(lat) != 1:
+            raise ValueError("one axis must be latitude")
+        lat = lat[0]
+        lon = 3 - lat
+        get = lambda name, k, v=0.0: float(cards.get(f"{name}{k}", v))
+        lon0, lat0 = get("CRVAL", lon), get("CRVAL", lat)
+        cylinder = system in ("CAR", "CEA")
+        usual = {180.0} if not cylinder else {180.0} if lat0 > 0 else {0.0} if lat0 < 0 else {0.0, 180.0}
+        default = 0.0 if cylinder and lat0 >= 0 or not cylinder and lat0 >= 90 else 180.0
+        if float(cards.get("LONPOLE", 0.0 if cylinder and not lat0 else default)) not in usual:
+            raise ValueError("the native pole is turned")
+        pixels = sky.FlatPixels(int(cards[f"NAXIS{lat}"]), int(cards[f"NAXIS{lon}"]), radians(get("CDELT", lat, 1.0)), radians(get("CDELT", lon, 1.0)), get("CRPIX", lat), get("CRPIX", lon))
+        return cls(system, radians(lon0), radians(lat0), pixels, tile)
+
+
+def read_cards(text: str) -> dict:
+    """Values of FITS cards by keyword: quoted text, numbers (also with D exponents) and logical values; comments are left out."""
+    lines = text.splitlines() if "\n" in text else [text[k : k + 80] for k in range(0, len(text), 80)]
+    out = {}
+    for line in lines:
+        key, mark, rest = line.partition("=")
+        if not mark or not key.strip() or len(key) > 8:
+            continue
+        rest = rest.strip()
+        if rest.startswith("'"):
+            out[key.strip()] = rest[1:].replace("''", "\0").partition("'")[0].replace("\0", "'").rstrip()
+            continue
+        value = rest.partition("/")[0].strip()
+        out[key.strip()] = value == "T" if value in ("T", "F") else float(value.replace("D", "E").replace("d", "e")) if value else None
+    return out
+
+
 KEY = ["iy", "ix"]
 #: A flat map up to this size may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -210,6 +255,29 @@ def restricted(pointed: DataFrame, keep: DataFrame) -> DataFrame:
     return pointed.join(ranges.flagged_samples(keep, ["det"]), ["det", "samp"], "left_semi")
 
 
+def promoted(ranges_: DataFrame | None, dets: DataFrame) -> DataFrame:
+    """bunch, domain, det, s, e from ranges with one, two or three of those levels (dets: det, n); None is everything.
+
+    Bunches are worked one after the other and the domains of a bunch side by side;
+    a level that is missing has the one number 0.  A detector that is not there, or
+    a range beyond its samples, is a ValueError.
+    """
+    if ranges_ is None:
+        ranges_ = dets.select("det", F.lit(0).alias("s"), F.col("n").alias("e"))
+    for level in ("domain", "bunch"):
+        if level not in ranges_.columns:
+            ranges_ = ranges_.withColumn(level, F.lit(0))
+    out = ranges_.select("bunch", "domain", "det", "s", "e").where("s < e")
+    if not out.join(dets.select("det", "n"), "det", "left").where("n is null or s < 0 or e > n").limit(1).isEmpty():
+        raise ValueError("ranges do not agree with the detectors' samples")
+    return out
+
+
+def bunched(pointed: DataFrame, nested: DataFrame) -> DataFrame:
+    """Pointed samples with the bunch and domain that they are worked in; a sample in several of them comes once for each."""
+    return pointed.join(ranges.flagged_samples(nested, ["bunch", "domain", "det"]), ["det", "samp"])
+
+
 def components_of(maps: int) -> str:
     """Components of a map with so many planes."""
     names = {len(v): k for k, v in sky.COMPONENTS.items()}

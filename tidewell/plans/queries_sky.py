@@ -351,3 +351,36 @@ def domdir_bins(spark, sf):
 def threads_healpix(spark, sf):
     p = projection.healpix_pointing(assembly(spark, sf), 16, "T")
     return out(projection.assign_threads(p, "simple", 4, nside=16).select("det", "domain", "s", "e"))
+
+
+@query(
+    f"""with p as ({_healpix_sql(16, False)}), y as (select event_id samp, value from events), m as (select pix // 64 tile, (pix % 64)::bigint inner_pix, count(*) hits, sum(y.value + p.det) t from p join y using (samp) group by 1, 2),
+a as (select distinct tile from m where tile % 2 = 0)
+select z.tile, i::bigint inner_pix, (z.tile * 64 + i)::bigint pix, coalesce(hits, 0)::bigint hits, round(coalesce(t, 0), 5) + 0.0 t from (select tile, unnest(range(64)) i from a) z left join m on m.tile = z.tile and inner_pix = i"""
+)
+def healpix_tile_blocks(spark, sf):
+    """A tiled map stored as dense tiles; every second tile is read and laid out again."""
+    from ..streaming.live import shared_folder
+    from . import tiles
+
+    p = projection.healpix_pointing(valued(spark, sf), 16, "T", nside_tile=2)
+    m = p.groupBy("tile", F.pmod("pix", F.lit(64)).alias("inner")).agg(F.count("*").alias("hits"), F.sum(F.col("signal") * F.col("fT")).alias("T"))
+    path = f"{shared_folder(spark)}/tiles"
+    tiles.save(tiles.dense(m, 64, ["hits", "T"]), path)
+    got = tiles.untile(tiles.load(spark, path, list(range(0, 48, 2))), ["hits", "T"], 64)
+    return out(got.select("tile", F.col("inner").alias("inner_pix"), "pix", F.col("hits").cast("long").alias("hits"), rounded("T", 5).alias("t")))
+
+
+@query(f"with {NEAR}, b as (select case when samp % 100 < 40 then 0 else 1 end bunch, det domain, * from pt where samp % 100 < 40 or samp % 100 >= 60) select bunch::bigint bunch, domain::bigint as domain, iy, ix, count(*)::bigint hits, round(sum(sig), 5) + 0.0 t from b group by 1, 2, 3, 4")
+def map_bunches(spark, sf):
+    """A map of two bunches of samples, with a domain for each detector."""
+    asm = valued(spark, sf)
+    hundreds = asm.select("det", (F.floor(F.col("samp") / 100) * 100).alias("at")).distinct()
+    dets = asm.groupBy("det").agg((F.max("samp") + 100).alias("n"))
+    nested = None
+    for bunch, (a, z) in enumerate(((0, 40), (60, 100))):
+        part = hundreds.select(F.lit(bunch).alias("bunch"), F.col("det").alias("domain"), "det", (F.col("at") + a).alias("s"), (F.col("at") + z).alias("e"))
+        nested = part if nested is None else nested.unionByName(part)
+    p = projection.bunched(projection.pointing(asm, CAR, "T"), projection.promoted(nested, dets))
+    m = p.groupBy("bunch", "domain", "iy", "ix").agg(F.count("*").alias("hits"), F.sum("signal").alias("t"))
+    return out(m.select("bunch", "domain", "iy", "ix", "hits", rounded("t", 5).alias("t")))
