@@ -1,8 +1,9 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR: tables (default /root/testdata/sf0.1); BENCH_CPUS: threads (default 8).
-Every query is written to Spark's noop sink, once to warm up and twice on the
-clock; the mean of both counts.
+Every query is written to Spark's noop sink, once to warm up and five times on the
+clock; the median counts, and `spread` is the distance of the fastest and slowest run.
+`calibration` is a fixed sort beside them, to tell a slow machine from slow code.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import time
-from statistics import mean
+from statistics import median
 
 from pyspark.sql import SparkSession
 
@@ -56,15 +57,21 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    took = {}
-    for name in HEADLINE:
+
+    def timed(make) -> list[float]:
         times = []
-        for _ in range(3):
+        for _ in range(6):
             began = time.time()
-            catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            make().write.format("noop").mode("overwrite").save()
             times.append(time.time() - began)
-        took[name] = round(mean(times[1:]), 3)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
+        return times[1:]
+
+    took, spread = {}, {}
+    calibration = timed(lambda: spark.range(2_000_000).selectExpr("id", "xxhash64(id) h").sort("h"))
+    for name in HEADLINE:
+        times = timed(lambda: catalog.QUERIES[name](spark, sf_dir))
+        took[name], spread[name] = round(median(times), 3), round(max(times) - min(times), 3)
+    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir).removeprefix("sf"), "spread": spread, "calibration": round(median(calibration), 3)}))
 
 
 if __name__ == "__main__":
