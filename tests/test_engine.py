@@ -431,22 +431,13 @@ def test_interpolation_takes_linear_time(spark):
 
 
 def test_sequential_walks_pass_batch_after_batch(spark):
-    from tidewell.operators import ordered
-
-    rows = spark.range(30_000).select((F.col("id") % 2).alias("det"), F.floor(F.col("id") / 2).cast("int").alias("samp"), F.lit(1).cast("long").alias("y"))
-
-    def start():
-        total = 0
-
-        def step(y):
-            nonlocal total
-            total += y
-            return (total,)
-
-        return step
-
-    got = ordered.walked(rows, "y", start, "det long, samp int, z long")
-    assert got.where("z <> samp + 1").isEmpty() and got.count() == 30_000
+    """The filter's delays live on from Arrow batch to Arrow batch."""
+    rows = spark.range(30_000).select((F.col("id") % 2).alias("det"), F.floor(F.col("id") / 2).cast("int").alias("samp"), (F.col("id") % 977 * 1000).alias("y"))
+    stages = [iir.Biquad(32092, 15750, 14, 3, 5)]
+    got = iir.filtered(rows, stages).orderBy("det", "samp").toPandas()
+    for det in (0, 1):
+        want = iir.Bank(stages).apply([(2 * k + det) % 977 * 1000 for k in range(15_000)])
+        assert got[got.det == det].z.tolist() == want
 
 
 def test_every_row_with_every_row_in_runs(spark):
