@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import conversation, line_dedup, periodic
+from tidewell.llm import conversation, langid, line_dedup, periodic, subword
 
 from test_ops import documents, messy, prose
 
@@ -301,3 +302,58 @@ def test_earley_chart():
             column, _ = conversation.joined(column, {s: conversation.parsed(rows[at:stop], s) for s in conversation.KERNEL})
             at = stop
         assert not rows or conversation.least(column)[0] == want
+
+
+# ---- language identification ----
+
+
+def spoken(n, seed=6):
+    rng = random.Random(seed)
+    tongues = {"aa": "abcdeq", "bb": "defghq", "cc": "xyzqab"}
+    return [(i, " ".join("".join(rng.choice(tongues[name]) for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(3, 40))), name) for i, name in ((i, sorted(tongues)[i % 3]) for i in range(n))]
+
+
+def test_language_scores_like_a_plain_loop():
+    """Classes and calibrated scores of whole texts against means taken n-gram by n-gram."""
+    rows = spoken(300)
+    model = langid.fit([(t.encode(), name) for _, t, name in rows])
+    texts = [t for _, t, _ in rows[:20]] + ["", "q", "12 x", "Zyx " * 300, None]
+
+    def grams(word):
+        padded = b"\0" + word.encode() + b"\0"
+        for n in subword.ORDERS:
+            for k in range(len(padded) - n + 1):
+                h = (int.from_bytes(padded[k : k + n], "big") + n) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+                yield h >> 64 - subword.BITS
+
+    got = langid.predict_texts(model, pa.array(texts))
+    for text, name, score in zip(texts, *got):
+        found = [g for w in re.findall(r"[0-9a-z]+", (text or "").lower()) for g in grams(w)]
+        logit = np.array([sum(float(model.table[g, k]) for g in found) / max(len(found), 1) + float(model.bias[k]) for k in range(len(model.classes))])
+        p = np.exp((logit - logit.max()) * model.scale)
+        p /= p.sum()
+        if re.search("[A-Za-z]", text or ""):
+            assert name == model.classes[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-3)
+        else:
+            assert (name, score) == ("und", 0.0)
+
+
+def test_language_columns(spark):
+    """held_out is the checksum's, scores lie in 0 to 1, and what is accepted stands at the fitted level or above."""
+    rows = spoken(600)
+    docs = spark.createDataFrame([*rows, (700, None, "aa"), (701, "qq q", None), (None, "xyz", "cc")], "doc_id long, text string, lang string").withColumns({"held_out": F.lit(7), "accepted": F.lit(8)})
+    model = langid.train_model(docs)
+    assert model.scale > 0 and 0 <= model.floor <= 1
+    got = langid.language(docs).collect()
+    assert len(got) == 603
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["lang_pred"] in ("aa", "bb", "cc", "und")
+    told = langid.identify(docs, model).collect()
+    assert all(r["accepted"] == (r["lang_pred"] != "und" and r["score"] >= model.floor) for r in told)
+    # held-out scores mean what they say: the mean score is near the share that is right
+    name = {i: n for i, _, n in rows}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in name]
+    right = np.mean([r["lang_pred"] == name[r["doc_id"]] for r in held])
+    assert right > 0.95 and abs(np.mean([r["score"] for r in held]) - right) < 0.1
