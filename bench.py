@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR: tables (default /root/testdata/sf0.1); BENCH_CPUS: threads (default 8).
-Every query is written to Spark's noop sink, once to warm up and five times on the
+Every query is written to Spark's noop sink, once to warm up and three times on the
 clock; the median counts, and `spread` is the distance of the fastest and slowest run.
 `calibration` is a fixed sort beside them, to tell a slow machine from slow code.
 """
@@ -60,7 +60,7 @@ def main() -> None:
 
     def timed(make) -> list[float]:
         times = []
-        for _ in range(6):
+        for _ in range(4):
             began = time.time()
             make().write.format("noop").mode("overwrite").save()
             times.append(time.time() - began)
