@@ -14,7 +14,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, decontam, langid, license_scan, neardup, public_paths, subword, suffix_dedup, topk, toxicity, url_filter, warc
+from tidewell.llm import bpe, deal, decontam, langid, license_scan, neardup, public_paths, subword, suffix_dedup, topk, toxicity, url_filter, warc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Columns whose names clash with those the operators make.
@@ -448,14 +448,56 @@ def repeated_texts():
     return rows + [(60, shared), (61, "é" * 90 + shared[:120]), (62, "é" * 90), (None, shared), (None, shared), (63, "ab" * 200), (64, "b" + "ab" * 60)]
 
 
-@pytest.mark.parametrize("hot", [2, suffix_dedup.HOT])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize("hot, fan", [(2, deal.FAN), (suffix_dedup.HOT, deal.FAN), (2, 2), (suffix_dedup.HOT, 3)])
+def test_suffix_dedup(spark, hot, fan):
     rows = repeated_texts()
-    got = suffix_dedup.repeats(documents(spark, rows), hot=hot).collect()
+    got = suffix_dedup.repeats(documents(spark, rows), hot=hot, fan=fan).collect()
     made = sorted(repr((r["doc_id"], r["n_bytes"], [(s["start"], s["stop"]) for s in r["spans"]], bytes(r["kept"]))) for r in got)
     assert made == sorted(map(repr, removed(rows)))
 
 
+def test_packets_grow_with_the_places():
+    # everybody has something for everybody
+    for width, hops in [(5, 2), (16, 2), (64, 3), (256, 4), (200, 4)]:
+        route = deal.Route(width, 4)
+        at = {here: {(here, goal) for goal in range(width)} for here in range(width)}
+        for hop in range(route.hops):
+            after = {}
+            for here, things in at.items():
+                goal = np.array([g for _, g in things])
+                sent = list(deal.picks(route.toward(here, goal, hop)))
+                assert len(sent) <= 4
+                for place, pick in sent:
+                    after.setdefault(place, set()).update(list(things)[k] for k in pick)
+            at = after
+        assert route.hops == hops and all(at[g] == {(s, g) for s in range(width)} for g in range(width))
+    route = deal.Route(64, 4)  # from any place, not only from one's own
+    for here in range(64):
+        place = here
+        for hop in range(route.hops):
+            place = int(route.toward(place, np.array([37]), hop)[0])
+        assert place == 37
+    assert list(deal.picks(np.zeros(0, np.int64))) == []
+
+
+def test_a_frequent_window_is_sent_on_once():
+    rng, route = np.random.default_rng(9), deal.Route(16, 4)
+    window = rng.integers(97, 123, 100).astype(np.uint8)
+    other = rng.integers(97, 123, 100).astype(np.uint8)
+    key = suffix_dedup.mix(suffix_dedup.rolling(np.concatenate((window, other)), 100, suffix_dedup._B1)[[0, 100]])
+    blobs = []
+    for part in range(4):
+        columns = {"part": np.full(2, part), "doc": np.array([50 - part, 7]), "row": np.zeros(2), "place": np.array([3, 4 + part]), "hash": key, "text": np.concatenate((window, other))}
+        blobs += [r["blob"] for r in suffix_dedup._packets(suffix_dedup.SINGLES, columns, np.zeros(2, np.int64))]
+    table = pa.table({"kind": pa.array([suffix_dedup.SINGLES] * 4, pa.int32()), "place": pa.array([5] * 4, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+    sent = suffix_dedup._relay(route, 1, False)((pa.scalar(suffix_dedup.SINGLES), pa.scalar(5)), table).to_pylist()
+    went = [suffix_dedup._merged(suffix_dedup.SINGLES, [r["blob"]]) for r in sent if r["kind"] == suffix_dedup.SINGLES]
+    assert sorted((d, p) for w in went for d, p in zip(w["doc"].tolist(), w["part"].tolist())) == [(7, 0), (47, 3)]
+    stay = [r for r in sent if r["kind"] == suffix_dedup.RANGES]
+    found = suffix_dedup._merged(suffix_dedup.RANGES, [r["blob"] for r in stay])
+    assert {r["place"] for r in stay} == {5} and sorted(zip(found["part"].tolist(), found["first"].tolist())) == [(0, 3), (1, 3), (1, 5), (2, 3), (2, 6), (3, 7)]
+
+
 def test_texts_without_repeats(spark):
     rows = repeated_texts()
     docs = documents(spark, rows)
@@ -472,7 +514,7 @@ def test_texts_without_repeats(spark):
 
 
 def test_windows_of_hot_anchors_take_little_memory():
-    rng, shards = np.random.default_rng(5), 4
+    rng, route = np.random.default_rng(5), deal.Route(4)
     texts = [rng.integers(97, 123, 300_000).astype(np.uint8) for _ in range(5)]  # two runs of a megabyte
     texts[4][:100_000] = texts[0][:100_000]
     packer = zstandard.ZstdCompressor(level=1)
@@ -480,30 +522,31 @@ def test_windows_of_hot_anchors_take_little_memory():
     known = np.unique(np.concatenate([suffix_dedup.anchors(t, np.array([0]), np.array([len(t)]))[0] for t in texts]))
     hot = (np.arange(len(known)) % 6 == 0).astype(np.uint8)
     side = [{"part": 7, "kind": 0, "owner": r["doc_id"], "mark": r["digest"], "blob": None} for r in rows]
-    side.append({"part": 7, "kind": 1, "owner": None, "mark": None, "blob": suffix_dedup._blob(known, hot)})
+    side.append({"part": 7, "kind": 1, "owner": None, "mark": None, "blob": suffix_dedup._blob(np.full(len(known), 7), known, hot)})
     left, right = pa.Table.from_pylist(rows), pa.Table.from_pylist(side, schema=suffix_dedup._SIDE_PA)
     tracemalloc.start()
-    sent = suffix_dedup._window_step(shards)((pa.scalar(7),), left, right).to_pylist()
+    sent = suffix_dedup._window_step(route)((pa.scalar(7),), left, right).to_pylist()
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     windows, covered = {}, np.zeros((5, 300_000), int)
     for r in sent:
-        if r["shard"] < 0:
-            row, first, last = suffix_dedup._unblob(r["blob"], np.int32, np.int32, np.int32)
+        got = suffix_dedup._merged(r["kind"], [r["blob"]])
+        assert (got["part"] == 7).all()
+        if r["kind"] == suffix_dedup.RANGES:
+            row, first, last = got["row"], got["first"], got["last"]
             assert all(texts[4][p : p + 100].tobytes() == texts[0][p : p + 100].tobytes() for p in first.tolist())
-            assert set(row.tolist()) == {4} and (first == last).all()
+            assert set(row.tolist()) == {4} and (first == last).all() and r["place"] == 7
             np.add.at(covered, (row, first), 1)
-        elif r["shard"] >= shards:
-            doc, row, place, window = suffix_dedup._unblob(r["blob"], np.int64, np.int32, np.int32, np.uint8)
-            assert (doc == row).all()
-            for k, p, w in zip(row.tolist(), place.tolist(), window.reshape(-1, 100)):
-                assert w.tobytes() == texts[k][p : p + 100].tobytes() and windows.setdefault(w.tobytes(), r["shard"]) == r["shard"]
+        elif r["kind"] == suffix_dedup.SINGLES:
+            row, place = got["row"], got["place"]
+            assert (got["doc"] == row).all()
+            for k, p, w in zip(row.tolist(), place.tolist(), got["text"].reshape(-1, 100)):
+                assert w.tobytes() == texts[k][p : p + 100].tobytes() and windows.setdefault(w.tobytes(), r["place"]) == r["place"]
             np.add.at(covered, (row, place), 1)
         else:
-            doc, row, first, last, ref, size, _, body = suffix_dedup._unblob(r["blob"], np.int64, *(np.int32,) * 5, np.uint64, np.uint8)
-            end = np.cumsum(size)
-            for k, a, z, i in zip(row.tolist(), first.tolist(), last.tolist(), ref.tolist()):
-                assert body[end[i] - size[i] : end[i]].tobytes() == texts[k][a : z + 100].tobytes()
+            end, size = np.cumsum(got["size"]), got["size"]
+            for k, a, z, i in zip(*(got[c].tolist() for c in ("row", "first", "last", "ref"))):
+                assert got["text"][end[i] - size[i] : end[i]].tobytes() == texts[k][a : z + 100].tobytes()
                 covered[k, a : z + 1] += 1
     assert (covered[:, : 300_000 - 99] == 1).all() and len(windows) > 100_000
     assert peak < 10 * 100 * len(windows)  # a window has 100 bytes

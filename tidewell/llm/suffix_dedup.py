@@ -13,7 +13,9 @@ for matches of full length, and is then added as a level; levels of equal size
 merge geometrically.  Windows of an anchor that occurs more than ``HOT`` times
 are dealt to shards one by one, by a hash of all their bytes, and each different
 one is sent once by every part; they go through the same families, so the answer
-is exact and no shard gathers a frequent passage.
+is exact and no shard gathers a frequent passage.  What parts and shards send to
+each other goes in hops (``deal``), so packets grow with the input, not with its
+square; equal windows that meet on the way are sent on once.
 
 Order: doc_id, nulls last, then the text's digest.  Of identical texts only the
 first is searched; a later copy of MATCH bytes or more goes whole.  Rows that
@@ -36,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .deal import FAN, Route, picks
 from .lineage import bounded_batches, cut
 from .textbuf import frugal, frugal_cogroup, frugal_group, mix, raw_texts, text_slices
 
 MATCH, GRAM = 100, 24
 HOT = 4096
 BATCH, SCAN = 1 << 16, 1 << 14
-_POS_BITS = 28
+_POS_BITS = 31  # no string is longer
 _LAST = (1 << 63) - 1
 _RAND = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _B1 = 0x5851F42D4C957F2D
@@ -221,10 +224,97 @@ def _unblob(blob: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(data, k, int(s) // np.dtype(k).itemsize, int(a)) for k, s, a in zip(kinds, size, at)]
 
 
-_SIDE = "part long, kind int, owner long, mark binary, blob binary"
 _SIDE_PA = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("owner", pa.int64()), ("mark", pa.binary()), ("blob", pa.binary())])
-_SHARD = "shard long, part long, blob binary"
-_SHARD_PA = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())])
+_PACKET = "kind int, place long, blob binary"
+_PACKET_PA = pa.schema([("kind", pa.int32()), ("place", pa.int64()), ("blob", pa.binary())])
+FIRSTS, KNOWN, RANGES, ANCHORS, STRETCHES, SINGLES = range(6)
+#: What packets hold; the columns after a stretch's reference have one entry for each different stretch.
+_COLUMNS = {
+    KNOWN: {"part": np.int64, "hash": np.uint64, "hot": np.uint8},
+    RANGES: {"part": np.int64, "row": np.int32, "first": np.int32, "last": np.int32},
+    ANCHORS: {"part": np.int64, "hash": np.uint64, "times": np.uint16},
+    STRETCHES: {"part": np.int64, "doc": np.int64, "row": np.int32, "first": np.int32, "last": np.int32, "ref": np.int32, "size": np.int32, "hash": np.uint64, "text": np.uint8},
+    SINGLES: {"part": np.int64, "doc": np.int64, "row": np.int32, "place": np.int32, "hash": np.uint64, "text": np.uint8},
+}
+
+
+def _merged(kind: int, blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """The columns of packets of one kind, one after the other."""
+    names = list(_COLUMNS[kind])
+    got = [dict(zip(names, _unblob(b, *_COLUMNS[kind].values()))) for b in blobs]
+    if kind == STRETCHES:
+        base = np.cumsum([0] + [len(g["size"]) for g in got])
+        for g, b in zip(got, base.tolist()):
+            g["ref"] = g["ref"] + np.int32(b)
+    return {c: np.concatenate([np.zeros(0, k), *[g[c] for g in got]]) for c, k in _COLUMNS[kind].items()}
+
+
+def _goal(kind: int, columns: dict[str, np.ndarray], route: Route) -> np.ndarray:
+    if kind in (KNOWN, RANGES):
+        return columns["part"]
+    goal = route.goal(columns["hash"])
+    return goal[columns["ref"]] if kind == STRETCHES else goal
+
+
+def _packets(kind: int, columns: dict[str, np.ndarray], to: np.ndarray) -> list[dict]:
+    """One packet for each place in `to`."""
+    rows = []
+    if kind == STRETCHES:
+        size = columns["size"].astype(np.int64)
+        begin = np.cumsum(size) - size
+    for place, at in picks(to):
+        if kind == STRETCHES:
+            lead, ref = np.unique(columns["ref"][at], return_inverse=True)
+            shift = np.cumsum(size[lead]) - size[lead]
+            take = np.repeat(begin[lead] - shift, size[lead]) + np.arange(int(size[lead].sum()))
+            own = [*[columns[c][at] for c in ("part", "doc", "row", "first", "last")], ref, columns["size"][lead], columns["hash"][lead], columns["text"][take]]
+        elif kind == SINGLES:
+            own = [*[columns[c][at] for c in ("part", "doc", "row", "place", "hash")], columns["text"].reshape(-1, MATCH)[at]]
+        else:
+            own = [c[at] for c in columns.values()]
+        rows.append({"kind": kind, "place": place, "blob": _blob(*[a.astype(k, copy=False) for a, k in zip(own, _COLUMNS[kind].values())])})
+    return rows
+
+
+def _in_order(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Single windows in text order."""
+    order = np.lexsort((columns["place"], columns["row"], columns["part"], columns["doc"]))
+    return {c: (v.reshape(-1, MATCH)[order].reshape(-1) if c == "text" else v[order]) for c, v in columns.items()}
+
+
+def _starts(columns: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+    place = columns["place"][at]
+    return {"part": columns["part"][at], "row": columns["row"][at], "first": place, "last": place}
+
+
+def _relay(route: Route, hop: int, back: bool):
+    """What stands at a place, one hop nearer to its goal; ranges that are found on the way wait for the way back."""
+
+    def run(key, table):
+        kind, here = (k.as_py() for k in key)
+        if kind == RANGES and not back:
+            return table.select(_PACKET_PA.names)
+        columns, rows = _merged(kind, table.column("blob").to_pylist()), []
+        if kind == SINGLES:
+            # of equal windows only the first goes on, so a frequent one does not pile up at its shard
+            columns = _in_order(columns)
+            lead, _ = _leaders(columns["text"], np.arange(len(columns["place"])) * MATCH, columns["hash"])
+            again = np.ones(len(columns["place"]), bool)
+            again[lead] = False
+            found = _starts(columns, np.flatnonzero(again))
+            rows = _packets(RANGES, found, np.full(len(found["part"]), here))
+            columns = {c: (v.reshape(-1, MATCH)[lead].reshape(-1) if c == "text" else v[lead]) for c, v in columns.items()}
+        rows += _packets(kind, columns, route.toward(here, _goal(kind, columns, route), hop))
+        return pa.Table.from_pylist(rows, schema=_PACKET_PA)
+
+    return run
+
+
+def _sent(packets: DataFrame, route: Route, back: bool = False) -> DataFrame:
+    """Packets after all hops but the first, which the sender has made."""
+    for hop in range(1, route.hops):
+        packets = packets.groupBy("kind", "place").applyInArrow(frugal_group(_relay(route, hop, back)), _PACKET)
+    return packets
 
 
 def _of_kind(table: pa.Table, kind: int) -> pa.Table:
@@ -233,60 +323,43 @@ def _of_kind(table: pa.Table, kind: int) -> pa.Table:
     return table.filter(pa.compute.equal(table.column("kind"), kind))
 
 
-def _anchor_step(shards: int):
+def _anchor_step(route: Route):
     """Distinct anchors of a part, and how often each occurs there, dealt to shards."""
 
     def run(key, left, right):
-        found = [anchors(data, b, e)[0] for _, data, b, e in _runs(_open(left, _of_kind(right, 0)))]
-        hashed = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        hashed, times = np.unique(hashed, return_counts=True)
-        shard = (hashed % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        bound = np.searchsorted(shard[order], np.arange(shards + 1))
-        rows = [
-            {"shard": s, "part": key[0].as_py(), "blob": _blob(hashed[order[a:z]], np.minimum(times[order[a:z]], 1 << 15).astype(np.uint16))}
-            for s, (a, z) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist()))
-            if z > a
-        ]
-        return pa.Table.from_pylist(rows, schema=_SHARD_PA)
+        me = key[0].as_py()
+        found = [anchors(data, b, e)[0] for _, data, b, e in _runs(_open(left, _of_kind(right, FIRSTS)))]
+        hashed, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        columns = {"part": np.full(len(hashed), me), "hash": hashed, "times": np.minimum(times, 1 << 15)}
+        return pa.Table.from_pylist(_packets(ANCHORS, columns, route.toward(me, route.goal(hashed), 0)), schema=_PACKET_PA)
 
     return run
 
 
-def _repeated_step(often: int):
+def _repeated_step(route: Route, often: int):
     """For every part, which of its anchors occur twice or more in the corpus, and which more than `often` times."""
 
     def run(key, table):
-        parts = table.column("part").to_pylist()
-        got = [_unblob(b, np.uint64, np.uint16) for b in table.column("blob").to_pylist()]
-        hashed = np.concatenate([g[0] for g in got])
-        times = np.concatenate([g[1] for g in got]).astype(np.int64)
-        owner = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-        value, place = np.unique(hashed, return_inverse=True)
-        total = np.bincount(place, times, len(value))[place]
-        rows = []
+        columns = _merged(ANCHORS, table.column("blob").to_pylist())
+        value, place = np.unique(columns["hash"], return_inverse=True)
+        total = np.bincount(place, columns["times"], len(value))[place]
         again = np.flatnonzero(total > 1)
-        bound = np.searchsorted(owner[again], np.arange(len(got) + 1))
-        for k, (a, z) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist())):
-            if z > a:
-                at = again[a:z]
-                rows.append({"part": parts[k], "kind": 1, "blob": _blob(hashed[at], (total[at] > often).astype(np.uint8))})
-        return pa.Table.from_pylist(rows, schema=_SIDE_PA)
+        columns = {"part": columns["part"][again], "hash": columns["hash"][again], "hot": total[again] > often}
+        return pa.Table.from_pylist(_packets(KNOWN, columns, route.toward(key[1].as_py(), columns["part"], 0)), schema=_PACKET_PA)
 
     return run
 
 
-def _window_step(shards: int):
+def _window_step(route: Route):
     """Windows of a part's repeated anchors, dealt to shards; equal stretches are sent once."""
 
     def run(key, left, right):
-        side = [_unblob(b, np.uint64, np.uint8) for b in _of_kind(right, 1).column("blob").to_pylist()]
-        if not side:
-            return pa.Table.from_pylist([], schema=_SHARD_PA)
-        known = np.concatenate([s[0] for s in side])
-        order = np.argsort(known)
-        known, hot = known[order], np.concatenate([s[1] for s in side])[order]
-        texts = _open(left, _of_kind(right, 0))
+        side = _merged(KNOWN, _of_kind(right, KNOWN).column("blob").to_pylist())
+        if not len(side["hash"]):
+            return _PACKET_PA.empty_table()
+        order = np.argsort(side["hash"])
+        known, hot = side["hash"][order], side["hot"][order]
+        texts = _open(left, _of_kind(right, FIRSTS))
         data = b"".join(t[2] for t in texts)
         whole, done = np.frombuffer(data, np.uint8), 0
         # stretches and windows are kept as places in `whole`; their bytes are taken shard by shard
@@ -322,17 +395,13 @@ def _window_step(shards: int):
             hashed, doc, row, first, last, begin = (np.concatenate(x) for x in zip(*cold))
             del cold
             size = last - first + MATCH
-            shard = (hashed % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            bound = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s, (a, z) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist())):
-                if z > a:
-                    at = order[a:z]
-                    # equal stretches have one anchor and so one shard; they are sent once, and referred to
-                    seen: dict[bytes, int] = {}
-                    place = np.array([seen.setdefault(data[i : i + n], len(seen)) for i, n in zip(begin[at].tolist(), size[at].tolist())], np.int32)
-                    lead = at[np.unique(place, return_index=True)[1]]
-                    rows.append({"shard": s, "part": me, "blob": _blob(doc[at], row[at], first[at], last[at], place, size[lead].astype(np.int32), hashed[lead], np.frombuffer(b"".join(seen), np.uint8))})
+            for place, at in picks(route.toward(me, route.goal(hashed), 0)):
+                # equal stretches have one anchor and so one shard; they are sent once, and referred to
+                seen: dict[bytes, int] = {}
+                ref = np.array([seen.setdefault(data[i : i + n], len(seen)) for i, n in zip(begin[at].tolist(), size[at].tolist())], np.int32)
+                lead = at[np.unique(ref, return_index=True)[1]]
+                blob = _blob(np.full(len(at), me, np.int64), doc[at], row[at], first[at], last[at], ref, size[lead].astype(np.int32), hashed[lead], np.frombuffer(b"".join(seen), np.uint8))
+                rows.append({"kind": STRETCHES, "place": place, "blob": blob})
         if marks:
             key_of, doc, rank, place, begin = (np.concatenate(x) for x in zip(*marks))
             del marks
@@ -340,77 +409,50 @@ def _window_step(shards: int):
             follow = np.flatnonzero(same != np.arange(len(begin)))
             later.append((rank[follow], place[follow]))
             row, at = (np.concatenate(x) for x in zip(*later))
-            if len(row):
-                rows.append({"shard": -1 - me % shards, "part": me, "blob": _blob(row, at, at)})
-            shard = (key_of[lead] % np.uint64(shards)).astype(np.int64)
-            order = lead[np.argsort(shard, kind="stable")]
-            bound = np.searchsorted(np.sort(shard), np.arange(shards + 1))
+            rows += _packets(RANGES, {"part": np.full(len(row), me), "row": row, "first": at, "last": at}, np.full(len(row), me))
             view = sliding_window_view(whole, MATCH)
-            for s, (a, z) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist())):
-                if z > a:
-                    pick = order[a:z]
-                    rows.append({"shard": shards + s, "part": me, "blob": _blob(doc[pick], rank[pick], place[pick], view[begin[pick]])})
-        return pa.Table.from_pylist(rows, schema=_SHARD_PA)
+            for goal, at in picks(route.toward(me, route.goal(key_of[lead]), 0)):
+                pick = lead[at]
+                rows.append({"kind": SINGLES, "place": goal, "blob": _blob(np.full(len(pick), me, np.int64), doc[pick], rank[pick], place[pick], key_of[pick], view[begin[pick]])})
+        return pa.Table.from_pylist(rows, schema=_PACKET_PA)
 
     return run
 
 
-def _shard_step(shards: int):
+def _shard_step(route: Route):
     """Which windows of a shard occurred before: ranges of window starts for every part."""
 
     def run(key, table):
-        shard = key[0].as_py()
-        parts, blobs = table.column("part").to_pylist(), table.column("blob").to_pylist()
-        if shard < 0:
-            rows = [{"part": p, "kind": 2, "blob": b} for p, b in zip(parts, blobs)]
-        elif shard >= shards:
-            rows = _windows(parts, blobs)
-        else:
-            rows = _family(parts, blobs)
-        return pa.Table.from_pylist(rows, schema=_SIDE_PA)
+        kind, here = (k.as_py() for k in key)
+        blobs = table.column("blob").to_pylist()
+        columns = _windows(blobs) if kind == SINGLES else _family(blobs) if kind == STRETCHES else _merged(RANGES, blobs)
+        return pa.Table.from_pylist(_packets(RANGES, columns, route.toward(here, columns["part"], 0)), schema=_PACKET_PA)
 
     return run
 
 
-def _ranges(part: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[dict]:
-    order = np.argsort(part, kind="stable")
-    names, bound = np.unique(part[order], return_index=True)
-    bound = np.append(bound, len(part))
-    return [{"part": int(p), "kind": 2, "blob": _blob(row[order[a:z]].astype(np.int32), first[order[a:z]].astype(np.int32), last[order[a:z]].astype(np.int32))} for p, a, z in zip(names.tolist(), bound[:-1].tolist(), bound[1:].tolist())]
-
-
-def _windows(parts: list[int], blobs: list[bytes]) -> list[dict]:
+def _windows(blobs: list[bytes]) -> dict[str, np.ndarray]:
     """Single windows of hot anchors through a family, in text order."""
-    got = [_unblob(b, np.int64, np.int32, np.int32, np.uint8) for b in blobs]
-    doc, row, place, text = (np.concatenate(x) for x in zip(*got))
-    part = np.repeat(parts, [len(g[0]) for g in got])
-    del got
-    window = text.reshape(-1, MATCH)
-    order = np.lexsort((place, row, doc))
-    family, again = Family(), np.zeros(len(order), bool)
-    for at in range(0, len(order), BATCH):
-        batch = order[at : at + BATCH]
-        again[batch] = family.add(np.ascontiguousarray(window[batch]).reshape(-1), np.arange(len(batch)) * MATCH)
-    return _ranges(part[again], row[again], place[again], place[again])
-
-
-def _family(parts: list[int], blobs: list[bytes]) -> list[dict]:
-    got = [_unblob(b, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32, np.uint64, np.uint8) for b in blobs]
-    part = np.repeat(parts, [len(g[0]) for g in got])
-    doc, row, first, last = (np.concatenate([g[k] for g in got]) for k in range(4))
-    base = np.cumsum([0] + [len(g[5]) for g in got])
-    stretch = np.concatenate([g[4] + b for g, b in zip(got, base)])
-    size = np.concatenate([g[5] for g in got]).astype(np.int64)
-    anchor = np.concatenate([g[6] for g in got])
+    columns = _in_order(_merged(SINGLES, blobs))
+    window = columns["text"].reshape(-1, MATCH)
+    family, again = Family(), np.zeros(len(window), bool)
+    for at in range(0, len(window), BATCH):
+        batch = window[at : at + BATCH]
+        again[at : at + BATCH] = family.add(batch.reshape(-1), np.arange(len(batch)) * MATCH)
+    return _starts(columns, np.flatnonzero(again))
+
+
+def _family(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """Stretches of repeated anchors through a family, in text order."""
+    part, doc, row, first, last, stretch, size, anchor, text = _merged(STRETCHES, blobs).values()
+    size = size.astype(np.int64)
     begin = np.cumsum(size) - size
-    data = b"".join([g[7].tobytes() for g in got])
-    text = np.frombuffer(data, np.uint8)
-    del got
+    data = text.tobytes()
     seen: dict[bytes, int] = {}
     same = np.fromiter((seen.setdefault(data[a : a + n], k) for k, (a, n) in enumerate(zip(begin.tolist(), size.tolist()))), np.int64, len(size))
     stretch = same[stretch]
     del seen, data
-    order = np.lexsort((first, row, doc))
+    order = np.lexsort((first, row, part, doc))
     lead = np.zeros(len(order), bool)
     lead[np.unique(stretch[order], return_index=True)[1]] = True
     whole = order[~lead]  # an equal stretch stands earlier
@@ -439,14 +481,13 @@ def _family(parts: list[int], blobs: list[bytes]) -> list[dict]:
         start = first[batch][own[hit]] + step[hit]
         out.append((part[batch][own[hit]], row[batch][own[hit]], start, start))
         at = stop
-    return _ranges(*(np.concatenate(x) for x in zip(*out)))
+    return dict(zip(_COLUMNS[RANGES], (np.concatenate(x) for x in zip(*out))))
 
 
 def _span_step(key, left, right):
     """Removed spans and what is left of every text of a part that is searched, with the carried columns."""
-    texts = _open(left, _of_kind(right, 0))
-    got = [_unblob(b, np.int32, np.int32, np.int32) for b in _of_kind(right, 2).column("blob").to_pylist()]
-    row, first, last = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int32) for k in range(3))
+    texts = _open(left, _of_kind(right, FIRSTS))
+    _, row, first, last = _merged(RANGES, _of_kind(right, RANGES).column("blob").to_pylist()).values()
     order = np.lexsort((first, row))
     row, first, last = row[order], first[order].astype(np.int64), last[order].astype(np.int64) + MATCH
     all_spans, all_kept = [], []
@@ -518,7 +559,7 @@ def _packed(documents: DataFrame, carry: list[T.StructField]) -> DataFrame:
     return long.select("doc_id", "text", *[f.name for f in carry]).mapInArrow(frugal(run), T.StructType([*fields, *[T.StructField(f.name, f.dataType) for f in carry]]))
 
 
-def repeats(documents: DataFrame, carry: list[str] | None = None, copies: bool = True, hot: int = HOT) -> DataFrame:
+def repeats(documents: DataFrame, carry: list[str] | None = None, copies: bool = True, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """doc_id, n_bytes, spans (removed, in bytes), text and kept (bytes) of every row.
 
     Carried columns come back as c0, c1, ...  Without `copies`, rows that go
@@ -536,15 +577,19 @@ def repeats(documents: DataFrame, carry: list[str] | None = None, copies: bool =
     held = _packed(base, fields).withColumn("part", _part(width)).repartition(width, "part").persist(StorageLevel.DISK_ONLY)
     same = held.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("doc_id"))
     firsts = same.select(F.when(F.col("doc_id") < _LAST, F.col("doc_id")).alias("doc_id"), F.col("doc_id").alias("owner"), "digest")
-    firsts = firsts.select(_part(width), F.lit(0).alias("kind"), "owner", F.col("digest").alias("mark"), F.lit(None).cast("binary").alias("blob"))
+    firsts = firsts.select(_part(width), F.lit(FIRSTS).alias("kind"), "owner", F.col("digest").alias("mark"), F.lit(None).cast("binary").alias("blob"))
     firsts = cut(firsts)
     with_side = lambda side: held.groupBy("part").cogroup(side.groupBy("part"))
-    found = with_side(firsts).applyInArrow(frugal_cogroup(_anchor_step(width)), _SHARD)
-    repeated = found.groupBy("shard").applyInArrow(frugal_group(_repeated_step(hot)), _SIDE)
-    windows = with_side(firsts.unionByName(repeated)).applyInArrow(frugal_cogroup(_window_step(width)), _SHARD)
-    ranges = windows.groupBy("shard").applyInArrow(frugal_group(_shard_step(width)), _SIDE)
+    # what comes back to a part
+    side = lambda packets: packets.select(F.col("place").alias("part"), "kind", F.lit(None).cast("long").alias("owner"), F.lit(None).cast("binary").alias("mark"), "blob")
+    at_place = lambda packets, step: packets.groupBy("kind", "place").applyInArrow(frugal_group(step), _PACKET)
+    route = Route(width, fan)
+    found = _sent(with_side(firsts).applyInArrow(frugal_cogroup(_anchor_step(route)), _PACKET), route)
+    repeated = _sent(at_place(found, _repeated_step(route, hot)), route, back=True)
+    windows = _sent(with_side(firsts.unionByName(side(repeated))).applyInArrow(frugal_cogroup(_window_step(route)), _PACKET), route)
+    ranges = _sent(at_place(windows, _shard_step(route)), route, back=True)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", _SPANS), T.StructField("text", T.BinaryType()), T.StructField("kept", T.BinaryType()), *fields])
-    out = with_side(firsts.unionByName(ranges)).applyInArrow(frugal_cogroup(_span_step), schema)
+    out = with_side(firsts.unionByName(side(ranges))).applyInArrow(frugal_cogroup(_span_step), schema)
     carried = [f.name for f in fields]
     none, empty = F.array().cast(_SPANS), F.lit(b"")
     short = base.where(F.octet_length("text") < MATCH)
