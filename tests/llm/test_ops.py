@@ -613,7 +613,8 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs.limit(0)).isEmpty()
 
 
-def test_near_duplicates_of_a_large_group_against_brute_force(spark):
+@pytest.mark.parametrize("fan", [deal.FAN, 2])
+def test_near_duplicates_of_a_large_group_against_brute_force(spark, monkeypatch, fan):
     """Thousands of texts, most of them worn copies of one, at all distances: classes against all pairs."""
     rng = random.Random(21)
     base = prose(rng, 60).split()
@@ -626,7 +627,11 @@ def test_near_duplicates_of_a_large_group_against_brute_force(spark):
     rows += [(2000 + k, " ".join(base[:40] + prose(rng, 30).split())) for k in range(150)]  # one long passage in unlike texts
     rows += [(3000 + k, prose(rng, 60)) for k in range(700)]
     docs = documents(spark, rows)
+    offered, rival_offers = [], neardup.rival_offers
+    monkeypatch.setattr(neardup, "FAN", fan)  # packets of shingles in one hop or several
+    monkeypatch.setattr(neardup, "rival_offers", lambda *args: offered.append(1) or rival_offers(*args))
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert offered
     weights = neardup.sketch(docs)
     ids, times, bound = neardup.shingle_sets(neardup.TextBlock([t.encode() for _, t in rows]))
     weight = weights(ids, times).astype(np.float64)

@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .deal import FAN, Route, picks
 from .lineage import bounded_batches, cut, drop_stored, stored
 from .textbuf import SLICE_BYTES, TextBlock, frugal, frugal_cogroup, frugal_group, mix, raw_texts, shingles, text_slices
 
@@ -288,7 +289,45 @@ def _summed(ids: np.ndarray, comp: np.ndarray, times: np.ndarray) -> tuple[np.nd
     return ids[first], comp[first], np.add.reduceat(times, first) if len(first) else times
 
 
-_COUNTS = "shard long, part long, blob binary"
+_PACKET = "place long, blob binary"
+#: What parts tell of their shingles, and what they are told: see `rival_offers`.
+_COUNT = {"part": np.int64, "id": np.uint64, "total": np.int64, "main": np.int64, "votes": np.int64, "lo": np.int64, "hi": np.int64}
+_TOLD = {"part": np.int64, "id": np.uint64, "total": np.int64, "main": np.int64, "open": np.uint8}
+
+
+def _columns(blobs: list[bytes], kinds: dict) -> list[np.ndarray]:
+    got = [_unblob(b, *kinds.values()) for b in blobs]
+    return [np.concatenate([np.zeros(0, k), *[g[i] for g in got]]) for i, k in enumerate(kinds.values())]
+
+
+def _dealt(columns: list[np.ndarray], to: np.ndarray) -> pa.Table:
+    """One packet for each place in `to`."""
+    rows = [(place, _blob(*[c[at] for c in columns])) for place, at in picks(to)]
+    return pa.table({"place": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _sent(packets: DataFrame, route: Route, kinds: dict, goal) -> DataFrame:
+    """Packets after all hops but the first, which the sender has made."""
+
+    def relay(hop):
+        def run(key, table):
+            columns = _columns(table.column("blob").to_pylist(), kinds)
+            return _dealt(columns, route.toward(key[0].as_py(), goal(columns), hop))
+
+        return run
+
+    for hop in range(1, route.hops):
+        packets = packets.groupBy("place").applyInArrow(frugal_group(relay(hop)), _PACKET)
+    return packets
+
+
+def _by_most(ids: np.ndarray, comp: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries in order of shingle and class: the shingles, where each begins, the class with most, the smallest on a tie, and how many it has."""
+    value, start = np.unique(ids, return_index=True)
+    rank = np.lexsort((comp, -times, ids))[start]
+    return value, start, comp[rank], times[rank]
+
+
 _TOKENS = "token long, doc long, comp long, total double, most double, main boolean, bands array<long>"
 
 
@@ -300,12 +339,18 @@ def rival_offers(held: DataFrame, texts: DataFrame, weights, threshold: float =
     have must leave enough weight after it in either.  A text offers only shingles
     of two classes or more for which that can be, with the most weight that the
     other text can have.
+
+    A part tells shards one entry for each of its shingles: how many texts have it,
+    the class with most of them, the smallest and the largest class.  A shard adds
+    up and names one main class for all parts, the one with most votes.  Which class
+    that is decides how many texts are held against each other, not which pairs are
+    found.  Shards follow the bytes as parts do, and packets go in hops (``deal``).
     """
     spark = held.sparkSession
     held = held.join(texts.hint("merge"), "doc")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = held.agg(F.sum(F.octet_length("z"))).first()[0] or 0
-    parts = max(width, -(-int(packed) // PART_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(packed) // PART_BYTES))
+    route = Route(parts, FAN)
     held = cut(held.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts))))
 
     def count(key, table):
@@ -315,33 +360,25 @@ def rival_offers(held: DataFrame, texts: DataFrame, weights, threshold: float =
             ids, _, bound = shingle_sets(TextBlock(some))
             got.append(_summed(ids, np.repeat(docs[first : first + len(some)], np.diff(bound)), np.ones(len(ids), np.int64)))
         ids, comp, times = _summed(*(np.concatenate(x) for x in zip(*got)))
-        shard = (ids % np.uint64(width)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[order], np.arange(width + 1))
-        rows = [(k, order[a:z]) for k, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if z > a]
-        return pa.table({"shard": pa.array([k for k, _ in rows], pa.int64()), "part": pa.array([key[0].as_py()] * len(rows), pa.int64()), "blob": pa.array([_blob(ids[o], comp[o], times[o]) for _, o in rows], pa.binary())})
+        value, start, main, votes = _by_most(ids, comp, times)
+        me = key[0].as_py()
+        told = [np.full(len(value), me), value, np.add.reduceat(times, start) if len(start) else times, main, votes, comp[start], comp[np.append(start[1:], len(ids))[: len(start)] - 1]]
+        return _dealt(told, route.toward(me, route.goal(value), 0))
 
     def tell(key, table):
-        got = [_unblob(b, np.uint64, np.int64, np.int64) for b in table.column("blob").to_pylist()]
-        ids, comp, times = _summed(*(np.concatenate(x) for x in zip(*got)))
-        value, start = np.unique(ids, return_index=True)
-        total = np.add.reduceat(times, start)
-        # the class with most of a shingle's texts, the smallest of them on a tie
-        rank = np.lexsort((comp, -times, ids))
-        main = comp[rank[start]]
-        classes = np.diff(np.append(start, len(ids)))
-        rows = []
-        for (mine, _, _), part in zip(got, table.column("part").to_pylist()):
-            mine = np.unique(mine)
-            at = np.searchsorted(value, mine)
-            at = at[total[at] > 1]
-            rows.append((part, _blob(value[at], total[at], main[at], (classes[at] > 1).astype(np.uint8))))
-        return pa.table({"shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "part": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+        part, ids, total, main, votes, lo, hi = _columns(table.column("blob").to_pylist(), _COUNT)
+        value, _, best, _ = _by_most(*_summed(ids, main, votes))
+        order = np.argsort(ids, kind="stable")
+        start = np.searchsorted(ids[order], value)
+        total, lo, hi = np.add.reduceat(total[order], start), np.minimum.reduceat(lo[order], start), np.maximum.reduceat(hi[order], start)
+        at = np.searchsorted(value, ids)
+        again = total[at] > 1
+        part, at = part[again], at[again]
+        return _dealt([part, value[at], total[at], best[at], (lo < hi)[at].astype(np.uint8)], route.toward(key[0].as_py(), part, 0))
 
     def offer(key, left, right):
         w = weights.value
-        got = [_unblob(b, np.uint64, np.int64, np.int64, np.uint8) for b in right.column("blob").to_pylist()] if "blob" in right.column_names else []
-        ids_, many_, main_, open_ = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        _, ids_, many_, main_, open_ = _columns(right.column("blob").to_pylist() if "blob" in right.column_names else [], _TOLD)
         order = np.argsort(ids_)
         ids_, many_, main_, open_ = ids_[order], many_[order], main_[order], open_[order]
         out = []
@@ -375,8 +412,10 @@ def rival_offers(held: DataFrame, texts: DataFrame, weights, threshold: float =
             "bands": mine.column("bands").cast(pa.list_(pa.int64())) if out else pa.array([], pa.list_(pa.int64())),
         })
 
-    counts = held.select("part", "comp", "z").groupBy("part").applyInArrow(frugal_group(count), _COUNTS)
-    told = counts.groupBy("shard").applyInArrow(frugal_group(tell), _COUNTS)
+    counts = held.select("part", "comp", "z").groupBy("part").applyInArrow(frugal_group(count), _PACKET)
+    counts = _sent(counts, route, _COUNT, lambda columns: route.goal(columns[1]))
+    told = counts.groupBy("place").applyInArrow(frugal_group(tell), _PACKET)
+    told = _sent(told, route, _TOLD, lambda columns: columns[0]).withColumnRenamed("place", "part")
     return held.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(frugal_cogroup(offer), _TOKENS)
 
 
