@@ -161,10 +161,11 @@ def hk_session_id(spark, sf):
     f"with {TOD}, p as (select det channel, t, round(y * 100)::bigint counts from tod where t >= {T0 + 86400} and t < {T0 + 2 * 86400}), x as (select distinct t from p), c as (select distinct det channel from tod) select round(x.t, 6) t, c.channel::bigint channel, round(coalesce(counts, 0) * pi() / 32768, 9) + 0.0 phase from x cross join c left join p on p.t = x.t and p.channel = c.channel"
 )
 def det_load(spark, sf):
-    s = tod(spark, sf).select(F.col("det").alias("channel"), "t", F.round(F.col("y") * 100).cast("long").alias("counts"))
+    # times are whole microseconds: rounded once a sample, not once a row of the dense table
+    s = tod(spark, sf).select(F.col("det").alias("channel"), F.round("t", 6).alias("t"), F.round(F.col("y") * 100).cast("long").alias("counts"))
     channels = s.select("channel").distinct()
     got = detector.load(s, channels, T0 + 86400, T0 + 2 * 86400)
-    return out(got.select(F.round("t", 6).alias("t"), "channel", rounded("phase", 9).alias("phase")))
+    return out(got.select("t", "channel", rounded("phase", 9).alias("phase")))
 
 
 @query(

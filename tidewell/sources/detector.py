@@ -13,6 +13,8 @@ from ..operators.runs import each_with
 PHASE = pi / 2**15
 CHANNELS_PER_BAND = 512
 WRAP = float(1 << 32)
+#: Channels that a load lists out at once.
+BLOCK_CHANNELS = 1024
 
 
 def file_index(frames: DataFrame) -> DataFrame:
@@ -33,8 +35,16 @@ def select_scans(frames: DataFrame, start: float, end: float) -> DataFrame:
 def load(samples: DataFrame, channels: DataFrame, start: float, end: float) -> DataFrame:
     """Dense table t, channel, phase of [start, end): channels without a count are 0 (samples: t, channel, counts)."""
     part = samples.where((F.col("t") >= start) & (F.col("t") < end))
-    every = each_with(part.select("t").distinct(), channels.select("channel"), "channel")
-    return every.join(part, ["t", "channel"], "left").select("t", "channel", (F.coalesce("counts", F.lit(0)) * PHASE).alias("phase"))
+    blk = F.pmod(F.xxhash64("channel"), F.lit(-(-channels.count() // BLOCK_CHANNELS) or 1)).alias("blk")
+    # a channel that is listed twice is in two layers, so a block's list names each once
+    listed = channels.select("channel", blk, F.row_number().over(Window.partitionBy("channel").orderBy(F.lit(0))).alias("layer"))
+    blocks = listed.groupBy("blk", "layer").agg(F.collect_list(F.struct("channel"))["channel"].alias("all"))
+    have = part.where("channel is not null").groupBy("t", blk).agg(F.collect_set("channel").alias("have"))
+    # only a row for each time and block is joined; its other channels are listed out where it lies
+    cells = each_with(part.select("t").distinct(), blocks.select("blk", "layer"), "blk").join(have, ["t", "blk"], "left").join(blocks, ["blk", "layer"])
+    rest = cells.select("t", F.explode(F.array_except("all", F.coalesce("have", F.array().cast(have.schema["have"].dataType)))).alias("channel"))
+    seen = part.join(channels.select("channel"), "channel").select("t", "channel", (F.coalesce("counts", F.lit(0)) * PHASE).alias("phase"))
+    return seen.unionByName(rest.withColumn("phase", F.lit(0.0)))
 
 
 def unwrapped_clock(samples: DataFrame) -> DataFrame:
