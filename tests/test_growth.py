@@ -29,3 +29,21 @@ def test_load_lists_blocks_of_channels(spark, monkeypatch):
     lines = plan_of(got).splitlines()
     generate = next(k for k, line in enumerate(lines) if "Generate explode(array_except" in line)
     assert not any("Join" in line for line in lines[:generate] if line.index(line.lstrip(" :+-")) < lines[generate].index("Generate") and "Union" not in line)
+
+
+def test_between_looks_back_only(spark):
+    """Windows that run on to their end cost the square of a block; rows of both sides cut the blocks."""
+    from math import cos, sin
+
+    from tidewell.plans import pointing
+
+    knots = [(k * 7.0, cos(k * 0.1), 0.0, 0.0, sin(k * 0.1)) for k in range(6)]
+    asks = [(k, k * 0.5 - 3.0) for k in range(100)]
+    got = pointing.between(spark.createDataFrame(knots, "t double, qa double, qb double, qc double, qd double"), spark.createDataFrame(asks, "samp long, t double"), 10)
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in text.lower()
+    rows = {r["samp"]: r for r in got.collect()}
+    assert len(rows) == len(asks)
+    for k, t in asks:
+        angle = min(max(t, 0.0), 35.0) / 7.0 * 0.1
+        assert rows[k]["qa"] == pytest.approx(cos(angle), abs=1e-12) and rows[k]["qd"] == pytest.approx(sin(angle), abs=1e-12)

@@ -42,7 +42,8 @@ def blocked(rows: DataFrame, keys: list[str], x: str, size: int = ROWS, of: Data
     return attached(rows, told, keys).withColumn("blk", F.greatest(F.lit(0), F.least(at, F.col("blk n") - 1)).cast("long")).drop("blk lo", "blk hi", "blk n")
 
 
-HOW = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, True), "first": lambda c: F.first(c, True)}
+# looking ahead is looking back from the other end: a window that runs on to its end starts anew at every row
+HOW = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, True), "first": lambda c: F.last(c, True)}
 
 
 def carried(rows: DataFrame, keys: list[str], parts: dict[str, tuple[Column, str]]) -> DataFrame:
@@ -51,8 +52,7 @@ def carried(rows: DataFrame, keys: list[str], parts: dict[str, tuple[Column, str
     `first` looks ahead instead, to the nearest later block that has a value.
     """
     totals = rows.groupBy(*keys, "blk").agg(*[c.alias(name) for name, (c, _) in parts.items()])
-    order = Window.partitionBy(*keys).orderBy("blk")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    back, ahead = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("blk"), F.desc("blk")))
     return totals.select(*keys, "blk", *[HOW[how](F.col(name)).over(ahead if how == "first" else back).alias(name) for name, (_, how) in parts.items()])
 
 

@@ -102,19 +102,25 @@ def between(table: DataFrame, scan_: DataFrame, size: int = scan.ROWS) -> DataFr
     """scan(samp, t) with qa..qd from a coarser table (t, qa..qd), turned steadily from one row to the next.
 
     Before the first and behind the last row that row holds.  Both sides are cut
-    into the same blocks of t; what a block lacks is carried from its neighbours.
+    into the same blocks of t, by the rows of both; what a block lacks is carried
+    from its neighbours.  Windows only look back, in either direction of t: one that
+    looks ahead to its end starts anew at every row.
     """
     q = F.struct("t", *[f"q{n}" for n in "abcd"])
-    knots = scan.blocked(table.select("t", *[f"q{n}" for n in "abcd"]), [], "t", size).select("blk", "t", q.alias("knot"))
-    asks = scan.blocked(scan_.withColumn("ask", F.struct(*scan_.columns)).select("t", "ask"), [], "t", size, of=table)
+    every = table.select("t").unionByName(scan_.select("t"))
+    knots = scan.blocked(table.select("t", *[f"q{n}" for n in "abcd"]), [], "t", size, of=every).select("blk", "t", q.alias("knot"))
+    asks = scan.blocked(scan_.withColumn("ask", F.struct(*scan_.columns)).select("t", "ask"), [], "t", size, of=every)
     rows = knots.withColumn("ask", F.lit(None).cast(asks.schema["ask"].dataType)).unionByName(asks.withColumn("knot", F.lit(None).cast(knots.schema["knot"].dataType)))
-    order = Window.partitionBy("blk").orderBy("t", F.col("ask").isNotNull())
-    rows = rows.withColumn("a", F.last("knot", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("knot", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    isask = F.col("ask").isNotNull()
+    order, back = Window.partitionBy("blk").orderBy("t", isask), Window.partitionBy("blk").orderBy(F.desc("t"), isask.desc())
+    so_far = lambda w: F.last("knot", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("a", so_far(order)).withColumn("b", so_far(back))
     # blocks without a row of the table need their neighbours too
     blocks = asks.select("blk").unionByName(knots.select("blk")).distinct()
-    along = Window.orderBy("blk")  # one row a block
     own = knots.groupBy("blk").agg(F.max("knot").alias("top"), F.min("knot").alias("low"))
-    edge = blocks.join(own, "blk", "left").select("blk", F.last("top", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("low", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    before = lambda c, w: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # one row a block
+    edge = blocks.join(own, "blk", "left").select("blk", before("top", Window.orderBy("blk")).alias("earlier"), before("low", Window.orderBy(F.desc("blk"))).alias("later"))
     got = rows.where("ask is not null").join(edge, "blk", "left")
     got = got.select("ask.*", F.coalesce("a", "earlier", "b", "later").alias("a"), F.coalesce("b", "later", "a", "earlier").alias("b"))
     s = Steps(got)
