@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from . import scan
 from .runs import BROADCAST_ROWS
 
+#: Samples of a piece of a range that rows are looked up in.
+PIECE = 64
+
+
 def merged(ranges: DataFrame, keys: list[str], gap: int = 0, size: int = scan.ROWS) -> DataFrame:
     """Sorted, disjoint ranges; ranges at most `gap` apart become one, touching ones always do.
 
@@ -163,6 +167,22 @@ def flagged_samples(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return ranges.where("s < e").select(*keys, F.explode(F.sequence("s", F.col("e") - 1)).alias("samp")).distinct()
 
 
+def inside(rows: DataFrame, ranges: DataFrame, keys: list[str], on: list[str], how: str = "inner", size: int = PIECE) -> DataFrame:
+    """rows(on..., samp, ...) joined (inner or left_semi) to the keys of the ranges that hold their sample, once for each key.
+
+    Ranges are cut at multiples of `size` samples and meet the rows of the same
+    piece, so a range is never spread to its samples.  How many pieces there are
+    can't be told from the ranges' bytes: the join is sorted, never broadcast.
+    """
+    cut = merged(ranges, keys).withColumn("piece", F.explode(F.sequence(F.floor(F.col("s") / size), F.floor((F.col("e") - 1) / size))))
+    cut = cut.select(*[F.col(k).alias(f"{k} of range") if k in on else F.col(k) for k in keys], F.col("piece").alias("piece of range"), "s", "e").hint("merge")
+    here = rows.withColumn("piece", F.floor(F.col("samp") / size))
+    same = (F.col("piece") == F.col("piece of range")) & (F.col("samp") >= F.col("s")) & (F.col("samp") < F.col("e"))
+    for k in on:
+        same = same & (F.col(k) == F.col(f"{k} of range"))
+    return here.join(cut, same, how).drop("piece", "piece of range", "s", "e", *[f"{k} of range" for k in on])
+
+
 def to_mask(ranges: DataFrame, domain: DataFrame, keys: list[str]) -> DataFrame:
     """Every sample of the domain with its flag; ranges are spread to samples and joined on equality."""
     spread = domain.where("n > 0").select(*keys, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("samp"))

@@ -275,7 +275,7 @@ def promoted(ranges_: DataFrame | None, dets: DataFrame) -> DataFrame:
 
 def bunched(pointed: DataFrame, nested: DataFrame) -> DataFrame:
     """Pointed samples with the bunch and domain that they are worked in; a sample in several of them comes once for each."""
-    return pointed.join(ranges.flagged_samples(nested, ["bunch", "domain", "det"]), ["det", "samp"])
+    return ranges.inside(pointed, nested, ["bunch", "domain", "det"], ["det"])
 
 
 def components_of(maps: int) -> str:
