@@ -47,3 +47,24 @@ def test_between_looks_back_only(spark):
     for k, t in asks:
         angle = min(max(t, 0.0), 35.0) / 7.0 * 0.1
         assert rows[k]["qa"] == pytest.approx(cos(angle), abs=1e-12) and rows[k]["qd"] == pytest.approx(sin(angle), abs=1e-12)
+
+
+def test_samples_inside_ranges(spark):
+    """Nested ranges over piece edges, overlapping and repeated: each sample once for each bunch and domain, by a sorted join."""
+    from tidewell.plans import projection
+
+    rnd = random.Random(3)
+    nested = [(b, d, det, s, s + rnd.choice((0, 1, 5, 64, 200))) for b in (0, 1) for d in (0, 1) for det in (0, 1, 2) for s in (rnd.randrange(500) for _ in range(6))]
+    nested += nested[:5]
+    pointed = [(det, samp, samp * 10 + det) for det in (0, 1, 3) for samp in range(0, 700, 1)]
+    want = sorted({(b, d, det, samp, v) for b, d, det, s, e in nested for p, samp, v in pointed if p == det and s <= samp < e})
+    p = spark.createDataFrame(pointed, "det long, samp long, v long")
+    r = spark.createDataFrame(nested, "bunch int, domain int, det long, s long, e long")
+    got = projection.bunched(p, r)
+    assert sorted(map(tuple, got.select("bunch", "domain", "det", "samp", "v").collect())) == want
+    kept = projection.restricted(p, r.select("det", "s", "e"))
+    assert kept.columns == p.columns
+    assert sorted(map(tuple, kept.collect())) == sorted({w[2:] for w in want})
+    for df in (got, kept):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "explode(sequence(s" not in text and "SortMergeJoin" in text and "BroadcastHashJoin [det" not in text

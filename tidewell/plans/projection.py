@@ -252,7 +252,7 @@ def pair_difference(signal: DataFrame) -> DataFrame:
 
 def restricted(pointed: DataFrame, keep: DataFrame) -> DataFrame:
     """Only samples inside ranges (det, s, e)."""
-    return pointed.join(ranges.flagged_samples(keep, ["det"]), ["det", "samp"], "left_semi")
+    return ranges.inside(pointed, keep, ["det"], ["det"], "left_semi")
 
 
 def promoted(ranges_: DataFrame | None, dets: DataFrame) -> DataFrame:
