@@ -68,3 +68,15 @@ def test_samples_inside_ranges(spark):
     for df in (got, kept):
         text = df._jdf.queryExecution().executedPlan().toString()
         assert "explode(sequence(s" not in text and "SortMergeJoin" in text and "BroadcastHashJoin [det" not in text
+
+
+def test_on_map_test_stays_above_coordinates(spark):
+    """Leaving out off-map samples does not put the coordinates' expressions into the join with the detectors."""
+    from tidewell.plans import projection, queries_sky
+
+    asm = queries_sky.assembly(spark, "/root/testdata/sf0.001")
+    got = projection.pointing(asm, queries_sky.CAR, "T")
+    assert not any("Join" in line and "ATAN2" in line.upper() for line in plan_of(got).splitlines())
+    every = projection.pointing(asm, queries_sky.CAR, "T", off_map=True)
+    assert got.columns == every.columns
+    assert sorted(map(tuple, got.select("det", "samp", "iy", "ix", "w").collect())) == sorted(map(tuple, every.where("iy >= 0").select("det", "samp", "iy", "ix", "w").collect()))

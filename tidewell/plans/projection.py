@@ -123,9 +123,14 @@ def pointing(asm: DataFrame, geom: Geometry, components: str, interpolation: str
     at = with_spin(with_coords(asm, geom.system), components)
     if interpolation in ("nn", "nearest"):
         s = Steps(at)
-        iy, ix = s.keep(*geom.pixels.pixel(F.col("x"), F.col("y")))
-        at = s.done(iy=iy, ix=ix, w=F.lit(1.0))
-        at = at if off_map else at.where("iy >= 0")
+        iy, ix = geom.pixels.pixel(F.col("x"), F.col("y"))
+        if off_map:
+            iy, ix = s.keep(iy, ix)
+            at = s.done(iy=iy, ix=ix, w=F.lit(1.0))
+        else:
+            # a filter on iy would be moved below the coordinates, written out in full, into the join with the detectors
+            on = F.explode(F.when(iy >= 0, F.array(F.struct(iy.alias("iy"), ix.alias("ix")))))
+            at = at.select("*", on.alias("p")).select("*", "p.iy", "p.ix", F.lit(1.0).alias("w")).drop("p")
     elif interpolation in ("lin", "bilinear"):
         at = at.select("*", (F.explode_outer if off_map else F.explode)(geom.pixels.bilinear(F.col("x"), F.col("y"))).alias("p")).select("*", "p.iy", "p.ix", "p.w").drop("p")
     else:
