@@ -92,3 +92,17 @@ def test_grid_as_large_as_its_detectors(spark, tmp_path):
     e.write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in catalog.QUERIES["ranges_grid_index"](spark, str(tmp_path)).select("a", "b", "s", "e").sort("a").collect()] == [(0, 3, 0, 37), (2, 3, 0, 37)]
     assert catalog.QUERIES["ranges_grid_pairs"](spark, str(tmp_path)).collect() == []
+
+
+def test_jump_that_meets_its_threshold(spark):
+    """Half the response met exactly at sample 7 is not passed, in whatever order the samples come (values of sf0.1, detector 776)."""
+    from tidewell.operators import reduce
+
+    y = [59.8, 51.53, 57.6, 16.56, 1.54, 43.45, 33.59, 63.03, 4.38, 10.33, 148.46, 34.38]
+    rows = [(det, samp, v) for det in range(40) for samp, v in enumerate(y)]
+    random.Random(1).shuffle(rows)
+    tod = spark.createDataFrame(rows, "det long, samp long, y double").repartition(7)
+    grid = reduce.matched_filter(tod, 12).withColumn("n", F.lit(12)).withColumn("min_size", F.lit(17.0))
+    over = reduce._over_threshold(grid, 12, F.lit(0), 0.5, False)
+    got = grid.where("samp = 7").select("m", over.alias("over")).collect()
+    assert len(got) == 40 and all(abs(abs(r["m"]) - 0.5 * 17 * 8 / 3) < 1e-9 and not r["over"] for r in got)

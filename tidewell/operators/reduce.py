@@ -13,6 +13,10 @@ from ..model import by_samp
 from . import ranges, scan
 
 
+#: A filter this near to its threshold, as a part of it, is equal to it.
+TIE = 1e-9
+
+
 def block(size: int, shift: int = 0) -> Column:
     """Number of the block of a sample; -1 before the shift."""
     return F.when(F.col("samp") < shift, -1).otherwise(F.floor((F.col("samp") - shift) / size)).cast("int")
@@ -76,7 +80,8 @@ def _over_threshold(tod: DataFrame, size: int, shift: Column, factor: float, unc
         height = height - (2 * off - 0.5) / (2 * length)
     # too close to an end of the block (or before the first one) nothing can be told
     told = (F.col("samp") >= shift) & (length / 2 - off + 0.5 >= size / 4.0)
-    return told & (F.abs("m") > factor * F.col("min_size") * height)
+    # what only meets the threshold does not exceed it, whichever way the sums were rounded
+    return told & (F.abs("m") > factor * F.col("min_size") * height * (1 + TIE))
 
 
 def matched_jumps(tod: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
