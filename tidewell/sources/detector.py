@@ -13,8 +13,15 @@ from ..operators.runs import each_with
 PHASE = pi / 2**15
 CHANNELS_PER_BAND = 512
 WRAP = float(1 << 32)
-#: Channels that a load lists out at once.
+#: Channels and times of a cell that a load lists out at once.
 BLOCK_CHANNELS = 1024
+BLOCK_TIMES = 1024
+#: Channels of a cell that are told for all its times before others.
+LIST_CHANNELS = 128
+#: Channels that a load sends to every executor at once.
+SENT_CHANNELS = 1 << 20
+#: Rows of the dense table that a task of a load lists out.
+TASK_ROWS = 1 << 22
 
 
 def file_index(frames: DataFrame) -> DataFrame:
@@ -33,16 +40,31 @@ def select_scans(frames: DataFrame, start: float, end: float) -> DataFrame:
 
 
 def load(samples: DataFrame, channels: DataFrame, start: float, end: float) -> DataFrame:
-    """Dense table t, channel, phase of [start, end): channels without a count are 0 (samples: t, channel, counts)."""
+    """Dense table t, channel, phase of [start, end): channels without a count are 0 (samples: t, channel, counts).
+
+    The table is cut into cells of some times by some channels; a cell is one row until the end, and cells
+    are dealt out evenly. Short lists of a cell's channels are told time by time, each in the same order, so a
+    writer meets few values that repeat soon: a table that is written takes far less room than its rows.
+    """
     part = samples.where((F.col("t") >= start) & (F.col("t") < end))
-    blk = F.pmod(F.xxhash64("channel"), F.lit(-(-channels.count() // BLOCK_CHANNELS) or 1)).alias("blk")
+    n_channels, n_times = channels.count(), part.select(F.count_distinct("t")).first()[0]
+    blk = F.pmod(F.xxhash64("channel"), F.lit(-(-n_channels // BLOCK_CHANNELS) or 1)).alias("blk")
+    span = F.pmod(F.xxhash64("t"), F.lit(-(-n_times // BLOCK_TIMES) or 1)).alias("span")
     # a channel that is listed twice is in two layers, so a block's list names each once
     listed = channels.select("channel", blk, F.row_number().over(Window.partitionBy("channel").orderBy(F.lit(0))).alias("layer"))
     blocks = listed.groupBy("blk", "layer").agg(F.collect_list(F.struct("channel"))["channel"].alias("all"))
-    have = part.where("channel is not null").groupBy("t", blk).agg(F.collect_set("channel").alias("have"))
-    # only a row for each time and block is joined; its other channels are listed out where it lies
-    cells = each_with(part.select("t").distinct(), blocks.select("blk", "layer"), "blk").join(have, ["t", "blk"], "left").join(blocks, ["blk", "layer"])
-    rest = cells.select("t", F.explode(F.array_except("all", F.coalesce("have", F.array().cast(have.schema["have"].dataType)))).alias("channel"))
+    cut = F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(LIST_CHANNELS)), lambda k: F.slice("all", k, LIST_CHANNELS))
+    blocks = blocks.select("blk", "layer", cut.alias("lists"))
+    spans = part.select("t").distinct().groupBy(span).agg(F.collect_list("t").alias("times"))
+    met = part.where("channel is not null").groupBy("t", blk).agg(F.collect_set("channel").alias("have"))
+    met = met.groupBy(span, "blk").agg(F.map_from_entries(F.collect_list(F.struct("t", "have"))).alias("met"))
+    # only a row for each cell is joined and sent; its rows are listed out where it lies
+    cells = each_with(spans, blocks, "blk", -(-SENT_CHANNELS // BLOCK_CHANNELS)).join(met, ["span", "blk"], "left")
+    cells = cells.repartition(-(-n_channels * n_times // TASK_ROWS) or 1)
+    none = F.array().cast(met.schema["met"].dataType.valueType)
+    rest = cells.select("times", "met", F.explode("lists").alias("list"))
+    rest = rest.select("list", "met", F.explode("times").alias("t"))
+    rest = rest.select("t", F.explode(F.array_except("list", F.coalesce(F.try_element_at("met", F.col("t")), none))).alias("channel"))
     seen = part.join(channels.select("channel"), "channel").select("t", "channel", (F.coalesce("counts", F.lit(0)) * PHASE).alias("phase"))
     return seen.unionByName(rest.withColumn("phase", F.lit(0.0)))
 
