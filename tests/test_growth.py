@@ -177,3 +177,29 @@ def test_load_by_cells_of_any_size(spark, monkeypatch):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     share = got.rdd.glom().map(len).collect()
     assert max(share) < len(want) / 4
+
+
+def test_jump_at_its_threshold_as_sums_in_order_decide(spark):
+    """A filter at its threshold is decided by sums in sample order, as plain loops and the SQL's terms have them (values of sf0.1, detectors 802 and 776)."""
+    from tidewell.operators import reduce
+
+    blocks = {  # smallest jump, samples up to the tie, values
+        0: (15.0, 7, [58.98, 68.93, 42.11, 87.19, 18.93, 58.47, 22.74, 162.66, 15.87, 37.32, 55.67, 21.23]),
+        1: (17.0, 8, [59.8, 51.53, 57.6, 16.56, 1.54, 43.45, 33.59, 63.03, 4.38, 10.33, 148.46, 34.38]),
+    }
+    rows, want = [], []
+    for det in range(40):
+        size, left, y = blocks[det % 2]
+        rows += [(det, samp, v, size) for samp, v in enumerate(y)]
+        mean = m = 0.0
+        for v in y:
+            mean += v
+        for v in y[:left]:
+            m += v - mean / 12
+        want.append((det, abs(m) > 0.5 * size * left * (12 - left) / 12))
+    assert {w for _, w in want} == {True, False}
+    random.Random(2).shuffle(rows)
+    grid = reduce.matched_filter(spark.createDataFrame(rows, "det long, samp long, y double, min_size double").repartition(7), 12).withColumn("n", F.lit(12))
+    over = reduce._over_threshold(grid, 12, F.lit(0), 0.5, False)
+    got = grid.where("(det % 2 = 0 and samp = 6) or (det % 2 = 1 and samp = 7)").select("det", over.alias("over")).collect()
+    assert sorted(map(tuple, got)) == want

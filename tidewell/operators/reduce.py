@@ -6,17 +6,13 @@ many tasks.  Running sums within a block are windows of one block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..model import by_samp
 from . import ranges, scan
 
 
-#: A filter this near to its threshold, as a part of it, is equal to it.
-TIE = 1e-9
-
-
 def block(size: int, shift: int = 0) -> Column:
     """Number of the block of a sample; -1 before the shift."""
     return F.when(F.col("samp") < shift, -1).otherwise(F.floor((F.col("samp") - shift) / size)).cast("int")
@@ -59,29 +55,36 @@ def clean_flag(flags: DataFrame, width: int, dets: DataFrame) -> DataFrame:
     return flags.join(dets, "det").where((F.col("e") - F.col("s") >= width) | (F.col("e") == F.col("n"))).select("det", "s", "e")
 
 
+def _in_order(*keys: str) -> WindowSpec:
+    """The whole of a block with its samples in order, so that a sum over it is rounded in one way, however rows arrive."""
+    return Window.partitionBy(*keys).orderBy("samp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def matched_filter(tod: DataFrame, size: int, shift: int = 0) -> DataFrame:
     """tod with m: running sum of y minus its block mean."""
     run = by_samp("blk")
-    return block_moment(tod, size, 1, shift=shift).withColumn("m", F.sum(F.col("y") - F.col("v")).over(run))
+    mean = _blocks(tod, size, shift).withColumn("v", F.avg("y").over(_in_order("det", "blk")))
+    return mean.withColumn("m", F.sum(F.col("y") - F.col("v")).over(run))
 
 
 def _over_threshold(tod: DataFrame, size: int, shift: Column, factor: float, uncertain: bool) -> Column:
     """Whether the filter exceeds `factor` of its response to the detector's smallest jump.
 
-    For a unit step the running sum peaks at the step, by an amount that falls off
-    with the square of the step's distance from the middle of its block.
+    For a unit step the running sum peaks at the step, by the samples of its block up to
+    the step times those after it over their sum.
     """
     begin = size * F.floor((F.col("samp") - shift) / size) + shift
     length = F.least(F.lit(size), F.col("n") - begin).cast("double")
-    off = F.abs(F.col("samp") + 1 - begin - length / 2)
-    height = length / 4 - off * off / length
+    left = (F.col("samp") + 1 - begin).cast("double")
+    right = length - left
+    # a filter may meet its threshold exactly, so the terms are taken in the written order
+    least = factor * F.col("min_size") * left * right / (left + right)
     if uncertain:
         # the step may lie up to half a sample nearer to the end
-        height = height - (2 * off - 0.5) / (2 * length)
+        least = least * (1 - (F.abs(left - right) - 0.5) / F.when(right > 0, 2 * left * right))
     # too close to an end of the block (or before the first one) nothing can be told
-    told = (F.col("samp") >= shift) & (length / 2 - off + 0.5 >= size / 4.0)
-    # what only meets the threshold does not exceed it, whichever way the sums were rounded
-    return told & (F.abs("m") > factor * F.col("min_size") * height * (1 + TIE))
+    told = (F.col("samp") >= shift) & (F.least(left, right) + 0.5 >= size / 4.0)
+    return told & (F.abs("m") > least)
 
 
 def matched_jumps(tod: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
@@ -93,8 +96,8 @@ def matched_jumps(tod: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
     dets = tod.groupBy("det").agg((F.max("samp") + 1).alias("n")).join(sizes.select("det", "min_size"), "det")
     grid = tod.select("det", "samp", "y").join(dets, "det").withColumn("shift", F.explode(F.array(F.lit(0), F.lit(size // 2))))
     grid = grid.withColumn("cell", F.when(F.col("samp") < F.col("shift"), -1).otherwise(F.floor((F.col("samp") - F.col("shift")) / size)))
-    per = Window.partitionBy("det", "shift", "cell")
-    grid = grid.withColumn("v", F.avg("y").over(per)).withColumn("m", F.sum(F.col("y") - F.col("v")).over(per.orderBy("samp")))
+    per = ["det", "shift", "cell"]
+    grid = grid.withColumn("v", F.avg("y").over(_in_order(*per))).withColumn("m", F.sum(F.col("y") - F.col("v")).over(by_samp(*per[1:])))
     sure = _over_threshold(grid, size, F.col("shift"), 1.0, True)
     rough = grid.where(_over_threshold(grid, size, F.col("shift"), 0.5, False)).select("det", "shift", "samp", "n", sure.alias("sure"))
     # a step filter peaks at the jump, so only runs of rough flags that are long enough are looked at again
