@@ -62,9 +62,10 @@ def load(samples: DataFrame, channels: DataFrame, start: float, end: float) -> D
     cells = each_with(spans, blocks, "blk", -(-SENT_CHANNELS // BLOCK_CHANNELS)).join(met, ["span", "blk"], "left")
     cells = cells.repartition(-(-n_channels * n_times // TASK_ROWS) or 1)
     none = F.array().cast(met.schema["met"].dataType.valueType)
-    rest = cells.select("times", "met", F.explode("lists").alias("list"))
-    rest = rest.select("list", "met", F.explode("times").alias("t"))
-    rest = rest.select("t", F.explode(F.array_except("list", F.coalesce(F.try_element_at("met", F.col("t")), none))).alias("channel"))
+    # each time is looked up by a lambda, a step of its own, so the rows of a list and not of a whole cell are held at once
+    at = F.transform("times", lambda t: F.struct(t.alias("t"), F.coalesce(F.try_element_at("met", t), none).alias("have")))
+    rest = cells.select("times", "met", F.explode("lists").alias("list")).select("list", F.explode(at).alias("at"))
+    rest = rest.select("at.t", F.explode(F.array_except("list", "at.have")).alias("channel"))
     seen = part.join(channels.select("channel"), "channel").select("t", "channel", (F.coalesce("counts", F.lit(0)) * PHASE).alias("phase"))
     return seen.unionByName(rest.withColumn("phase", F.lit(0.0)))
 
